@@ -15,13 +15,13 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker turns into arrays at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Rows in an Arrow batch from the JVM, so that long texts do not fill memory.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch from the JVM, so that long texts do not fill memory.
+BATCH_BYTES = "4m"
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Holds Arrow batches to few rows: documents can be very long, and a batch stands in memory at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to few bytes: documents can be very long, and a batch stands in memory at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
