@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,6 +86,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks both garbage collectors of the driver to run, so that Spark's cleaner drops the shuffle files of finished jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def make_dir(spark: SparkSession, uri: str) -> None:
+    """Makes a shared folder by Spark's own file system client."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def remove_dir(spark: SparkSession, uri: str) -> None:
     """Deletes a shared folder by Spark's own file system client."""
     jvm = spark.sparkContext._jvm

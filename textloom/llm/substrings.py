@@ -3,11 +3,11 @@
 First pass: each partition counts its windows, each once a document, in the cells of a count-min sketch of two rows; a
 partition's sketch travels as compressed lists of cells in shards, which one task each merges by addition. As only
 estimates of two or more matter, a merged shard keeps a bit for each cell. Estimates never fall below the true count, so
-no repeated window is lost. Second pass: only windows whose estimate is two or more in both rows leave the documents;
-they are grouped exactly (by 96 hash bits), each group's smallest doc_id is joined back, and the words that windows of
-later documents cover are removed. Sketches have about eight cells a window up to a fixed bound on their memory, beyond
-which more windows pass to the exact step, and results stay the same. The join is a plain equality join without rows
-gathered by key, so a passage in a third of all documents is split among tasks.
+no repeated window is lost. Second pass: only windows whose estimate is two or more in both rows are grouped exactly (by 96 hash bits): first within
+a task, where all but the smallest doc_id's are known to be repeated at once, then between tasks, where each sends the
+smallest one alone. So a passage in a third of all documents is as many rows as there are tasks and no more. The words
+that windows of later documents cover are removed. Sketches have about four cells a word up to a fixed bound, beyond
+which more windows pass to the exact step, and results stay the same.
 
 Defined results: null is a text without words; a text of fewer than 13 words loses none; a document without doc_id loses
 none and takes none; rows that repeat one doc_id don't count against each other; whole texts are taken.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import bounded_batches, file_system, remove_dir, shared_dir, text_slices, written
+from .common import bounded_batches, file_system, make_dir, release, remove_dir, shared_dir, text_slices, written
 
 WINDOW = 13
-ROWS, SHARDS = 2, 64
-#: Cells of a sketch row: a power of two, about CELLS_PER_WORD for each word of the input, within these bounds (128 MB of bits a row).
-CELLS_PER_WORD, LEAST_BITS, MOST_BITS = 4, 16, 30
-#: Windows that a task counts before it sends off their cells.
+ROWS = 2
+#: Cells of a sketch row: a power of two, about CELLS_PER_WORD for each word of the input, between these. The larger bound
+#: (1 GB of bits a row) holds where workers can map the shared folder's files, the smaller (64 MB) where they must read them.
+CELLS_PER_WORD, LEAST_BITS, MOST_BITS, MOST_HELD_BITS = 4, 16, 33, 29
+#: Cells of a shard, which one task merges.
+SHARD_BITS = 23
+#: Windows that a task takes together, in either pass.
 FLUSH = 4_000_000
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -96,22 +101,26 @@ def sketch_parts(hashes: list[np.ndarray], bits: int) -> list[tuple[int, bytes,
     """A partition's sketch as (row and shard, cells with one window, cells with more), offsets as compressed steps."""
     every = np.concatenate(hashes)
     pack = zstandard.ZstdCompressor(level=1).compress
-    width = 1 << (bits - SHARDS.bit_length() + 1)
+    width, shards = 1 << min(bits, SHARD_BITS), shards_of(bits)
     out = []
     for row, cells in enumerate(cells_of(every, bits)):
-        cells = np.sort(cells.astype(np.uint32))
+        cells = np.sort(cells)
         fresh = np.concatenate([[True], cells[1:] != cells[:-1]])
         heads = np.flatnonzero(fresh)
         many = np.diff(np.append(heads, len(cells))) > 1
         cells = cells[heads]
-        cuts = np.searchsorted(cells, np.arange(SHARDS + 1, dtype=np.int64) * width)
-        for s in range(SHARDS):
-            part, more = cells[cuts[s] : cuts[s + 1]] - np.uint32(s * width), many[cuts[s] : cuts[s + 1]]
+        cuts = np.searchsorted(cells, np.arange(shards + 1, dtype=np.uint64) * np.uint64(width))
+        for s in range(shards):
+            part, more = (cells[cuts[s] : cuts[s + 1]] - np.uint64(s * width)).astype(np.uint32), many[cuts[s] : cuts[s + 1]]
             if len(part):
-                out.append((row * SHARDS + s, pack(steps(part[~more])), pack(steps(part[more]))))
+                out.append((row * shards + s, pack(steps(part[~more])), pack(steps(part[more]))))
     return out
 
 
+def shards_of(bits: int) -> int:
+    return 1 << max(0, bits - SHARD_BITS)
+
+
 def steps(sorted_cells: np.ndarray) -> bytes:
     """Differences in 16 bits where all fit, else in 32; the first byte tells."""
     d = np.diff(sorted_cells, prepend=np.uint32(0))
@@ -130,7 +139,7 @@ def shard_name(at: int) -> str:
 def merge_shards(batches, uri: str, bits: int):
     """From rows (at, once, more) sorted by shard: sums the partitions' sketches, and writes a bit for each cell of two or more."""
     fs, root = file_system(uri)
-    width = 1 << (bits - SHARDS.bit_length() + 1)
+    width = 1 << min(bits, SHARD_BITS)
     current, once, twice = None, None, None
 
     def put():
@@ -159,40 +168,83 @@ def merge_shards(batches, uri: str, bits: int):
 
 
 @lru_cache(maxsize=1)
-def merged(uri: str, bits: int) -> list[np.ndarray]:
-    """The bits of both rows; a shard that no window fell into has no file."""
-    fs, root = file_system(uri)
+def merged(uri: str, bits: int) -> list[list[np.ndarray | None]]:
+    """The shards' bits of both rows, mapped where the folder's files can be; a shard that no window fell into has no file."""
     from pyarrow import fs as pafs
 
-    size = (1 << bits) // 8 // SHARDS
-    out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
-    for at in range(ROWS * SHARDS):
-        name = f"{root}/{shard_name(at)}"
-        if fs.get_file_info(name).type == pafs.FileType.File:
-            with fs.open_input_stream(name) as f:
-                out[at // SHARDS][at % SHARDS * size : (at % SHARDS + 1) * size] = np.frombuffer(f.read(), np.uint8)
+    fs, root = file_system(uri)
+    out: list[list[np.ndarray | None]] = []
+    for row in range(ROWS):
+        out.append([])
+        for s in range(shards_of(bits)):
+            name = f"{root}/{shard_name(row * shards_of(bits) + s)}"
+            if fs.get_file_info(name).type != pafs.FileType.File:
+                out[-1].append(None)
+            elif mappable(uri):
+                out[-1].append(np.memmap(name, np.uint8, "r"))
+            else:
+                with fs.open_input_stream(name) as f:
+                    out[-1].append(np.frombuffer(f.read(), np.uint8))
     return out
 
 
+def mappable(uri: str) -> bool:
+    return urlparse(uri).scheme in ("", "file")
+
+
 def estimated_repeated(h: np.ndarray, uri: str, bits: int) -> np.ndarray:
-    """Places of the windows whose estimate is two or more."""
+    """Places of the windows whose estimate is two or more, in order."""
     alive = np.arange(len(h))
-    for table, cells in zip(merged(uri, bits), cells_of(h, bits), strict=True):
+    shard_bits = np.uint64(min(bits, SHARD_BITS))
+    for tables, cells in zip(merged(uri, bits), cells_of(h, bits), strict=True):
         c = cells[alive]
-        alive = alive[(table[(c >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (c & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+        shard = (c >> shard_bits).astype(np.uint16)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(len(tables) + 1))
+        hit = np.zeros(len(alive), bool)
+        for s, bitmap in enumerate(tables):
+            if bitmap is not None and cuts[s] < cuts[s + 1]:
+                at = order[cuts[s] : cuts[s + 1]]
+                inner = c[at] & ((np.uint64(1) << shard_bits) - np.uint64(1))
+                hit[at] = (bitmap[(inner >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (inner & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        alive = alive[hit]
     return alive
 
 
+DOUBTFUL = T.StructType([
+    T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()),
+    T.StructField("position", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())),
+])
+
+
+def grouped(h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, position: np.ndarray) -> list[pa.RecordBatch]:
+    """Groups a task's doubtful windows: those of a group's smallest doc_id go on as rows, the others are repeated, and listed by document."""
+    order = np.lexsort((doc, g, h))
+    h, g, doc, mark, position = (x[order] for x in (h, g, doc, mark, position))
+    heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    later = doc > np.repeat(doc[heads], np.diff(np.append(heads, len(h))))
+    go = ~later
+    n = int(go.sum())
+    out = [pa.RecordBatch.from_arrays([pa.array(h[go]), pa.array(g[go]), pa.array(doc[go]), pa.array(mark[go]), pa.array(position[go]), pa.nulls(n, pa.list_(pa.int32()))], names=DOUBTFUL.names)]
+    if later.any():
+        order = np.flatnonzero(later)[np.lexsort((position[later], mark[later], doc[later]))]
+        d, m = doc[order], mark[order]
+        heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(d)), pa.int32()), pa.array(position[order]))
+        k = len(heads)
+        out.append(pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(d[heads]), pa.array(m[heads]), pa.nulls(k, pa.int32()), lists], names=DOUBTFUL.names))
+    return out
+
+
 def repeated_positions(df: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), positions: sorted numbers of the first words of windows that a smaller doc_id has too."""
+    """doc_id, mark (hash of the text), positions: numbers of the first words of windows that a smaller doc_id has too."""
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, chars / 6 * CELLS_PER_WORD))))))
     uri = shared_dir(spark, "sketch")
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm_path)
+    bits = int(min(MOST_BITS if mappable(uri) else MOST_HELD_BITS, max(LEAST_BITS, round(np.log2(max(1, chars / 6 * CELLS_PER_WORD))))))
+    make_dir(spark, uri)
 
     def count(batches):
         held, total = [], 0
@@ -203,7 +255,7 @@ def repeated_positions(df: DataFrame) -> DataFrame:
 
         for part in text_slices(batches):
             (h,), owner, _ = window_hashes(part.column("text").to_pylist(), 1)
-            # A window counts once a document; by its hash within the slice's document.
+            # A window counts once a document.
             order = np.lexsort((h, owner)) if len(h) else np.zeros(0, np.int64)
             h, owner = h[order], owner[order]
             h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])] if len(h) else h
@@ -215,22 +267,38 @@ def repeated_positions(df: DataFrame) -> DataFrame:
         if total:
             yield sent()
 
-    parts = docs.select("text").mapInArrow(count, "at int, once binary, more binary").repartition(min(ROWS * SHARDS, 4 * spark.sparkContext.defaultParallelism), "at").sortWithinPartitions("at")
+    parts = docs.select("text").mapInArrow(count, "at int, once binary, more binary").repartition(min(ROWS * shards_of(bits), 4 * spark.sparkContext.defaultParallelism), "at").sortWithinPartitions("at")
     parts.mapInArrow(lambda batches: merge_shards(batches, uri, bits), "at int, cells long").agg(F.sum("cells")).collect()
+    del parts
+    release(spark)
 
     def doubtful(batches):
+        held, total = [], 0
         for part in text_slices(batches):
             (h, g), owner, first = window_hashes(part.column("text").to_pylist())
             alive = estimated_repeated(h, uri, bits)
-            at = pa.array(owner[alive])
-            yield pa.RecordBatch.from_arrays([pa.array(h[alive].view(np.int64)), pa.array((g[alive] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("doc_id").take(at), part.column("mark").take(at), pa.array(first[alive].astype(np.int32))], names=["h", "g", "doc_id", "mark", "position"])
+            at = owner[alive]
+            held.append((h[alive].view(np.int64), (g[alive] >> np.uint64(32)).astype(np.uint32).view(np.int32), part.column("doc_id").to_numpy()[at], part.column("mark").to_numpy()[at], first[alive].astype(np.int32)))
+            total += len(alive)
+            if total > FLUSH // 4:
+                yield from grouped(*map(np.concatenate, zip(*held, strict=True)))
+                held, total = [], 0
+        if total:
+            yield from grouped(*map(np.concatenate, zip(*held, strict=True)))
 
-    windows = docs.select("doc_id", "text", "mark").mapInArrow(doubtful, "h long, g int, doc_id long, mark long, position int")
-    windows = written(windows, "doubtful-windows")
+    kept = shared_dir(spark, "doubtful-windows")
+    docs.select("doc_id", "text", "mark").mapInArrow(doubtful, DOUBTFUL).write.parquet(kept)
+    windows = spark.read.schema(DOUBTFUL).parquet(kept)
     remove_dir(spark, uri)
-    groups = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
-    later = windows.join(groups.repartition("h", "g"), ["h", "g"]).where("doc_id > first").select("doc_id", "mark", "position")
-    return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("position")).alias("positions"))
+    # A group has a row for each task and place in its smallest document there, however many documents share the window.
+    least = F.min("doc_id").over(Window.partitionBy("h", "g"))
+    later = windows.where("h IS NOT NULL").select("doc_id", "mark", "position", least.alias("least")).where("doc_id > least")
+    both = later.select("doc_id", "mark", F.array("position").alias("positions")).unionByName(windows.where("h IS NULL").select("doc_id", "mark", "positions"))
+    found = written(both.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("positions")).alias("positions")), "repeated-positions")
+    remove_dir(spark, kept)
+    del windows, later, both
+    release(spark)
+    return found
 
 
 def covered_words(positions: np.ndarray, n: int) -> np.ndarray:
@@ -243,7 +311,7 @@ def covered_words(positions: np.ndarray, n: int) -> np.ndarray:
 
 def with_positions(df: DataFrame) -> DataFrame:
     """All rows and columns of df, and the positions found for them (null if none)."""
-    found = written(repeated_positions(df), "repeated-positions").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("positions").alias("__positions"))
+    found = repeated_positions(df).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("positions").alias("__positions"))
     return df.join(found, (df["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(df["text"]) == F.col("__mark")), "left").drop("__id", "__mark")
 
 
@@ -252,6 +320,7 @@ def dedup_digest(df: DataFrame) -> DataFrame:
     narrow = df.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
+        merged.cache_clear()
         for part in text_slices(batches):
             words, removed, digests = [], [], []
             for t, p in zip(part.column("text").to_pylist(), part.column("__positions").to_pylist(), strict=True):
@@ -274,6 +343,7 @@ def without_repeats(df: DataFrame) -> DataFrame:
     schema = df.schema
 
     def run(batches):
+        merged.cache_clear()
         for part in text_slices(batches):
             texts = []
             for t, p in zip(part.column("text").to_pylist(), part.column("__positions").to_pylist(), strict=True):
