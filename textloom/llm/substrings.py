@@ -232,7 +232,7 @@ def grouped(h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos
         heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
         lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(d)), pa.int32()), pa.array(position[order]))
         k = len(heads)
-        out.append(pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(d[heads]), pa.array(m[heads]), pa.nulls(k, pa.int32()), lists], names=DOUBTFUL.names))
+        out.append(pa.RecordBatch.from_arrays([pa.array(m[heads]), pa.array(np.zeros(k, np.int32)), pa.array(d[heads]), pa.array(m[heads]), pa.nulls(k, pa.int32()), lists], names=DOUBTFUL.names))
     return out
 
 
@@ -286,17 +286,15 @@ def repeated_positions(df: DataFrame) -> DataFrame:
         if total:
             yield from grouped(*map(np.concatenate, zip(*held, strict=True)))
 
-    kept = shared_dir(spark, "doubtful-windows")
-    docs.select("doc_id", "text", "mark").mapInArrow(doubtful, DOUBTFUL).write.parquet(kept)
-    windows = spark.read.schema(DOUBTFUL).parquet(kept)
+    windows = docs.select("doc_id", "text", "mark").mapInArrow(doubtful, DOUBTFUL)
+    # A group has a row for each task and place in its smallest document there, however many documents share the window;
+    # lists of what is known already come along under the hash of their text.
+    least = F.min(F.when(F.col("positions").isNull(), F.col("doc_id"))).over(Window.partitionBy("h", "g"))
+    later = windows.select("doc_id", "mark", "position", "positions", least.alias("least")).where("positions IS NOT NULL OR doc_id > least")
+    every = later.groupBy("doc_id", "mark").agg(F.collect_list("position").alias("here"), F.flatten(F.collect_list("positions")).alias("there"))
+    found = written(every.select("doc_id", "mark", F.concat("here", "there").alias("positions")), "repeated-positions")
     remove_dir(spark, uri)
-    # A group has a row for each task and place in its smallest document there, however many documents share the window.
-    least = F.min("doc_id").over(Window.partitionBy("h", "g"))
-    later = windows.where("h IS NOT NULL").select("doc_id", "mark", "position", least.alias("least")).where("doc_id > least")
-    both = later.select("doc_id", "mark", F.array("position").alias("positions")).unionByName(windows.where("h IS NULL").select("doc_id", "mark", "positions"))
-    found = written(both.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("positions")).alias("positions")), "repeated-positions")
-    remove_dir(spark, kept)
-    del windows, later, both
+    del windows, later, every
     release(spark)
     return found
 
