@@ -3,8 +3,8 @@
 Each task turns its rows into blocks. A block's index has, for each dimension and each quantised signed impact, the
 segment of its rows with that impact. A query orders the segments by the size of impact times its own weight and adds
 them up, largest first. What a segment leaves open (the width of its impact) and what unread segments can still add are
-known, so each row's score has bounds at any time. Reading stops when few rows can still reach the k-th best lower bound,
-or at the end; every row whose upper bound reaches it is then rescored exactly in integers. Ties go to the smaller
+known, so each row's score has bounds at any time. Some rows of high sums are scored exactly on the way, and the k-th
+best of these is a lower bound; reading stops when it is proven that few rows can still reach it, or at the end; every row whose upper bound reaches it is then rescored exactly in integers. Ties go to the smaller
 vec_id. Queries come to the tasks in blocks from a table in the shared folder, so neither side is held as a whole and
 nothing is broadcast; each task sends k rows for each query and block.
 
@@ -27,8 +27,10 @@ from .common import file_system, shared_dir
 
 #: Rows of a block, queries read at once, steps of a quantised impact on either side of zero.
 BLOCK, QUERIES, LEVELS = 16_384, 512, 8
-#: Reading goes on while more rows than this can be members, and is tested after these shares of the segments.
-FEW, TESTS = 64, (0.2, 0.35, 0.5, 0.65, 0.8)
+#: Reading goes on while more than this share of a block's rows can be members, tested after these shares of the segments.
+FEW, TESTS = 0.25, (0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.85)
+#: Rows of the highest sums that a test scores exactly, for a lower bound on the k-th best.
+PROBES = 32
 
 
 def padded(rows: list[np.ndarray], width: int) -> np.ndarray:
@@ -50,8 +52,8 @@ def vectors(column: pa.Array) -> np.ndarray:
 class Block:
     """Rows and their segments: one for each dimension and level, the rows in it and the middle and half width of its impacts."""
 
-    def __init__(self, ids: np.ndarray, marks: np.ndarray, x: np.ndarray):
-        self.ids, self.marks, self.x = ids, marks, x
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self.whole, self.largest = ids, x, x.astype(np.float64), int(np.abs(x).max(initial=0))
         n, dims = x.shape
         most = np.maximum(np.abs(x).max(0, initial=1), 1)
         self.width = -(-(2 * most + 1) // (2 * LEVELS))  # of a level, by dimension
@@ -59,20 +61,26 @@ class Block:
         self.count = 2 * LEVELS + 1
         code = level + np.arange(dims) * self.count
         order = np.argsort(code.T.ravel(), kind="stable")
-        self.rows = (order % max(n, 1)).astype(np.int32)
+        self.rows = order % max(n, 1)
         self.cuts = np.searchsorted(code.T.ravel()[order], np.arange(dims * self.count + 1))
         low = np.arange(self.count)[None] * self.width[:, None] - most[:, None]
         self.middle = (low + (self.width[:, None] - 1) / 2).ravel()
         self.half = np.repeat((self.width - 1) / 2, self.count)
         self.dim = np.repeat(np.arange(dims), self.count)
 
+    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact inner products; by floating point where all sums stay whole numbers below 2**53."""
+        if int(np.abs(q).sum()) * self.largest < 1 << 53:
+            return (self.whole[at] @ q.astype(np.float64)).astype(np.int64)
+        return self.x[at] @ q
+
     def best(self, q: np.ndarray, own: int, k: int) -> np.ndarray:
         """Rows that are in the top k, by exact score and then by id, without the query's own."""
         n = len(self.ids)
         gain = q[self.dim] * self.middle
         order = np.argsort(-np.abs(gain), kind="stable")
         order = order[(self.cuts[order + 1] > self.cuts[order])]
-        sums, done = np.zeros(n), 0
+        sums, done, known = np.zeros(n), 0, -np.inf
         mine = (self.ids == own)
         alive = np.flatnonzero(~mine)
         spread = float((np.abs(q) * (self.width - 1) / 2).sum())
@@ -87,11 +95,13 @@ class Block:
             slack = rest.sum() + spread + 1e-6 * (1 + np.abs(sums).max(initial=0))
             if len(alive) > k:
                 now = sums[alive]
-                kth = np.partition(now, len(now) - k)[len(now) - k]
-                alive = alive[now + slack >= kth - slack]
-            if len(alive) <= max(FEW, k):
+                most = min(len(alive), max(k, PROBES))
+                probes = self.scores(alive[np.argpartition(now, len(now) - most)[len(now) - most :]], q)
+                known = max(known, float(np.partition(probes, most - k)[most - k]))
+                alive = alive[now + slack >= known]
+            if len(alive) <= max(FEW * n, k):
                 break
-        exact = self.x[alive] @ q
+        exact = self.scores(alive, q)
         return alive[np.lexsort((self.ids[alive], -exact))[:k]]
 
 
@@ -128,16 +138,16 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataF
 
         def found():
             table = pa.Table.from_batches(held).combine_chunks()
-            block = Block(table.column("id").to_numpy(), None, vectors(table.column("x").chunk(0)))
+            block = Block(table.column("id").to_numpy(), vectors(table.column("x").chunk(0)))
             out = []
             for ids, q in query_blocks(uri):
                 w = max(q.shape[1], block.x.shape[1])
                 if w > block.x.shape[1]:
-                    block = Block(block.ids, None, padded(list(block.x), w))
+                    block = Block(block.ids, padded(list(block.x), w))
                 q = padded(list(q), w) if w > q.shape[1] else q
                 for own, v in zip(ids.tolist(), q, strict=True):
                     hit = block.best(v, own, k)
-                    out.append((np.full(len(hit), own), block.ids[hit], block.x[hit] @ v))
+                    out.append((np.full(len(hit), own), block.ids[hit], block.scores(hit, v)))
             if out:
                 a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["query_id", "vec_id", "score"])
