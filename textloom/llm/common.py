@@ -114,17 +114,23 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+SPREAD = 1 << 20
+
+
+def picked_keys(df: DataFrame, label: str, per_value: int, key: str) -> DataFrame:
+    """Rows whose key's hash falls below a threshold that leaves about per_value rows of each label value, 2 * per_value a value at most on average."""
+    counts = {r["v"]: r["n"] for r in df.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(label).alias("v")).agg(F.count("*").alias("n")).collect()}
+    chosen = F.lit(False)
+    for value in sorted(counts):
+        cut = max(1, min(SPREAD, round(SPREAD * per_value / counts[value])))
+        chosen = chosen | ((F.col(label) == F.lit(value)) & (F.pmod(F.xxhash64(key), F.lit(SPREAD)) < cut))
+    return df.where(chosen).limit(2 * per_value * max(1, len(counts)))
+
+
 def labelled_sample(df: DataFrame, label: str, per_value: int, key: str = "doc_id", max_chars: int = 20_000) -> list[tuple]:
     """About per_value rows (text, label) of each label value for fitting a classifier, picked by the key's hash.
 
-    At most twice per_value rows of a value come to the driver, each of max_chars at most, so the bound holds at any input size.
+    At most twice per_value rows a value come to the driver, each of max_chars at most, so the bound holds at any input size.
     """
-    rows = df.select(F.col(key).alias("k"), F.col("text").alias("t"), F.col(label).alias("v")).where("v is not null and t is not null and k is not null").where(F.length("t") <= max_chars)
-    counts = {r["v"]: r["n"] for r in rows.groupBy("v").agg(F.count("*").alias("n")).collect()}
-    out: list[tuple] = []
-    spread = 1 << 20
-    for value in sorted(counts):
-        cut = max(1, min(spread, round(spread * per_value / counts[value])))
-        picked = rows.where((F.col("v") == F.lit(value)) & (F.pmod(F.xxhash64("k"), F.lit(spread)) < cut)).limit(2 * per_value)
-        out += sorted((r["t"], value) for r in picked.select("t").collect())
-    return out
+    rows = picked_keys(df.select(key, "text", label), label, per_value, key).where(F.length("text") <= max_chars)
+    return sorted((r["text"], r[label]) for r in rows.select("text", label).collect())

@@ -23,7 +23,7 @@ from .common import bounded_batches, text_slices
 
 SEQUENCE, END_ID = 4096, 2
 #: Words that a worker remembers: two generations of this many.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 #: Signs that may follow a word's letters; no apostrophe, which the pre-tokeniser treats apart.
 SIGNS = ".,;:!?"
 
@@ -39,8 +39,7 @@ class Words:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that byte-level vocabularies show as they are
         rest = iter(range(256, 512))
         self.shown = {b: b if b in plain else next(rest) for b in range(256)}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known(self)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,25 +59,29 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, missing = self.young, []
-        for w in set().union(*split):
-            if w not in young:
-                if (v := self.old.get(w)) is not None:
-                    young[w] = v
-                else:
-                    missing.append(w)
-        young[""] = b""
-        odd = []
-        for w in missing:
-            if w and not (ids := self.one(w)):
-                odd.append(w)
-            elif w:
-                young[w] = ids
-        young |= zip(odd, self.raw(odd), strict=True)
-        return [b"".join(map(young.__getitem__, words)) for words in split]
+        self.known.age()
+        find = self.known.__getitem__
+        return [b"".join(map(find, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+class Known(dict):
+    """Ids of words, made when first asked for; words not asked for since the generation before the last are forgotten."""
+
+    def __init__(self, words: Words):
+        super().__init__({"": b""})
+        self.words, self.old = words, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            ids = self.words.one(word) or self.words.raw([word])[0]
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
 
 
 @cache

@@ -120,7 +120,9 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 def fit(df: DataFrame) -> tuple[Markov, Markov]:
     """Models with ordinary strings from a bounded sample: documents with the least hashes of the key."""
     sample = df.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    return train([r["text"] for r in sample.orderBy("h", "text").limit(SAMPLE_DOCS).collect()])
+    least = [r["h"] for r in sample.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]  # hashes alone, then these texts
+    texts = sample.where(F.col("h") <= least[-1]).limit(2 * SAMPLE_DOCS).collect() if least else []
+    return train([r["text"] for r in sorted(texts, key=tuple)[:SAMPLE_DOCS]])
 
 
 def find_secrets(df: DataFrame, models: tuple[Markov, Markov] | None = None) -> DataFrame:

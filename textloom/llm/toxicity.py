@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, labelled_sample, map_texts
+from .common import crc_fold, map_texts, picked_keys
 
 WINDOW, STRIDE = 20, 10
 GRAM = 4
 #: Bound on the known words and grams, the most frequent by training documents, each in so many of them at least.
 MOST_WORDS, MOST_GRAMS, LEAST_DOCS = 1 << 14, 1 << 15, 3
 EMBED, HIDDEN = 8, 8
-#: Bound on the labelled documents of each label that training reads, and on the windows of an epoch.
-DOCS_PER_LABEL, EPOCH_WINDOWS = 1200, 24_000
+#: Bounds on the labelled documents of each label that training reads, on their length, and on the windows of an epoch.
+DOCS_PER_LABEL, MOST_CHARS, EPOCH_WINDOWS = 1200, 20_000, 24_000
 EPOCHS, RATE, BATCH, SEED = 8, 0.01, 256, 7
 #: Weight of a clean text against a toxic one when scores are calibrated.
 CLEAN_WEIGHT = 4.0
@@ -357,7 +357,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
     Labels of one document are merged by their maximum; null labels and keys don't count.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(~crc_fold("doc_id", 5, 0) & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return train(labelled_sample(docs.select("doc_id", "text").join(marks, "doc_id"), "label", DOCS_PER_LABEL))
+    keys = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in picked_keys(marks, "label", DOCS_PER_LABEL, "doc_id").collect()], marks.schema)
+    # The sample's keys are bounded, so they go to the documents and not the texts to them.
+    texts = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").where(F.length("text") <= MOST_CHARS)
+    return train(sorted((r["text"], r["label"]) for r in texts.limit(4 * DOCS_PER_LABEL).collect()))
 
 
 def toxicity(docs: DataFrame, net: Network) -> DataFrame:
