@@ -30,7 +30,7 @@ LET, NUM, OTH, APO1, APO2, WHITE, LAST_SPACE, LAST_WHITE, BORDER = range(9)
 WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 CHUNK = 64
 #: Pieces whose merges a worker remembers: two generations of this many.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 300_000
 #: Longer pieces are merged one by one with a heap, shorter ones together in arrays.
 LONG_PIECE = 48
 
