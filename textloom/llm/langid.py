@@ -26,8 +26,8 @@ ORDER = 4
 BITS, SYMBOLS = 7, 127
 #: Bound on the documents a language that training reads; a fifth of them calibrate.
 DOCS_PER_LANGUAGE = 300
-#: Rejected: a score below this, or more nats a symbol than any calibrating document by this margin.
-LEAST_SCORE, MARGIN = 0.40, 0.75
+#: Rejected: a score below this, or more nats a symbol than halfway from the worst calibrating document to pure chance.
+LEAST_SCORE = 0.40
 TEMPERATURES = (0.25, 0.5, 1, 2, 4, 8, 16, 32)
 
 
@@ -193,7 +193,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
         if len(h):
             loss = {t: -np.log(np.maximum(softmax(h, t)[np.arange(len(h)), truth], 1e-9)).mean() for t in TEMPERATURES}
             model.temperature = min(loss, key=loss.get)
-            model.most_nats = float(h.min(1).max() + MARGIN)
+            model.most_nats = float((h.min(1).max() + np.log(1 << BITS)) / 2)
     return model
 
 
