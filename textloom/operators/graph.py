@@ -21,7 +21,7 @@ def delete_folder(spark, uri: str) -> None:
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """node, root: the least node reachable, for every node with an edge to another node.
+    """node, root: the least node reachable, for every node that is not itself the least of its component.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs one round; the round
     before it is deleted. Null ends and loops are ignored, repeated edges count once, no edges give no rows.
