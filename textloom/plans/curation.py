@@ -289,13 +289,6 @@ def length_matched_subsample(d):
     SELECT doc_id, lang, source, bin FROM r WHERE rk <= floor(0.8 * m)"""
 
 
-@plan
-def stratified_interleave(d):
-    """Greedy interleaving by weights is one global order of rank over weight."""
-    return """WITH c AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rk, count(*) OVER (PARTITION BY lang) AS w FROM documents)
-    SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY CAST(rk AS DOUBLE) / w, lang) - 1 AS BIGINT) AS pos FROM c"""
-
-
 @plan
 def group_cap(d):
     return "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk, count(*) OVER () AS n FROM documents) x WHERE rk <= greatest(1, floor(0.002 * n))"
@@ -307,11 +300,6 @@ def budget_stop_shards(d):
     r AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY worker ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT worker, shard, tokens FROM r WHERE before < 1.25 * 40000"""
 
 
-@plan
-def range_partition(d):
-    return "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, CAST(floor(pos / ceil(n / 7.0)) AS BIGINT) AS slice FROM p"
-
-
 @plan
 def ks_length_distance(d):
     """Largest distance between each source's length distribution and the whole corpus's."""
