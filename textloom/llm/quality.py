@@ -36,7 +36,7 @@ RULES = (
     Rule("mean_word_chars", 2.0, 15.0, 10),
     Rule("symbol_ratio", None, 0.10, 10),
     Rule("stop_ratio", 0.01, None, 50),
-    Rule("dup_line_ratio", None, 0.30, 10),
+    Rule("dup_line_ratio", None, 0.50, 10),
     Rule("letter_ratio", 0.50, None, 10),
     Rule("bullet_line_ratio", None, 0.90, 50),
     Rule("ellipsis_line_ratio", None, 0.30, 50),
