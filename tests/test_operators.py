@@ -63,3 +63,14 @@ def test_curation_rules(spark):
     got = {int(r["prompt_id"]): r["drop_reason"] for r in spark.sql(curation.PLANS["drop_reasons"](SPARK)).collect()}
     assert got == {1: "refusal", 2: "too_short", 3: "degenerate", 4: "cjk", 5: None, 6: "exact_dup"}
     assert spark.table("documents").agg(F.count("*")).first()[0] == 6
+
+
+def test_nearest_equals_all_pairs(spark):
+    from textloom.operators.nearest import nearest
+
+    r = np.random.default_rng(3)
+    x, y = np.round(r.normal(size=(40, 5)), 3), np.round(r.normal(size=(9, 5)), 3)
+    frame = lambda a: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(900, None), (901, [0.0] * 5)], "id long, x array<double>")
+    got = {g.id: (g["item"], g.cosine) for g in nearest(frame(x), frame(np.concatenate([y, y]))).collect()}
+    s = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+    assert {i: v[0] for i, v in got.items()} == dict(enumerate(s.argmax(1).tolist())) and np.allclose([got[i][1] for i in range(40)], s.max(1), atol=1e-6)

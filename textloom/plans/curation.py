@@ -186,16 +186,6 @@ def clean_items(d):
     return f"WITH {contamination(d, 8)} SELECT b.item_id FROM benchmark b LEFT JOIN (SELECT DISTINCT item_id FROM hits) h ON b.item_id = h.item_id WHERE h.item_id IS NULL"
 
 
-@plan
-def semantic_nearest(d):
-    """Each vector's nearest of a stated item set (every tenth id), by cosine."""
-    dot = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), CAST(0 AS DOUBLE), (s, x) -> s + x)" if d.spark else f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]))"
-    return f"""WITH n AS (SELECT vec_id, embedding AS e, sqrt({dot('embedding', 'embedding')}) AS len FROM embeddings),
-    s AS (SELECT q.vec_id, i.vec_id AS item, round({dot('q.e', 'i.e')} / (q.len * i.len), 9) AS cosine FROM n q JOIN n i ON q.vec_id % 10 <> 0 AND i.vec_id % 10 = 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, item) AS rk FROM s)
-    SELECT vec_id, item, round(cosine, 6) AS cosine, cosine >= 0.85 AS hit FROM r WHERE rk = 1"""
-
-
 @plan
 def benchmark_style_density(d):
     labels = d.distinct(d.each(d.find_all("text", r"(?m)^\s*\(?([A-Da-d])[).:]\s+\S", 1), "x", "upper(x)"))
