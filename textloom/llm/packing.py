@@ -48,9 +48,14 @@ class Words:
         """Ids of a word. Latin letters with signs after them go straight to the merges of the library's model, since the
         pre-tokeniser cuts between letters and signs and the normaliser only lowers such letters."""
         core = word.rstrip(SIGNS)
-        if not core.isalpha() or max(core) >= "\u0130" or len(word) - len(core) > 3:
+        if not core.isalpha() or len(word) - len(core) > 3:
+            return b""
+        if core.isascii():  # byte-level vocabularies show such letters as they are
+            ids = [t.id for t in self.model.tokenize(core.lower())]
+        elif max(core) < "\u0130":
+            ids = [t.id for t in self.model.tokenize(core.lower().encode().decode("latin-1").translate(self.shown))]
+        else:
             return b""
-        ids = [t.id for t in self.model.tokenize(core.lower().encode().decode("latin-1").translate(self.shown))]
         if len(core) < len(word):
             if (tail := self.tails.get(word[len(core) :])) is None:
                 tail = self.tails[word[len(core) :]] = [t.id for t in self.model.tokenize(word[len(core) :])]
