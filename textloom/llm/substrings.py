@@ -267,7 +267,7 @@ def repeated_positions(df: DataFrame) -> DataFrame:
         if total:
             yield sent()
 
-    parts = docs.select("text").mapInArrow(count, "at int, once binary, more binary").repartition(min(ROWS * shards_of(bits), 4 * spark.sparkContext.defaultParallelism), "at").sortWithinPartitions("at")
+    parts = docs.select("text").mapInArrow(count, "at int, once binary, more binary").repartition(ROWS * shards_of(bits), "at").sortWithinPartitions("at")
     parts.mapInArrow(lambda batches: merge_shards(batches, uri, bits), "at int, cells long").agg(F.sum("cells")).collect()
     del parts
     release(spark)
