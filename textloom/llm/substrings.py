@@ -220,9 +220,11 @@ DOUBTFUL = T.StructType([
 def grouped(h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, position: np.ndarray) -> list[pa.RecordBatch]:
     """Groups a task's doubtful windows: those of a group's smallest doc_id go on as rows, the others are repeated, and listed by document."""
     order = np.lexsort((doc, g, h))
-    h, g, doc, mark, position = (x[order] for x in (h, g, doc, mark, position))
-    heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
-    later = doc > np.repeat(doc[heads], np.diff(np.append(heads, len(h))))
+    sh, sg = h[order], g[order]
+    heads = np.flatnonzero(np.concatenate([[True], (sh[1:] != sh[:-1]) | (sg[1:] != sg[:-1])]))
+    later = np.zeros(len(h), bool)
+    later[order] = doc[order] > np.repeat(doc[order[heads]], np.diff(np.append(heads, len(h))))
+    # Rows stay in the documents' order, in which neighbours share much and so compress well on their way.
     go = ~later
     n = int(go.sum())
     out = [pa.RecordBatch.from_arrays([pa.array(h[go]), pa.array(g[go]), pa.array(doc[go]), pa.array(mark[go]), pa.array(position[go]), pa.nulls(n, pa.list_(pa.int32()))], names=DOUBTFUL.names)]
