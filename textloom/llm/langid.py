@@ -26,8 +26,8 @@ ORDER = 4
 BITS, SYMBOLS = 7, 127
 #: Bound on the documents a language that training reads; a fifth of them calibrate.
 DOCS_PER_LANGUAGE = 300
-#: Rejected: a score below this, or more nats a symbol than halfway from the worst calibrating document to pure chance.
-LEAST_SCORE = 0.40
+#: Rejected: a score below so many times chance, or more nats a symbol than halfway from the worst calibrating document to pure chance.
+LEAST_SCORE = 1.2
 TEMPERATURES = (0.25, 0.5, 1, 2, 4, 8, 16, 32)
 
 
@@ -103,7 +103,7 @@ class Model:
         best, p = h.argmin(1), softmax(h, self.temperature)
         score = np.where(has, p[np.arange(len(best)), best], 0.0)
         least = h.min(1)
-        rejected = ~has | (score < LEAST_SCORE) | (least > self.most_nats)
+        rejected = ~has | (score < min(0.9, LEAST_SCORE / len(self.languages))) | (least > self.most_nats)
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)], score.tolist(), rejected.tolist(), np.where(has, least, 0.0).tolist()
 
 
