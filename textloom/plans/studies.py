@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.dialect import Dialect, Plan
 from .analytics import cells, curves, runs, teachers
+from .curation import contamination, minhash
 
 PLANS: dict[str, Plan] = {}
 
@@ -262,3 +263,34 @@ def nested_check(d):
     """Documents of a smaller hash subsample that a larger one lacks: none."""
     pick = lambda n: f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('1:', CAST(doc_id AS STRING))), doc_id) AS rk FROM documents) q{n} WHERE rk <= {n}"
     return f"WITH a AS ({pick(20)}), b AS ({pick(60)}) SELECT (SELECT count(*) FROM a) AS small, (SELECT count(*) FROM b) AS large, (SELECT count(*) FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b) x) AS lacking"
+
+
+@plan
+def pool_clean_chain(d):
+    """The stages in order: exact copies, near copies by bands, contaminated, then a cap for each group of what is left."""
+    norm = d.replace_all("lower(trim(text))", r"\s+", " ")
+    return f"""WITH {minhash(d)}, {contamination(d, 8)}, ex AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({norm})),
+    kx AS (SELECT keys.doc_id, band, bk FROM keys JOIN ex ON keys.doc_id = ex.doc_id), hd AS (SELECT band, bk, min(doc_id) AS head FROM kx GROUP BY band, bk),
+    nr AS (SELECT DISTINCT kx.doc_id FROM kx JOIN hd ON kx.band = hd.band AND kx.bk = hd.bk WHERE kx.doc_id <> hd.head), bad AS (SELECT DISTINCT doc_id FROM hits),
+    s AS (SELECT x.doc_id, x.source, CASE WHEN ex.doc_id IS NULL THEN 'exact' WHEN nr.doc_id IS NOT NULL THEN 'near' WHEN bad.doc_id IS NOT NULL THEN 'contaminated' END AS why
+    FROM documents x LEFT JOIN ex ON x.doc_id = ex.doc_id LEFT JOIN nr ON x.doc_id = nr.doc_id LEFT JOIN bad ON x.doc_id = bad.doc_id),
+    c AS (SELECT *, row_number() OVER (PARTITION BY source, why ORDER BY doc_id) AS rk FROM s), n AS (SELECT count(*) AS n FROM documents)
+    SELECT doc_id, coalesce(why, CASE WHEN rk > greatest(1, floor(0.02 * n)) THEN 'cap' END, 'kept') AS stage FROM c CROSS JOIN n"""
+
+
+@plan
+def writer_prompts(d):
+    """Persona and leaf picked by hash for each of two hundred instructions."""
+    h = lambda s: f"{'CAST(conv(substr(md5(' if d.spark else 'CAST((' + chr(39) + '0x' + chr(39) + ' || substr(md5('}concat('{s}', CAST(i AS STRING))), 1, 8){', 16, 10) AS BIGINT)' if d.spark else ') AS BIGINT)'}"
+    return f"""WITH p AS (SELECT c_name AS persona, row_number() OVER (ORDER BY c_custkey) - 1 AS pi, count(*) OVER () AS pn FROM (SELECT c_name, c_custkey FROM customer WHERE c_custkey < 100) a),
+    l AS (SELECT n_name AS leaf, row_number() OVER (ORDER BY n_nationkey) - 1 AS li, count(*) OVER () AS ln FROM nation), i AS (SELECT CAST(i AS BIGINT) AS i, {h('p')} AS hp, {h('l')} AS hl FROM {numbers(d, 0, 199)} x)
+    SELECT i, concat('As ', persona, ', ask a question about ', leaf, '.') AS instruction FROM i JOIN p ON pi = hp % pn JOIN l ON li = hl % ln"""
+
+
+@plan
+def profile_fit(d):
+    """A power law whose exponent is profiled on a coarse grid and then on a fine one about the best."""
+    fit = lambda al: f"SELECT run, alpha, regr_slope(l, power(d, -alpha)) AS a, regr_intercept(l, power(d, -alpha)) AS e, greatest(regr_syy(l, power(d, -alpha)) - regr_slope(l, power(d, -alpha)) * regr_sxy(l, power(d, -alpha)), 0) AS sse FROM {al} GROUP BY run, alpha"
+    return f"""WITH {curves(d)}, x1 AS (SELECT run, CAST(0.02 * j AS DOUBLE) AS alpha, d, l FROM c CROSS JOIN {numbers(d, 1, 60, 'j')} g), f1 AS ({fit('x1')}), b1 AS (SELECT run, alpha AS best, row_number() OVER (PARTITION BY run ORDER BY round(sse, 9), alpha) AS rk FROM f1 WHERE a >= 0),
+    x2 AS (SELECT c.run, best + CAST(0.001 * (j - 20) AS DOUBLE) AS alpha, d, l FROM c JOIN b1 ON c.run = b1.run AND rk = 1 CROSS JOIN {numbers(d, 1, 39, 'j')} g), f2 AS ({fit('x2')}), b2 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(sse, 9), alpha) AS rk FROM f2 WHERE a >= 0 AND alpha > 0)
+    SELECT run, round(alpha, 3) AS alpha, round(e, 2) AS e FROM b2 WHERE rk = 1"""
