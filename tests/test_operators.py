@@ -58,7 +58,7 @@ def test_dialects_quote_apostrophes():
 def test_curation_rules(spark):
     from textloom.plans import curation
 
-    rows = [(1, "As an AI I refuse. " + "word " * 40, "en", "s"), (2, "too short", "en", "s"), (3, "same line of words here\n" * 9, "en", "s"), (4, "中文" * 90, "en", "s"), (5, "plain text of many words " * 12, "en", "s"), (6, "plain  text of many words " * 12, "en", "s")]
+    rows = [(1, "Well, I cannot help with that. " + "word " * 40, "en", "s"), (2, "too short", "en", "s"), (3, "same line of words here\n" * 9, "en", "s"), (4, "中文" * 90, "en", "s"), (5, "plain text of many words " * 12, "en", "s"), (6, "plain  text of many words " * 12, "en", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").createOrReplaceTempView("documents")
     got = {int(r["prompt_id"]): r["drop_reason"] for r in spark.sql(curation.PLANS["drop_reasons"](SPARK)).collect()}
     assert got == {1: "refusal", 2: "too_short", 3: "degenerate", 4: "cjk", 5: None, 6: "exact_dup"}

@@ -12,10 +12,32 @@ def plan(f: Plan) -> Plan:
     return f
 
 
-# Patterns of refusals and of self-identification, limits of the row rules, stop words of the heuristic.
-REFUSAL = r"(?i)\b(i cannot|i can't|i am unable|i'm unable|as an ai)\b"
-SELF_ID = r"(?i)\b(language model|openai|anthropic|qwen|alibaba)\b"
-STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "as", "was", "with", "on", "are", "be", "by", "this", "an", "or", "from")
+# Fixed values, which decide what the row rules flag: patterns of refusals, of self-identification and of references to a
+# passage, patterns of the harvest filter, stop words of the English heuristic, its limits.
+REFUSAL = r"(?i)\b(i'?m sorry,? but|i cannot (help|assist|provide|comply)|as an ai|i am an ai language model|i'?m unable to|i can'?t help with|i will not|i won'?t be able to)\b"
+SELF_ID = r"(?i)\b(qwen|alibaba cloud|tongyi|通义)\b"
+PASSAGE_REF = r"(?i)\b(the (passage|text|background|excerpt) (above|below|provided|given)|according to the (passage|text)|as (mentioned|stated) (above|in the text)|the author)\b"
+URL = r"(?i)(https?://|www\.)\S+|\b[a-z0-9-]+\.(com|org|net|io|edu|gov)\b"
+EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+PHONE = r"(\+?\d[\d\s().-]{7,}\d)"
+SSN = r"\b\d{3}-\d{2}-\d{4}\b"
+IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+CARD = r"\b(?:\d[ -]?){13,19}\b"
+CODE_REQUEST = (
+    r"(?i)```|\bwrite (me )?(a|an|the|some)? ?(python|java|javascript|c\+\+|c#|rust|go|sql|bash|html|css|typescript)?\s*"
+    r"(function|script|program|class|code|regex|query|snippet)\b|\bimplement\b.*\bin (python|java|c\+\+|javascript|rust|go)\b"
+    r"|\b(def |#include|import numpy|SELECT .* FROM|console\.log|public static void)\b|\bunit tests?\b|\bdebug (this|my) code\b"
+)
+MULTI_TURN = r"(?i)(^|\n)\s*(user|assistant|human|ai|system|bot)\s*:"
+STOP_WORDS = """the a an and or but if then of to in on at by for with from as is are was were be been being
+it its this that these those there here he she they we you i me him her them us my your his
+their our not no yes do does did done have has had will would can could should may might must
+what which who whom whose when where why how all any each some more most other such only own
+same so than too very just also because while about into over after before between under again
+further once during out up down off through above below both few many much one two three first
+last new old good great long little large small every another every well still even never
+always often sometimes"""
+LEAST_ENGLISH, LABEL_ENGLISH = 0.65, 0.5
 
 
 def gen(d: Dialect) -> str:
@@ -68,21 +90,26 @@ def char_counts(d):
     return f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST({'octet_length(text)' if d.spark else 'strlen(text)'} AS BIGINT) AS n_bytes FROM documents"
 
 
+def english_of(d: Dialect, text: str) -> str:
+    """Share of ASCII letters among letters, times a bounded share of stop words; 0 without letters or words."""
+    letters, latin = d.replace_all(text, r"[^\p{L}]+", ""), d.replace_all(text, r"[^A-Za-z]+", "")
+    words = d.find_all(text, "[A-Za-z']+")
+    stops = d.size(d.keep(words, "x", f"lower(x) IN ({', '.join(repr(s) for s in dict.fromkeys(STOP_WORDS.split()))})"))
+    return f"(CASE WHEN {d.size(words)} = 0 THEN 0e0 ELSE CAST(length({latin}) AS DOUBLE) / length({letters}) * least(1e0, 30e-2 + 25e-1 * CAST({stops} AS DOUBLE) / {d.size(words)}) END)"
+
+
 def english(d: Dialect) -> str:
-    letters, latin = d.replace_all("text", r"[^\p{L}]+", ""), d.replace_all("text", r"[^A-Za-z]+", "")
-    stops = d.size(d.keep("w", "x", f"x IN ({', '.join(repr(s) for s in STOP_WORDS)})"))
-    return f"""e0 AS (SELECT doc_id, lang, length({letters}) AS letters, length({latin}) AS latin, {d.words('text')} AS w FROM documents),
-    e AS (SELECT doc_id, lang, CAST(latin AS DOUBLE) / greatest(letters, 1) * least(1.0, 0.30 + 2.5 * CAST({stops} AS DOUBLE) / greatest({d.size('w')}, 1)) AS p_en FROM e0)"""
+    return f"e AS (SELECT doc_id, lang, {english_of(d, 'text')} AS p_en FROM documents)"
 
 
 @plan
 def english_probability(d):
-    return f"WITH {english(d)} SELECT doc_id, round(p_en, 6) AS p_en, CASE WHEN p_en >= 0.5 THEN 'en' ELSE 'other' END AS label FROM e"
+    return f"WITH {english(d)} SELECT doc_id, round(p_en, 6) AS p_en, CASE WHEN p_en >= {LABEL_ENGLISH} THEN 'en' ELSE 'und' END AS label FROM e"
 
 
 @plan
 def lang_filter(d):
-    return f"WITH {english(d)} SELECT lang, count(*) AS n, CAST(count_if(p_en < 0.65) AS BIGINT) AS n_non_english FROM e GROUP BY lang"
+    return f"WITH {english(d)} SELECT lang, count(*) AS n, CAST(count_if(p_en < {LEAST_ENGLISH}) AS BIGINT) AS n_non_english FROM e GROUP BY lang"
 
 
 @plan
@@ -143,6 +170,17 @@ def lsh_candidates(d):
     return f"WITH {minhash(d)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
 
 
+@plan
+def lsh_candidates_14x8(d):
+    """The production setting: 14 bands of 8 rows, which meet at a similarity of about 0.72."""
+    return f"WITH {minhash(d, 14, 8)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
+
+
+@plan
+def band_threshold(d):
+    return "SELECT CAST(14 AS BIGINT) AS bands, CAST(8 AS BIGINT) AS band_rows, round(power(1e0 / 14, 1e0 / 8), 6) AS similarity"
+
+
 def contamination(d: Dialect, n: int) -> str:
     """Distinct (document, item) with a common n-gram; shorter items count by containment, through grams of their own length."""
     doc_grams = f"SELECT doc_id, g FROM (SELECT doc_id, {d.rows(d.grams('w', n))} AS g FROM dw WHERE {d.size('w')} >= {n})"
@@ -194,11 +232,15 @@ def benchmark_style_density(d):
 
 @plan
 def harvest_reject_reasons(d):
-    email, card, phone, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b[0-9]{13,16}\b", r"\(?[0-9]{3}\)?[ .-][0-9]{3}-[0-9]{4}", r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b"
-    pii = " OR ".join(d.matches("text", p) for p in (email, card, phone, ip))
+    pii = " OR ".join(d.matches("text", p) for p in (EMAIL, SSN, IPV4, CARD, PHONE))
     n = d.size(d.find_all("text", r"\S+"))
-    return f"""WITH r AS (SELECT CASE WHEN {n} < 8 OR {n} > 400 THEN 'length' WHEN {d.matches('text', 'https?://')} THEN 'url' WHEN {pii} THEN 'pii'
-    WHEN {d.matches('text', '(?i)(write|implement) .{0,40}(function|script|program|code)')} THEN 'code_request' WHEN lang <> 'en' THEN 'non_english' ELSE 'kept' END AS reason FROM documents) SELECT reason, count(*) AS n FROM r GROUP BY reason"""
+    return f"""WITH r AS (SELECT CASE WHEN {n} < 8 OR {n} > 400 THEN 'length' WHEN {d.matches('text', MULTI_TURN)} THEN 'multi_turn' WHEN {d.matches('text', URL)} THEN 'url' WHEN {pii} THEN 'pii'
+    WHEN {d.matches('text', CODE_REQUEST)} THEN 'code_request' WHEN {english_of(d, 'text')} < {LEAST_ENGLISH} THEN 'non_english' ELSE 'kept' END AS reason FROM documents) SELECT reason, count(*) AS n FROM r GROUP BY reason"""
+
+
+@plan
+def passage_references(d):
+    return f"SELECT source, CAST(count_if({d.matches('text', PASSAGE_REF)}) AS BIGINT) AS n_refs, count(*) AS n FROM documents GROUP BY source"
 
 
 @plan
