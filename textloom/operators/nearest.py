@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +32,11 @@ def blocks(uri: str):
                         yield batch.column(0).to_numpy(), np.stack(batch.column(1).to_pylist()).astype(np.float64)
 
 
-def nearest(rows: DataFrame, items: DataFrame, threshold: float = 0.85) -> DataFrame:
+def nearest(rows: DataFrame, items: DataFrame, threshold: float = 0.85, itself: bool = True) -> DataFrame:
     """id, item, cosine, hit: for each row (id, x) the item (id, x) of the highest cosine; of equals the smallest id.
 
+    Unless `itself`, an item with the row's own id is no match.
+
     Null vectors and zero vectors take no part; all vectors have one length; cosines are rounded to nine digits.
     """
     uri = f"{checkpoint_root(rows.sparkSession)}/items-{uuid.uuid4().hex}"
@@ -46,9 +50,12 @@ def nearest(rows: DataFrame, items: DataFrame, threshold: float = 0.85) -> DataF
                 continue
             x = np.stack(batch.column(1).to_pylist()).astype(np.float64)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
+            own = batch.column(0).to_numpy()
             best, item = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
             for ids, y in blocks(uri):
                 s = np.round(x @ (y / np.sqrt((y * y).sum(1, keepdims=True))).T, 9)
+                if not itself:
+                    s[own[:, None] == ids] = -np.inf
                 top = s.max(1)
                 least = np.where(s == top[:, None], ids, np.iinfo(np.int64).max).min(1)
                 take = (top > best) | (top == best) & (least < item)
@@ -58,3 +65,20 @@ def nearest(rows: DataFrame, items: DataFrame, threshold: float = 0.85) -> DataF
 
     found = rows.where(some).select("id", number.alias("x")).mapInArrow(search, "id long, item long, cosine double")
     return found.select("id", "item", F.round("cosine", 6).alias("cosine"), (F.col("cosine") >= threshold).alias("hit"))
+
+
+def judged(found: DataFrame, rows: DataFrame, items: DataFrame, judge: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
+    """found with the hits that judge refuses taken back; rows and items are (id, what it is shown).
+
+    Only hits reach the judge, in Arrow batches, joined to what it is shown by their ids. Ids are unique on both sides.
+    """
+    hits = found.where("hit").select("id", "item")
+    left, right = rows.toDF("id", "shown"), items.toDF("item", "other")
+    met = hits.join(left, "id").join(right, "item").select("id", "item", "shown", "other")
+
+    def run(batches):
+        for b in batches:
+            yield b.loc[judge(b["shown"], b["other"]).astype(bool), ["id"]]
+
+    agreed = met.mapInPandas(run, "id long").withColumn("agreed", F.lit(True))
+    return found.join(agreed, "id", "left").select("id", "item", "cosine", (F.col("hit") & F.coalesce("agreed", F.lit(False))).alias("hit"))

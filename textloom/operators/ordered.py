@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,3 +35,18 @@ def with_position(df: DataFrame, *order: str, total: str | None = None) -> DataF
         within = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("before", F.col("__total") + F.coalesce(F.sum(value).over(within), F.lit(0)))
     return out.drop("__at", "__part", "__place", "__rows", "__total")
+
+
+def rank_within(df: DataFrame, *groups: str, by: str | tuple[str, ...]) -> DataFrame:
+    """Adds rank (from 0) within each group: a global position less the group's first, so a large group isn't one task."""
+    placed = with_position(df, *groups, *((by,) if isinstance(by, str) else by))
+    firsts = placed.groupBy(*groups).agg(F.min("position").alias("__first")).select("__first", *(F.col(g).alias(f"__{g}") for g in groups))
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups))
+    return placed.join(firsts, same).select(*df.columns, (F.col("position") - F.col("__first")).alias("rank"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from Parquet in the shared folder, where its lineage ends."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -155,7 +155,10 @@ def minhash(d: Dialect, bands: int = 4, rows: int = 4) -> str:
     p, n = 2147483647, bands * rows
     fp = "conv(substr(md5(g), 1, 8), 16, 10)" if d.spark else "('0x' || substr(md5(g), 1, 8))"
     mins = ", ".join(f"{d.least(d.each('fp', 'x', f'({(48271 * (i + 1) * 7919 + 12345) % p} * x + {(69621 * (i + 3) * 104729 + 777) % p}) % {p}'))} AS m{i}" for i in range(n))
-    keys = " UNION ALL ".join(f"SELECT doc_id, {b} AS band, md5(concat_ws(',', {', '.join(f'm{b * rows + r}' for r in range(rows))})) AS bk FROM sig" for b in range(bands))
+    band = lambda b: f"md5(concat_ws(',', {', '.join(f'm{b * rows + r}' for r in range(rows))}))"
+    # Spark explodes all bands from one pass; a union would compute the signatures once a band.
+    exploded = ", ".join(f"struct({b} AS band, {band(b)} AS bk)" for b in range(bands))
+    keys = f"SELECT doc_id, k.band, k.bk FROM (SELECT doc_id, explode(array({exploded})) AS k FROM sig)" if d.spark else " UNION ALL ".join(f"SELECT doc_id, {b} AS band, {band(b)} AS bk FROM sig" for b in range(bands))
     return f"""sh AS (SELECT doc_id, {d.distinct(d.grams('w', 5))} AS gs FROM (SELECT doc_id, {d.words('text')} AS w FROM documents)),
     f AS (SELECT doc_id, {d.each('gs', 'g', f'CAST({fp} AS BIGINT) & {p}')} AS fp FROM sh), sig AS (SELECT doc_id, {mins} FROM f), keys AS ({keys})"""
 

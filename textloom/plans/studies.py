@@ -278,13 +278,49 @@ def pool_clean_chain(d):
     SELECT doc_id, coalesce(why, CASE WHEN rk > greatest(1, floor(0.02 * n)) THEN 'cap' END, 'kept') AS stage FROM c CROSS JOIN n"""
 
 
+def hashed(d: Dialect, *parts: str) -> str:
+    """32 bits of a hash over the parts as a number."""
+    digits = f"substr(md5(concat({', '.join(parts)})), 1, 8)"
+    return f"CAST(conv({digits}, 16, 10) AS BIGINT)" if d.spark else f"CAST(('0x' || {digits}) AS BIGINT)"
+
+
 @plan
 def writer_prompts(d):
-    """Persona and leaf picked by hash for each of two hundred instructions."""
-    h = lambda s: f"{'CAST(conv(substr(md5(' if d.spark else 'CAST((' + chr(39) + '0x' + chr(39) + ' || substr(md5('}concat('{s}', CAST(i AS STRING))), 1, 8){', 16, 10) AS BIGINT)' if d.spark else ') AS BIGINT)'}"
-    return f"""WITH p AS (SELECT c_name AS persona, row_number() OVER (ORDER BY c_custkey) - 1 AS pi, count(*) OVER () AS pn FROM (SELECT c_name, c_custkey FROM customer WHERE c_custkey < 100) a),
-    l AS (SELECT n_name AS leaf, row_number() OVER (ORDER BY n_nationkey) - 1 AS li, count(*) OVER () AS ln FROM nation), i AS (SELECT CAST(i AS BIGINT) AS i, {h('p')} AS hp, {h('l')} AS hl FROM {numbers(d, 0, 199)} x)
-    SELECT i, concat('As ', persona, ', ask a question about ', leaf, '.') AS instruction FROM i JOIN p ON pi = hp % pn JOIN l ON li = hl % ln"""
+    """Persona and leaf picked by hash for each of two hundred instructions; personas are the kinds of customer in the whole table."""
+    return f"""WITH k AS (SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), p AS (SELECT concat(lower(c_mktsegment), ' customer in ', n_name) AS persona, row_number() OVER (ORDER BY c_mktsegment, n_name) - 1 AS pi, count(*) OVER () AS pn FROM k),
+    l AS (SELECT n_name AS leaf, row_number() OVER (ORDER BY n_nationkey) - 1 AS li, count(*) OVER () AS ln FROM nation), i AS (SELECT CAST(i AS BIGINT) AS i, {hashed(d, "'p'", 'CAST(i AS STRING)')} AS hp, {hashed(d, "'l'", 'CAST(i AS STRING)')} AS hl FROM {numbers(d, 0, 199)} x)
+    SELECT i, concat('As a ', persona, ', ask a question about ', leaf, '.') AS instruction FROM i JOIN p ON pi = hp % pn JOIN l ON li = hl % ln"""
+
+
+MOCK_WORDS = ("river", "stone", "light", "garden", "window", "music", "letter", "mountain", "silver", "market", "winter", "paper")
+
+
+@plan
+def mock_generations(d):
+    """Responses of a pseudo-teacher to all user turns: words and their number follow from a hash of turn and seed, so any worker gives the same."""
+    words = array(d, *(f"'{w}'" for w in MOCK_WORDS))
+    pick = f"m[1 + CAST({hashed(d, 'k', chr(39) + ':' + chr(39), 'CAST(i AS STRING)')} % {len(MOCK_WORDS)} AS INT)]" if not d.spark else f"element_at(m, 1 + CAST({hashed(d, 'k', chr(39) + ':' + chr(39), 'CAST(i AS STRING)')} % {len(MOCK_WORDS)} AS INT))"
+    return f"""WITH t AS (SELECT conv_id, turn, concat_ws('|', '7', CAST(conv_id AS STRING), CAST(turn AS STRING), text) AS k, {words} AS m FROM conversations WHERE role = 'user'), n AS (SELECT *, 3 + {hashed(d, 'k')} % 40 AS n FROM t)
+    SELECT conv_id, turn, n AS word_count, {d.glue(d.each(d.upto('n'), 'i', pick))} AS response, CASE WHEN n >= 40 THEN 'length' ELSE 'stop' END AS finish_reason FROM n"""
+
+
+@plan
+def cluster_bootstrap(d):
+    """Quadratic in the condition's rank refitted on resampled clusters (a condition's seeds): interval of the vertex, and how often it lies inside.
+
+    Clusters are summed first, then weighted: a cluster's Poisson weight in a resample follows from a hash, so resamples
+    are rows of sums, and no run is repeated.
+    """
+    weight = " + ".join(f"CAST(u >= {c} AS INT)" for c in ("0.36788e0", "0.73576e0", "0.91970e0", "0.98101e0", "0.99634e0"))
+    u = f"{hashed(d, 'student', chr(39) + '|' + chr(39), 'cond', chr(39) + '|' + chr(39), 'CAST(seed AS STRING)', chr(39) + '|' + chr(39), 'CAST(i AS STRING)')} / 4294967296e0"
+    s = ", ".join([*(f"sum(w * m * power(x, {k})) AS s{k}" for k in range(5)), *(f"sum(w * y * power(x, {k})) AS t{k}" for k in range(3))])
+    return f"""WITH {runs(d)}, k AS (SELECT student, cond, seed, CAST(substring(cond, 1, 1) AS DOUBLE) - 3 AS x, CAST(count(*) AS DOUBLE) AS m, sum(a / 1e5) AS y FROM r GROUP BY student, cond, seed),
+    g AS (SELECT student, x, m, y, i, {u} AS u FROM k CROSS JOIN {numbers(d, 1, 200)} b), w AS (SELECT student, i, x, m, y, {weight} AS w FROM g),
+    f AS (SELECT student, i, {s} FROM w WHERE w > 0 GROUP BY student, i HAVING count(DISTINCT x) >= 3),
+    e AS (SELECT student, i, (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / det AS b, (s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det AS c
+          FROM (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM f) z),
+    v AS (SELECT student, b, c, CASE WHEN c < 0 THEN greatest(-2e0, least(2e0, -b / (2 * c))) WHEN b >= 0 THEN 2e0 ELSE -2e0 END AS x, CASE WHEN c < 0 AND abs(b / (2 * c)) < 2 THEN 1e0 ELSE 0e0 END AS inside FROM e)
+    SELECT student, count(*) AS resamples, round(3 + {d.median('x', 0.025)}, 4) AS lo, round(3 + {d.median('x')}, 4) AS vertex, round(3 + {d.median('x', 0.975)}, 4) AS hi, round(avg(inside), 6) AS interior, round({d.median('c')}, 5) AS curvature FROM v GROUP BY student"""
 
 
 @plan
