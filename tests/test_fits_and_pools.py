@@ -138,3 +138,21 @@ def test_judge_sees_hits_alone(spark):
     rows, items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, text string"), spark.createDataFrame([(7, "a"), (8, "c")], "item long, text string")
     got = {g["id"]: g["hit"] for g in judged(found, rows, items, lambda a, b: a == b).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_json_must_end_with_the_text(spark):
+    import duckdb
+
+    from textloom.functions.dialect import DUCK, SPARK
+    from textloom.plans.formats import PLANS
+
+    texts = ['{"a": 1}', '{"a": 1} x', '{"a": 1}, "x": 2', '[1, 2]', '[1] [2]', '{"a": 1}, {"b": 2}', "none", '{"a": [1, {"b": "}"}]}', '{"a"', '1} {"v": 2', '[1]] [[2]']
+    rows = [(f"k{i}", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "event_type string, props string").createOrReplaceTempView("events")
+    got = {r["event_type"]: r["n_valid"] for r in spark.sql(PLANS["structured_validity"](SPARK)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_type VARCHAR, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?)", rows)
+    con.execute(f"CREATE TABLE o AS {PLANS['structured_validity'](DUCK)}")
+    assert got == dict(con.execute("SELECT event_type, n_valid FROM o").fetchall())
+    assert [texts[i] for i in range(len(texts)) if got[f"k{i}"]] == ['{"a": 1}', "[1, 2]", '{"a": [1, {"b": "}"}]}']

@@ -81,3 +81,29 @@ def test_near_index_joins_heads_only(spark, tmp_path):
     q.awaitTermination()
     got = {r.id: r["head"] for r in spark.table("heads").collect()}
     assert got[1] == 1 and got[2] == 1 and got[3] == 3 and got[5] == 5 and got[4] in (1, 3)
+
+
+def test_harness_samples_of_both_shapes(spark, tmp_path):
+    import json
+
+    rows = [
+        {"doc_id": 0, "target": 1, "arguments": {"g0": {"arg_0": "q", "arg_1": " no"}, "g1": {"arg_0": "q", "arg_1": " yes, it \"is\""}}, "resps": [[["-3.5", "False"]], [["-4.0", "True"]]], "filtered_resps": [["-3.5", "False"], ["-4.0", "True"]]},
+        {"doc_id": 1, "target": "b", "arguments": [["q", " a"], ["q", " b"], ["q", ""]], "resps": [[[-1.0, False]], [[-1e-3, True]], [["-inf", False]]]},
+    ]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n{broken\n")
+    got = {g.doc_id: g for g in records.harness_samples(spark, f"{tmp_path}/s.jsonl").collect()}
+    assert set(got) == {0, 1} and got[0].lls == [-3.5, -4.0] and got[0].is_greedy == [False, True] and got[0].choice_chars == [2, 12]
+    assert (got[0].gold, got[0].acc, got[0].acc_norm) == (1, 0.0, 1.0)
+    assert got[1].gold == 1 and got[1].lls == [-1.0, -1e-3, float("-inf")] and (got[1].acc, got[1].acc_norm) == (1.0, 1.0)
+
+
+def test_configurations_compose_and_taxonomies_flatten(spark):
+    from textloom.sources import config
+
+    base = {"a": {"b": 1, "c": 2}, "d": [1]}
+    assert config.compose(base, {"a": {"c": 3}}, {"e": 4}, override={"a.b": 9}) == {"a": {"b": 9, "c": 3}, "d": [1], "e": 4} and base["a"]["c"] == 2
+    for missing in ("a.x", "q.b", "d.b"):
+        with pytest.raises(KeyError):
+            config.compose(base, override={missing: 1})
+    rows, digest = config.taxonomy(spark, {"s": {"t": ["u", "v"], "w": []}, "x": {"y": ["z"]}})
+    assert [tuple(r) for r in rows.orderBy("position").collect()] == [(0, "s", "t", "u"), (1, "s", "t", "v"), (2, "x", "y", "z")] and len(digest) == 64

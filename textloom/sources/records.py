@@ -61,3 +61,25 @@ def harness_results(spark: SparkSession, path: str) -> DataFrame:
 def newest(files: DataFrame, key: str, modified: str = "modificationTime") -> DataFrame:
     """The latest file of each key."""
     return files.groupBy(key).agg(F.max_by(F.struct(*files.columns), modified).alias("f")).select("f.*")
+
+
+def harness_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Per item of a multiple-choice log: gold, log-likelihoods, greedy flags, lengths of the choices, and both accuracies.
+
+    Answers are filtered ones, else raw ones, however deeply nested; choices come from argument maps or pairs. The first
+    of equal maxima counts; an empty choice never wins by length.
+    """
+    fields = "doc_id long, target string, arguments string, resps string, filtered_resps string"
+    rows = spark.read.schema(fields).json(path).where("doc_id IS NOT NULL").withColumn("r", F.coalesce("filtered_resps", "resps"))
+    lls = F.transform(F.regexp_extract_all("r", F.lit(r'\[\s*"?(-?(?:[0-9][0-9.eE+-]*|inf|Infinity))"?\s*,'), 1), lambda x: F.regexp_replace(x, "^-inf$", "-Infinity").cast("double"))
+    greedy = F.transform(F.regexp_extract_all("r", F.lit(r'(?i),\s*"?(true|false)"?\s*\]'), 1), lambda x: F.lower(x) == "true")
+    maps = F.transform(F.map_values(F.from_json("arguments", "map<string, struct<arg_0: string, arg_1: string>>")), lambda x: x["arg_1"])
+    pairs = F.transform(F.from_json("arguments", "array<array<string>>"), lambda x: F.element_at(x, -1))
+    choices = F.transform(F.when(F.col("arguments").startswith("{"), maps).otherwise(pairs), lambda x: F.trim(x))
+    parsed = rows.select("doc_id", "target", lls.alias("lls"), greedy.alias("is_greedy"), choices.alias("choices"))
+    place = F.expr("CAST(array_position(choices, trim(target)) - 1 AS int)")
+    out = parsed.withColumn("gold", F.coalesce(F.expr("try_cast(target AS int)"), F.when(place >= 0, place)))
+    out = out.withColumn("choice_chars", F.transform("choices", lambda x: F.length(x))).withColumn("choice_bytes", F.transform("choices", lambda x: F.octet_length(x)))
+    by_length = F.zip_with("lls", "choice_chars", lambda a, n: F.when(n > 0, a / n).otherwise(-1e9))
+    first = lambda c: (F.array_position(c, F.array_max(c)) - 1) == F.col("gold")
+    return out.select("doc_id", "gold", "lls", "is_greedy", "choice_chars", "choice_bytes", first(F.col("lls")).cast("double").alias("acc"), first(by_length).cast("double").alias("acc_norm"))
