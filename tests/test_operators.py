@@ -74,3 +74,19 @@ def test_nearest_equals_all_pairs(spark):
     got = {g.id: (g["item"], g.cosine) for g in nearest(frame(x), frame(np.concatenate([y, y]))).collect()}
     s = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
     assert {i: v[0] for i, v in got.items()} == dict(enumerate(s.argmax(1).tolist())) and np.allclose([got[i][1] for i in range(40)], s.max(1), atol=1e-6)
+
+
+def test_curves_keep_every_point(spark):
+    from textloom.plans import analytics, studies
+
+    q = np.random.default_rng(6).integers(1, 50, 130).astype(float)
+    spark.createDataFrame([(0, i, 1, 1, float(v)) for i, v in enumerate(q)], "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").createOrReplaceTempView("lineitem")
+    first = lambda plan: spark.sql(plan(SPARK)).first()
+    d = q.cumsum()
+    loss = 2 + 40 * d**-0.1
+    slope, intercept = np.polyfit(np.log(d), loss, 1)
+    got = first(analytics.PLANS["log_fit"])
+    assert np.allclose([got.slope, got.intercept], [slope, intercept], atol=2e-6)
+    assert first(analytics.PLANS["dose_response"]).n == 130
+    s2 = ((loss - intercept - slope * np.log(d)) ** 2).sum() / 128
+    assert np.isclose(first(studies.PLANS["residual_variance"]).s2, s2, atol=2e-9)

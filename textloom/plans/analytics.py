@@ -144,9 +144,9 @@ def saturation_test(d):
 
 
 def curves(d: Dialect) -> str:
-    """Per supplier a curve: cumulative quantity by item order, and a loss that falls with it."""
+    """Per supplier a curve over all its items: cumulative quantity by item order, and a loss that falls with it."""
     return """c0 AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS i, l_quantity AS q FROM lineitem),
-    c AS (SELECT l_suppkey AS run, i, sum(q) OVER (PARTITION BY l_suppkey ORDER BY i) AS d, 2.0 + 40.0 * power(sum(q) OVER (PARTITION BY l_suppkey ORDER BY i), -0.1 - 0.05 * (l_suppkey % 8)) AS l FROM c0 WHERE i <= 40)"""
+    c AS (SELECT l_suppkey AS run, i, sum(q) OVER (PARTITION BY l_suppkey ORDER BY i) AS d, 2.0 + 40.0 * power(sum(q) OVER (PARTITION BY l_suppkey ORDER BY i), -0.1 - 0.05 * (l_suppkey % 8)) AS l FROM c0)"""
 
 
 @plan
