@@ -90,3 +90,28 @@ def test_curves_keep_every_point(spark):
     assert first(analytics.PLANS["dose_response"]).n == 130
     s2 = ((loss - intercept - slope * np.log(d)) ** 2).sum() / 128
     assert np.isclose(first(studies.PLANS["residual_variance"]).s2, s2, atol=2e-9)
+
+
+def test_clusters_meet_by_the_production_bands(spark, tmp_path):
+    import hashlib
+
+    from textloom.operators import custom
+
+    r, p = random.Random(8), 2147483647
+    texts = []
+    for i in range(30):
+        words = [f"w{r.randrange(5000)}" for _ in range(60)]
+        copy = list(words)
+        for at in r.sample(range(60), 1 + i % 5):
+            copy[at] = f"x{i}"
+        texts += [" ".join(words), " ".join(copy)]
+    keys = {}
+    for i, text in enumerate(texts):
+        words = text.split()
+        f = np.array([int(hashlib.md5(" ".join(words[j : j + 5]).encode()).hexdigest()[:8], 16) & p for j in range(len(words) - 4)])
+        m = [int(((48271 * (k + 1) * 7919 + 12345) % p * f + (69621 * (k + 3) * 104729 + 777) % p).__mod__(p).min()) for k in range(112)]
+        for b in range(14):
+            keys.setdefault((b, *m[8 * b : 8 * b + 8]), []).append(i)
+    want = least_reachable([(v[0], x) for v in keys.values() for x in v[1:]])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.cluster for x in custom.neardup_clusters(spark, str(tmp_path)).collect()} == {i: want.get(i, i) for i in range(60)}

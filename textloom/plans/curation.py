@@ -150,6 +150,9 @@ def distinct_n_by_lang(d):
     return f"SELECT lang, count(*) AS total, count(DISTINCT g) AS distinct_grams, round(CAST(count(DISTINCT g) AS DOUBLE) / count(*), 6) AS distinct_2 FROM (SELECT lang, {d.rows(d.grams('w', 2))} AS g FROM (SELECT lang, {d.words('text')} AS w FROM documents)) GROUP BY lang"
 
 
+PRODUCTION = (14, 8)  # bands and rows by which near copies are clustered and removed
+
+
 def minhash(d: Dialect, bands: int = 4, rows: int = 4) -> str:
     """Signatures of 5-word shingles by 31-bit linear hashes, and a key for each band."""
     p, n = 2147483647, bands * rows
@@ -165,18 +168,20 @@ def minhash(d: Dialect, bands: int = 4, rows: int = 4) -> str:
 
 @plan
 def minhash_signatures(d):
+    """The short setting: 16 hashes, for 4 bands of 4 rows. Nothing is clustered by it."""
     return f"WITH {minhash(d)} SELECT * FROM sig"
 
 
 @plan
 def lsh_candidates(d):
+    """The short setting, 4 bands of 4 rows: a list of candidates alone."""
     return f"WITH {minhash(d)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
 
 
 @plan
 def lsh_candidates_14x8(d):
     """The production setting: 14 bands of 8 rows, which meet at a similarity of about 0.72."""
-    return f"WITH {minhash(d, 14, 8)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
+    return f"WITH {minhash(d, *PRODUCTION)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
 
 
 @plan

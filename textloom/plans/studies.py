@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.dialect import Dialect, Plan
 from .analytics import cells, curves, runs, teachers
-from .curation import contamination, minhash
+from .curation import PRODUCTION, contamination, minhash
 
 PLANS: dict[str, Plan] = {}
 
@@ -269,7 +269,7 @@ def nested_check(d):
 def pool_clean_chain(d):
     """The stages in order: exact copies, near copies by bands, contaminated, then a cap for each group of what is left."""
     norm = d.replace_all("lower(trim(text))", r"\s+", " ")
-    return f"""WITH {minhash(d)}, {contamination(d, 8)}, ex AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({norm})),
+    return f"""WITH {minhash(d, *PRODUCTION)}, {contamination(d, 8)}, ex AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({norm})),
     kx AS (SELECT keys.doc_id, band, bk FROM keys JOIN ex ON keys.doc_id = ex.doc_id), hd AS (SELECT band, bk, min(doc_id) AS head FROM kx GROUP BY band, bk),
     nr AS (SELECT DISTINCT kx.doc_id FROM kx JOIN hd ON kx.band = hd.band AND kx.bk = hd.bk WHERE kx.doc_id <> hd.head), bad AS (SELECT DISTINCT doc_id FROM hits),
     s AS (SELECT x.doc_id, x.source, CASE WHEN ex.doc_id IS NULL THEN 'exact' WHEN nr.doc_id IS NOT NULL THEN 'near' WHEN bad.doc_id IS NOT NULL THEN 'contaminated' END AS why
