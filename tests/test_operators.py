@@ -115,3 +115,24 @@ def test_clusters_meet_by_the_production_bands(spark, tmp_path):
     want = least_reachable([(v[0], x) for v in keys.values() for x in v[1:]])
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {x.doc_id: x.cluster for x in custom.neardup_clusters(spark, str(tmp_path)).collect()} == {i: want.get(i, i) for i in range(60)}
+
+
+def test_resamples_are_as_many_as_the_study_asks(spark):
+    import hashlib
+    import inspect
+
+    from textloom.operators import custom
+    from textloom.plans import formats, studies
+
+    texts = {i: "ab " * (1 + i % 9) + "c" * (i % 23) for i in range(40)}
+    spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string").createOrReplaceTempView("documents")
+    values = []
+    for i in range(1000):
+        kept = [t for k, t in texts.items() if hashlib.md5(f"{k}|{i // 32}".encode()).hexdigest()[i % 32] < "8"]
+        values.append(sum(map(len, kept)) / sum(len(t.split()) for t in kept))
+    assert np.isclose(spark.sql(formats.PLANS["document_bootstrap"](SPARK)).first().se, np.std(values, ddof=1), atol=2e-6)
+    spark.createDataFrame([(i, 1, i % 4, 1.0, float(i * 7 % 31)) for i in range(60)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double").createOrReplaceTempView("lineitem")
+    spark.createDataFrame([(i, i, 1.0) for i in range(4)], "p_partkey long, p_size int, p_retailprice double").createOrReplaceTempView("part")
+    assert sum(x.wins for x in spark.sql(studies.PLANS["selection_shares"](SPARK)).collect()) == 5000
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert default(custom.bootstrap_ci, "boots") == 2000 and default(custom.isotonic_permutation, "permutations") == 2000

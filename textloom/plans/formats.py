@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.dialect import Plan
 from .analytics import runs
-from .studies import array, numbers
+from .studies import array, half_samples, numbers
 
 PLANS: dict[str, Plan] = {}
 
@@ -73,9 +73,8 @@ def predictive_law(d):
 
 @plan
 def document_bootstrap(d):
-    """Error of a source's loss a token over 32 half samples of its documents: one hash a document, one pass of conditional sums."""
-    picked = [f"CASE WHEN substr(h, {i}, 1) < '8' THEN 1 ELSE 0 END" for i in range(1, 33)]
-    sums = ", ".join(f"sum({p} * loss) / nullif(sum({p} * n), 0) AS r{i}" for i, p in enumerate(picked))
-    return f"""WITH t AS (SELECT source, md5(CAST(doc_id AS STRING)) AS h, CAST(length(text) AS DOUBLE) AS loss, {d.size(d.find_all('text', r'\S+'))} AS n FROM documents WHERE text IS NOT NULL),
-    g AS (SELECT source, count(*) AS docs, sum(loss) / nullif(sum(n), 0) AS nll, {sums} FROM t GROUP BY source), u AS (SELECT source, docs, nll, {d.rows(array(d, *(f'r{i}' for i in range(32))))} AS v FROM g)
-    SELECT source, docs, round(nll, 6) AS nll, round(stddev_samp(v), 6) AS se FROM u GROUP BY source, docs, nll"""
+    """Error of a source's loss a token over 1000 half samples of its documents."""
+    return f"""WITH t AS (SELECT source, CAST(doc_id AS STRING) AS id, CAST(length(text) AS DOUBLE) AS loss, {d.size(d.find_all('text', r'\S+'))} AS n FROM documents WHERE text IS NOT NULL),
+    {half_samples(d, 't', 'source, loss, n', 'id', 1000)}, g AS (SELECT source, count(*) AS docs, sum(loss) / nullif(sum(n), 0) AS nll FROM t GROUP BY source),
+    u AS (SELECT source, i, sum(loss) / nullif(sum(n), 0) AS v FROM halves GROUP BY source, i), e AS (SELECT source, stddev_samp(v) AS se FROM u GROUP BY source)
+    SELECT g.source, docs, round(nll, 6) AS nll, round(se, 6) AS se FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source"""
