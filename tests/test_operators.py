@@ -136,3 +136,23 @@ def test_resamples_are_as_many_as_the_study_asks(spark):
     assert sum(x.wins for x in spark.sql(studies.PLANS["selection_shares"](SPARK)).collect()) == 5000
     default = lambda f, name: inspect.signature(f).parameters[name].default
     assert default(custom.bootstrap_ci, "boots") == 2000 and default(custom.isotonic_permutation, "permutations") == 2000
+
+
+def test_short_items_are_hit_whole(spark):
+    import duckdb
+
+    from textloom.plans import curation
+
+    docs = [(1, "so Paris, is it the capital"), (2, "parish is it"), (3, "is it"), (4, "one two three four five six seven eight nine"), (5, ""), (6, None)]
+    items = [(10, "Paris is it"), (11, "is it?"), (12, "two three four five six seven eight nine"), (13, ""), (14, "nine"), (15, None)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string").createOrReplaceTempView("documents")
+    spark.createDataFrame(items, "item_id long, text string").createOrReplaceTempView("benchmark")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', 's')", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    plan = curation.PLANS["contam_hits_8gram"]
+    want = [(1, 10), (1, 11), (2, 11), (3, 11), (4, 12), (4, 14)]
+    assert sorted(tuple(r) for r in spark.sql(plan(SPARK)).collect()) == want
+    assert sorted(con.execute(plan(DUCK)).fetchall()) == want

@@ -190,14 +190,20 @@ def band_threshold(d):
 
 
 def contamination(d: Dialect, n: int) -> str:
-    """Distinct (document, item) with a common n-gram; shorter items count by containment, through grams of their own length."""
+    """Distinct (document, item) with a common n-gram; shorter items count by containment, through grams of their own length.
+
+    Only lengths that some short item has are cut from the documents. Texts are not normalised to NFKC: neither dialect has it.
+    """
     doc_grams = f"SELECT doc_id, g FROM (SELECT doc_id, {d.rows(d.grams('w', n))} AS g FROM dw WHERE {d.size('w')} >= {n})"
     item_grams = f"SELECT item_id, g FROM (SELECT item_id, {d.rows(d.grams('w', n))} AS g FROM iw WHERE {d.size('w')} >= {n})"
+    part = "slice(w, i, CAST(k AS INT))" if d.spark else "w[i:i + k - 1]"
+    short_grams = f"SELECT doc_id, {d.rows(d.each(d.upto(d.size('w') + ' - k + 1'), 'i', d.glue(part)))} AS g FROM dw CROSS JOIN sk WHERE {d.size('w')} >= k"
     split = "split({}, ' ')" if d.spark else "string_split({}, ' ')"
     return f"""dw AS (SELECT doc_id, lang, source, {split.format(d.normal('text'))} AS w FROM documents WHERE text IS NOT NULL),
     iw AS (SELECT item_id, concat('b', CAST(item_id % 4 AS STRING)) AS benchmark, {split.format(d.normal('text'))} AS w, {d.normal('text')} AS t FROM benchmark),
     dg AS (SELECT DISTINCT doc_id, g FROM ({doc_grams}) x), ig AS (SELECT DISTINCT item_id, g FROM ({item_grams}) x),
-    hits AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g)"""
+    si AS (SELECT item_id, {d.size('w')} AS k, t FROM iw WHERE {d.size('w')} < {n} AND t <> ''), sk AS (SELECT DISTINCT k FROM si), sd AS (SELECT DISTINCT doc_id, g FROM ({short_grams}) x),
+    hits AS (SELECT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g UNION SELECT doc_id, item_id FROM sd JOIN si ON sd.g = si.t)"""
 
 
 for _n in (8, 13):
