@@ -3,29 +3,34 @@
 First pass: each partition counts its windows, each once a document, in the cells of a count-min sketch of two rows; a
 partition's sketch travels as compressed lists of cells in shards, which one task each merges by addition. As only
 estimates of two or more matter, a merged shard keeps a bit for each cell. Estimates never fall below the true count, so
-no repeated window is lost. Second pass: only windows whose estimate is two or more in both rows are grouped exactly (by 96 hash bits): first within
-a task, where all but the smallest doc_id's are known to be repeated at once, then between tasks, where each sends the
-smallest one alone. So a passage in a third of all documents is as many rows as there are tasks and no more. The words
-that windows of later documents cover are removed. Sketches have about four cells a word up to a fixed bound, beyond
-which more windows pass to the exact step, and results stay the same.
+no repeated window is lost. Second pass: only windows whose estimate is two or more in both rows are grouped, by 128 hash
+bits under multipliers that each run draws anew: first within a task, where all but the smallest doc_id's are known to be
+repeated at once, then between tasks, where each sends the smallest one alone. So a passage in a third of all documents
+is as many rows as there are tasks and no more. Windows travel as compressed parcels, one a task and range of hashes;
+ranges are narrow enough that a task groups one at a time, and so are those of documents, where lists of positions meet.
+The words that windows of later documents cover are removed. Sketches have about four cells a word
+up to a fixed bound, beyond which more windows pass to the exact step, and results stay the same.
 
 Defined results: null is a text without words; a text of fewer than 13 words loses none; a document without doc_id loses
-none and takes none; rows that repeat one doc_id don't count against each other; whole texts are taken.
+none and takes none; rows that repeat one doc_id don't count against each other, and each keeps its row; windows of equal
+words tie by doc_id alone; whole texts are taken; an empty table gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
+import uuid
 from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import bounded_batches, file_system, make_dir, release, remove_dir, shared_dir, text_slices, written
 
@@ -36,8 +41,10 @@ ROWS = 2
 CELLS_PER_WORD, LEAST_BITS, MOST_BITS, MOST_HELD_BITS = 4, 16, 33, 29
 #: Cells of a shard, which one task merges.
 SHARD_BITS = 23
-#: Windows that a task takes together, in either pass.
-FLUSH = 4_000_000
+#: Windows that a task takes together in the first pass; half as many doubtful ones in the second.
+FLUSH = 2_000_000
+#: Words of the input for each bucket of windows, which a task groups at once.
+BUCKET_WORDS = 1 << 19
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
@@ -52,7 +59,10 @@ def randoms(seed: int, n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-LANES = tuple((randoms(1000 + k, 256), randoms(2000 + k, 1024), randoms(3000 + k, WINDOW)) for k in range(2))
+@lru_cache(maxsize=2)
+def lanes_of(seed: int) -> tuple:
+    """Multipliers for bytes, places in a word and places in a window, of two independent hashes."""
+    return tuple((randoms(seed + 6 * k + 1, 256), randoms(seed + 6 * k + 3, 1024), randoms(seed + 6 * k + 5, WINDOW)) for k in range(2))
 
 
 def word_bounds(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +76,7 @@ def word_bounds(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return data, starts, ends, np.searchsorted(limits, starts, "right")
 
 
-def window_hashes(texts: list[str | None], lanes: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def window_hashes(texts: list[str | None], seed: int, lanes: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each window of WINDOW words its hashes, its text, and the number of its first word within the text."""
     data, starts, ends, owner = word_bounds(texts)
     n = len(starts) - WINDOW + 1
@@ -79,7 +89,7 @@ def window_hashes(texts: list[str | None], lanes: int = 2) -> tuple[list[np.ndar
     within = np.arange(sizes.sum()) - np.repeat(heads, sizes)
     letters = data[np.flatnonzero(~BLANK[data])]
     out = []
-    for bytes_, places, words in LANES[:lanes]:
+    for bytes_, places, words in lanes_of(seed)[:lanes]:
         coefficient = places[within & 1023]
         if (far := within > 1023).any():
             coefficient = np.where(far, coefficient * (2 * (within >> 10).astype(np.uint64) + np.uint64(1)), coefficient)
@@ -144,8 +154,6 @@ def merge_shards(batches, uri: str, bits: int):
 
     def put():
         bitmap = np.packbits(twice).tobytes()
-        import uuid
-
         name = f"{root}/{shard_name(current)}"
         with fs.open_output_stream(tmp := f"{name}.{uuid.uuid4().hex}.tmp") as f:
             f.write(bitmap)
@@ -211,42 +219,135 @@ def estimated_repeated(h: np.ndarray, uri: str, bits: int) -> np.ndarray:
     return alive
 
 
-DOUBTFUL = T.StructType([
-    T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()),
-    T.StructField("position", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())),
-])
+LISTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+#: What travels: rows of one bucket, column after column. Doubtful windows are (h, g, doc_id, mark, position), repeated ones the last three.
+PARCEL = "bucket long, parcel binary"
+WINDOW_KINDS, REPEAT_KINDS = ("<i8", "<i8", "<i8", "<i8", "<i4"), ("<i8", "<i8", "<i4")
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def parcels(bucket: np.ndarray, columns: list[np.ndarray], kinds: tuple[str, ...]):
+    """Rows of each bucket in one compressed parcel, in the order they come in, in which neighbours share a document."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [np.ascontiguousarray(c[order], k) for c, k in zip(columns, kinds, strict=True)]
+    cuts = np.append(np.flatnonzero(changes(bucket)), len(bucket)).tolist()
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for k in range(0, len(cuts) - 1, 256):
+        some = cuts[k : k + 257]
+        raw = [b"".join([c[i:j].tobytes() for c in columns]) for i, j in zip(some, some[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[some[:-1]], pa.int64()), pa.array([b"z" + pack(x) if len(x) > 200 else b"r" + x for x in raw], pa.binary())], names=["bucket", "parcel"])
+
+
+def unpacked(parcel: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(parcel[1:]) if parcel[:1] == b"z" else parcel[1:]
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * size
+    return out
 
 
-def grouped(h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, position: np.ndarray) -> list[pa.RecordBatch]:
-    """Groups a task's doubtful windows: those of a group's smallest doc_id go on as rows, the others are repeated, and listed by document."""
+def whole_buckets(batches, passed: int | None = None):
+    """From rows sorted by bucket: each bucket and its parcels; those from the bucket `passed` on go out as they are, as batches."""
+    current, held = None, []
+    for batch in batches:
+        if passed is not None:
+            later = pc.greater_equal(batch.column(0), passed)
+            if pc.any(later).as_py():
+                yield batch.filter(later), None
+                batch = batch.filter(pc.invert(later))
+        for bucket, parcel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != current and held:
+                yield current, held
+                held = []
+            current = bucket
+            held.append(parcel)
+    if held:
+        yield current, held
+
+
+class Buckets:
+    """So many buckets of windows by hash, and after them as many of documents; a bucket holds about BUCKET_WORDS windows at most."""
+
+    def __init__(self, words: float):
+        self.n = max(1, round(words / BUCKET_WORDS))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
+
+    def windows(self, h, g, doc, mark, position):
+        return parcels(self.of(h), [h, g, doc, mark, position], WINDOW_KINDS)
+
+    def repeats(self, doc: np.ndarray, mark: np.ndarray, position: np.ndarray):
+        """Each repeated window once, by document."""
+        order = np.lexsort((position, mark, doc))
+        doc, mark, position = doc[order], mark[order], position[order]
+        fresh = changes(doc, mark, position)
+        doc, mark, position = doc[fresh], mark[fresh], position[fresh]
+        return parcels(self.n + self.of(mixed(doc.view(np.uint64) ^ mixed(mark.view(np.uint64)))), [doc, mark, position], REPEAT_KINDS)
+
+
+def later_in_group(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another row of equal h and g has a smaller doc."""
     order = np.lexsort((doc, g, h))
-    sh, sg = h[order], g[order]
-    heads = np.flatnonzero(np.concatenate([[True], (sh[1:] != sh[:-1]) | (sg[1:] != sg[:-1])]))
-    later = np.zeros(len(h), bool)
-    later[order] = doc[order] > np.repeat(doc[order[heads]], np.diff(np.append(heads, len(h))))
-    # Rows stay in the documents' order, in which neighbours share much and so compress well on their way.
-    go = ~later
-    n = int(go.sum())
-    out = [pa.RecordBatch.from_arrays([pa.array(h[go]), pa.array(g[go]), pa.array(doc[go]), pa.array(mark[go]), pa.array(position[go]), pa.nulls(n, pa.list_(pa.int32()))], names=DOUBTFUL.names)]
-    if later.any():
-        order = np.flatnonzero(later)[np.lexsort((position[later], mark[later], doc[later]))]
-        d, m = doc[order], mark[order]
-        heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(d)), pa.int32()), pa.array(position[order]))
-        k = len(heads)
-        out.append(pa.RecordBatch.from_arrays([pa.array(m[heads]), pa.array(np.zeros(k, np.int32)), pa.array(d[heads]), pa.array(m[heads]), pa.nulls(k, pa.int32()), lists], names=DOUBTFUL.names))
+    heads = np.flatnonzero(changes(h[order], g[order]))
+    out = np.zeros(len(h), bool)
+    out[order] = doc[order] > np.repeat(doc[order[heads]], np.diff(np.append(heads, len(h))))
     return out
 
 
-def repeated_positions(df: DataFrame) -> DataFrame:
+def sent_off(rows: tuple[np.ndarray, ...], buckets: Buckets):
+    """Groups a task's doubtful windows: those of a group's smallest doc_id go to the windows' bucket, the others are repeated, and go to their document's."""
+    later = later_in_group(*rows[:3])
+    yield from buckets.windows(*(c[~later] for c in rows))
+    if later.any():
+        yield from buckets.repeats(*(c[later] for c in rows[2:]))
+
+
+def between_tasks(batches, buckets: Buckets):
+    """Groups the windows of each bucket; what is repeated goes to its document's bucket."""
+    for bucket, held in whole_buckets(batches, buckets.n):
+        if held is None:
+            yield bucket
+            continue
+        rows = [np.concatenate(c) for c in zip(*(unpacked(p, WINDOW_KINDS) for p in held), strict=True)]
+        later = later_in_group(*rows[:3])
+        if later.any():
+            yield from buckets.repeats(*(c[later] for c in rows[2:]))
+
+
+def by_document(batches):
+    """One row for each document and text of a bucket, with its positions."""
+    for _, held in whole_buckets(batches):
+        doc, mark, position = (np.concatenate(c) for c in zip(*(unpacked(p, REPEAT_KINDS) for p in held), strict=True))
+        order = np.lexsort((position, mark, doc))
+        doc, mark, position = doc[order], mark[order], position[order]
+        fresh = changes(doc, mark, position)
+        doc, mark, position = doc[fresh], mark[fresh], position[fresh]
+        heads = np.flatnonzero(changes(doc, mark))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(doc)), pa.int32()), pa.array(position, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.array(mark[heads], pa.int64()), lists], names=LISTED.names)
+
+
+def repeated_positions(df: DataFrame, seed: int | None = None) -> DataFrame:
     """doc_id, mark (hash of the text), positions: numbers of the first words of windows that a smaller doc_id has too."""
     spark = df.sparkSession
     bounded_batches(spark)
+    seed = secrets.randbits(60) if seed is None else seed
     docs = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     uri = shared_dir(spark, "sketch")
     bits = int(min(MOST_BITS if mappable(uri) else MOST_HELD_BITS, max(LEAST_BITS, round(np.log2(max(1, chars / 6 * CELLS_PER_WORD))))))
     make_dir(spark, uri)
+    buckets = Buckets(chars / 6)
 
     def count(batches):
         held, total = [], 0
@@ -256,11 +357,11 @@ def repeated_positions(df: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["at", "once", "more"])
 
         for part in text_slices(batches):
-            (h,), owner, _ = window_hashes(part.column("text").to_pylist(), 1)
+            (h,), owner, _ = window_hashes(part.column("text").to_pylist(), seed, 1)
             # A window counts once a document.
-            order = np.lexsort((h, owner)) if len(h) else np.zeros(0, np.int64)
+            order = np.lexsort((h, owner))
             h, owner = h[order], owner[order]
-            h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])] if len(h) else h
+            h = h[changes(h, owner)]
             held.append(h)
             total += len(h)
             if total > FLUSH:
@@ -277,26 +378,23 @@ def repeated_positions(df: DataFrame) -> DataFrame:
     def doubtful(batches):
         held, total = [], 0
         for part in text_slices(batches):
-            (h, g), owner, first = window_hashes(part.column("text").to_pylist())
+            (h, g), owner, first = window_hashes(part.column("text").to_pylist(), seed)
             alive = estimated_repeated(h, uri, bits)
             at = owner[alive]
-            held.append((h[alive].view(np.int64), (g[alive] >> np.uint64(32)).astype(np.uint32).view(np.int32), part.column("doc_id").to_numpy()[at], part.column("mark").to_numpy()[at], first[alive].astype(np.int32)))
+            held.append((h[alive].view(np.int64), g[alive].view(np.int64), part.column("doc_id").to_numpy()[at], part.column("mark").to_numpy()[at], first[alive].astype(np.int32)))
             total += len(alive)
-            if total > FLUSH // 4:
-                yield from grouped(*map(np.concatenate, zip(*held, strict=True)))
+            if total > FLUSH // 2:
+                yield from sent_off(tuple(map(np.concatenate, zip(*held, strict=True))), buckets)
                 held, total = [], 0
         if total:
-            yield from grouped(*map(np.concatenate, zip(*held, strict=True)))
-
-    windows = docs.select("doc_id", "text", "mark").mapInArrow(doubtful, DOUBTFUL)
-    # A group has a row for each task and place in its smallest document there, however many documents share the window;
-    # lists of what is known already come along under the hash of their text.
-    least = F.min(F.when(F.col("positions").isNull(), F.col("doc_id"))).over(Window.partitionBy("h", "g"))
-    later = windows.select("doc_id", "mark", "position", "positions", least.alias("least")).where("positions IS NOT NULL OR doc_id > least")
-    every = later.groupBy("doc_id", "mark").agg(F.collect_list("position").alias("here"), F.flatten(F.collect_list("positions")).alias("there"))
-    found = written(every.select("doc_id", "mark", F.concat("here", "there").alias("positions")), "repeated-positions")
+            yield from sent_off(tuple(map(np.concatenate, zip(*held, strict=True))), buckets)
+
+    # A group has a row for each task and place in its smallest document there, however many documents share the window.
+    met = docs.select("doc_id", "text", "mark").mapInArrow(doubtful, PARCEL).repartition("bucket").sortWithinPartitions("bucket")
+    known = met.mapInArrow(lambda batches: between_tasks(batches, buckets), PARCEL).repartition("bucket").sortWithinPartitions("bucket")
+    found = written(known.mapInArrow(by_document, LISTED), "repeated-positions")
     remove_dir(spark, uri)
-    del windows, later, every
+    del met, known
     release(spark)
     return found
 
@@ -309,21 +407,22 @@ def covered_words(positions: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def with_positions(df: DataFrame) -> DataFrame:
-    """All rows and columns of df, and the positions found for them (null if none)."""
-    found = repeated_positions(df).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("positions").alias("__positions"))
-    return df.join(found, (df["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(df["text"]) == F.col("__mark")), "left").drop("__id", "__mark")
+def with_positions(df: DataFrame) -> tuple[DataFrame, str]:
+    """All rows and columns of df, and the positions found for them (null if none) under a generated name, which comes second."""
+    ids, marks, positions = (f"{n}_{uuid.uuid4().hex}" for n in LISTED.names)
+    found = repeated_positions(df).toDF(ids, marks, positions)
+    return df.join(found, (df["doc_id"].cast("long") == F.col(ids)) & (F.xxhash64(df["text"]) == F.col(marks)), "left").drop(ids, marks), positions
 
 
 def dedup_digest(df: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    narrow = df.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows, positions = with_positions(df.select("doc_id", F.col("text").cast("string").alias("text")))
 
     def run(batches):
         merged.cache_clear()
         for part in text_slices(batches):
             words, removed, digests = [], [], []
-            for t, p in zip(part.column("text").to_pylist(), part.column("__positions").to_pylist(), strict=True):
+            for t, p in zip(part.column("text").to_pylist(), part.column(positions).to_pylist(), strict=True):
                 w = (t or "").encode().split()
                 gone = covered_words(np.array(p or [], np.int64), len(w))
                 words.append(len(w))
@@ -332,7 +431,7 @@ def dedup_digest(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     out = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return with_positions(narrow).mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
@@ -341,12 +440,13 @@ def without_repeats(df: DataFrame) -> DataFrame:
     A text that loses words keeps the others joined by single spaces, and n_chars follows; all rows stay.
     """
     schema = df.schema
+    rows, positions = with_positions(df)
 
     def run(batches):
         merged.cache_clear()
         for part in text_slices(batches):
             texts = []
-            for t, p in zip(part.column("text").to_pylist(), part.column("__positions").to_pylist(), strict=True):
+            for t, p in zip(part.column("text").to_pylist(), part.column(positions).to_pylist(), strict=True):
                 if t is not None and p:
                     w = t.encode().split()
                     t = b" ".join([x for x, g in zip(w, covered_words(np.array(p, np.int64), len(w)).tolist(), strict=True) if not g]).decode()
@@ -356,4 +456,4 @@ def without_repeats(df: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], part.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=schema.names)
 
-    return with_positions(df).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
