@@ -18,11 +18,17 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch from the JVM, so that long texts do not fill memory.
 BATCH_BYTES = "4m"
+#: Rows that Spark's Parquet reader decodes at once, for the same reason: its buffers hold all texts of a batch.
+READER_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to few bytes: documents can be very long, and a batch stands in memory at once."""
+    """Holds batches of rows to few bytes: documents can be very long, and a batch stands in memory at once.
+
+    The plans that follow run later, so the two settings stay in the caller's session; they bound memory and change no result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
