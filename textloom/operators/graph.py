@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 60
-
+from .folders import remove_dir, shared_dir
 
-def checkpoint_root(spark) -> str:
-    """The folder that all executors share; a local one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/textloom-checkpoints").rstrip("/")
-
-
-def delete_folder(spark, uri: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+MOST_ROUNDS = 60
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -27,7 +17,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     before it is deleted. Null ends and loops are ignored, repeated edges count once, no edges give no rows.
     """
     spark = edges.sparkSession
-    base = f"{checkpoint_root(spark)}/components-{uuid.uuid4().hex}"
+    base = shared_dir(spark, "components")
 
     def kept(df: DataFrame, round_: int) -> tuple[DataFrame, tuple]:
         df.write.parquet(f"{base}/{round_}")
@@ -44,7 +34,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         star, now = kept(small, k)
-        delete_folder(spark, f"{base}/{k - 1}")
+        remove_dir(spark, f"{base}/{k - 1}")
         if now == mark:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from urllib.parse import urlparse
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpoint_root
+from .folders import shared_dir
 
 #: Items that a task reads at once.
 BLOCK = 4096
@@ -39,7 +38,7 @@ def nearest(rows: DataFrame, items: DataFrame, threshold: float = 0.85, itself:
 
     Null vectors and zero vectors take no part; all vectors have one length; cosines are rounded to nine digits.
     """
-    uri = f"{checkpoint_root(rows.sparkSession)}/items-{uuid.uuid4().hex}"
+    uri = shared_dir(rows.sparkSession, "items")
     number = F.transform("x", lambda v: v.cast("double"))
     some = F.exists("x", lambda v: v != 0)
     items.where(some).select("id", number.alias("x")).write.parquet(uri)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpoint_root
+from .folders import shared_dir, written  # noqa: F401
 
 #: Bits that a row's place has below its partition's number in monotonically_increasing_id.
 PLACE_BITS = 33
@@ -22,7 +21,7 @@ def with_position(df: DataFrame, *order: str, total: str | None = None) -> DataF
     should be total; equal rows get positions next to each other. Nulls come first.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/ordered-{uuid.uuid4().hex}"
+    path = shared_dir(spark, "ordered")
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     ranged.write.parquet(path)  # a partition's number must not change between the two uses
     kept = spark.read.schema(ranged.schema).parquet(path).withColumn("__part", F.shiftright("__at", PLACE_BITS)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
@@ -43,10 +42,3 @@ def rank_within(df: DataFrame, *groups: str, by: str | tuple[str, ...]) -> DataF
     firsts = placed.groupBy(*groups).agg(F.min("position").alias("__first")).select("__first", *(F.col(g).alias(f"__{g}") for g in groups))
     same = reduce(and_, (F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups))
     return placed.join(firsts, same).select(*df.columns, (F.col("position") - F.col("__first")).alias("rank"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from Parquet in the shared folder, where its lineage ends."""
-    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

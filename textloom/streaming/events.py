@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import checkpoint_root
+from ..operators.folders import shared_dir
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +22,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def settled(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, and reads its output from the shared folder."""
     spark = stream.sparkSession
-    base = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    base = shared_dir(spark, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
