@@ -1,5 +1,7 @@
 import hashlib
 import random
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pytest
@@ -130,15 +132,28 @@ def test_texts_without_repeats(spark, docs):
 
 
 def plain_top(rows, k=5):
-    ok = {(i, tuple(np.floor(256 * np.array(v, float)).astype(int))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    ok = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    scaled = [(i, v, [floor(256 * Fraction(x)) for x in v]) for i, v in ok]
     out = []
-    for i, q in ok:
+    for i, raw, q in scaled:
         if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in ok if j != i)[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, r, v in scaled if (j, r) != (i, raw))[:k]
+            out += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
 
+@pytest.mark.parametrize("kind", ["array<float>", "array<double>"])
+def test_top_k_of_any_finite_size_and_repeated_ids(spark, kind):
+    """Components up to the largest a double holds, sums beyond 64 bits on both sides, queries that share an id."""
+    r = random.Random(4)
+    rows = [(i, [float(np.float32(r.gauss(0, 1) * s)) for _ in range(4)]) for i, s in enumerate((1, 1, 1e8, 1, 1e16, 1e9, 3e38, 1, 30000.0, 32768.0) * 12)]
+    rows += [(50, [1e9, 1e9]), (50, [0.5, 0.25]), (50, [-1e9, -1e9, 0.0, 0.0]), (50, [0.5, 0.25]), (3, [1e9, 1e9]), (100, [2.0, -0.0]), (100, [2.0, 0.0, 0.0])]
+    rows += [(150, [1.7e308, -1.7e308, 1e300])] if kind == "array<double>" else []
+    rows = [(i, [float(np.float32(x)) if kind == "array<float>" else x for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding {kind}")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == plain_top(rows)
+
+
 def test_top_k_equals_brute_force(spark):
     r = random.Random(2)
     rows = [(i, [float(np.float32(r.gauss(0, 0.2))) for _ in range(8)]) for i in range(300)]
@@ -156,7 +171,7 @@ def test_top_k_index_stops_early_and_is_right():
     for i in range(0, 3000, 300):
         s = x @ x[i]
         s[i] = -(1 << 40)
-        assert block.best(x[i], i, 5).tolist() == np.lexsort((np.arange(3000), -s))[:5].tolist()
+        assert block.best(x[i], [i], 5).tolist() == np.lexsort((np.arange(3000), -s))[:5].tolist()
 
 
 PAGES = "page_id long, url string, html string, digest string, key string"
