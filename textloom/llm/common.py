@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.folders import make_dir, remove_dir, scratch, shared_dir, written  # noqa: F401
+
 #: Bytes of text that a Python worker turns into arrays at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch from the JVM, so that long texts do not fill memory.
@@ -72,45 +72,12 @@ def crc_fold(key: str, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI below spark.checkpoint.dir, which the driver and all executors see."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:  # only without a cluster's setting, as in tests
-        root = os.path.join(os.environ.get("TMPDIR", "/tmp"), "textloom-checkpoints")
-        os.makedirs(root, exist_ok=True)
-    return root
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Asks both garbage collectors of the driver to run, so that Spark's cleaner drops the shuffle files of finished jobs."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def make_dir(spark: SparkSession, uri: str) -> None:
-    """Makes a shared folder by Spark's own file system client."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-
-
-def remove_dir(spark: SparkSession, uri: str) -> None:
-    """Deletes a shared folder by Spark's own file system client."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def file_system(uri: str):
     """pyarrow's file system for a URI, and the path in it; works inside Python workers."""
     from pyarrow import fs
@@ -121,16 +88,22 @@ def file_system(uri: str):
 
 
 SPREAD = 1 << 20
+#: Label values that a classifier learns: the most frequent ones, ties by value. A column of dirty labels can't grow the sample.
+MOST_VALUES = 200
 
 
 def picked_keys(df: DataFrame, label: str, per_value: int, key: str) -> DataFrame:
-    """Rows whose key's hash falls below a threshold that leaves about per_value rows of each label value, 2 * per_value a value at most on average."""
-    counts = {r["v"]: r["n"] for r in df.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(label).alias("v")).agg(F.count("*").alias("n")).collect()}
+    """Rows whose key's hash falls below a threshold that leaves about per_value rows of each label value, 2 * per_value a value at most on average.
+
+    The same rows whenever it runs: where more pass, those with the least hashes stay.
+    """
+    values = df.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(label).alias("v")).agg(F.count("*").alias("n"))
+    counts = {r["v"]: r["n"] for r in values.orderBy(F.desc("n"), "v").limit(MOST_VALUES).collect()}
     chosen = F.lit(False)
     for value in sorted(counts):
         cut = max(1, min(SPREAD, round(SPREAD * per_value / counts[value])))
         chosen = chosen | ((F.col(label) == F.lit(value)) & (F.pmod(F.xxhash64(key), F.lit(SPREAD)) < cut))
-    return df.where(chosen).limit(2 * per_value * max(1, len(counts)))
+    return df.where(chosen).orderBy(F.xxhash64(key), key, label).limit(2 * per_value * max(1, len(counts)))
 
 
 def labelled_sample(df: DataFrame, label: str, per_value: int, key: str = "doc_id", max_chars: int = 20_000) -> list[tuple]:

@@ -8,11 +8,13 @@ and not all pairs. Members of a larger key go on unbuffered and are cut again in
 16-bit parts, then the rest by its 8-bit parts, after which a bucket can't hold more than 2,048 fingerprints. A link is
 taken only under the first key that its ends share. Defined results: a text without words, or null, has fingerprint
 zero, which links like any other; of repeated rows each gets its row; a component's id is its smallest doc_id, nulls
-left aside; texts of any length are taken whole.
+left aside; texts of any length are taken whole; an empty table gives no rows; only doc_id and text are read, so other
+columns may have any name. Where one document of a component stays, rows tied in doc_id go by the hash of their text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from .common import map_texts, written
+from .common import map_texts, scratch, shared_dir, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Members of a key that are linked at once; at least 2,048, the bound after the third cut.
@@ -62,8 +64,9 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits as a long) of every whole text."""
-    return map_texts(df, [("fp", T.LongType())], lambda texts: [fingerprints(texts).view(np.int64)])
+    """doc_id, mark (hash of the text), fp (64 bits as a long) of every whole text."""
+    keyed = df.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("key"), "text")
+    return map_texts(keyed, [("fp", T.LongType())], lambda texts: [fingerprints(texts).view(np.int64)], key="key").select("doc_id.doc_id", "doc_id.mark", "fp")
 
 
 def first_shared(x: np.ndarray) -> np.ndarray:
@@ -181,13 +184,16 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
+    """doc_id, mark, fp, component_id of every document, and root, which names its component whatever its ids."""
+    spark = df.sparkSession
     docs = written(with_fingerprint(df), "simhash-fingerprints")
-    reps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-different")
-    roots = connected_components(links(reps.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
-    joined = reps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
+    kept = shared_dir(spark, "simhash-roots")
+    with scratch(spark):
+        reps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-different")
+        roots = connected_components(links(reps.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
+        joined = written(reps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "", kept)
+    classes = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return docs.join(classes, "fp").select("doc_id", "mark", "fp", "component_id", "root")
 
 
 def components(df: DataFrame) -> DataFrame:
@@ -196,7 +202,14 @@ def components(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose doc_id is their component's; of rows with one doc_id one stays, rows without stay."""
-    marks = near_duplicates(df).where("doc_id = component_id").select("doc_id").distinct()
-    one = df.join(marks, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(df.columns)
-    return one.unionByName(df.where("doc_id IS NULL"))
+    """The documents, with all their columns, that are their component's first: least in doc_id, then in the hash of the text.
+
+    Of rows equal in doc_id and text one stays; rows without doc_id stay.
+    """
+    ids, marks = (f"{n}_{uuid.uuid4().hex}" for n in ("doc_id", "mark"))
+    known = near_duplicates(df).where("doc_id IS NOT NULL")
+    first = known.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first")).select(F.col("first.doc_id").alias(ids), F.col("first.mark").alias(marks))
+    one = df.withColumn(marks, F.xxhash64("text"))
+    # Rows come out of the join sorted by what tells repeated ones, so they need no other exchange.
+    one = one.join(first.withColumnRenamed(marks, f"{marks}_"), (one["doc_id"] == F.col(ids)) & (one[marks] == F.col(f"{marks}_")), "left_semi").dropDuplicates(["doc_id", marks])
+    return one.select(*(F.col(f"`{c}`") for c in df.columns)).unionByName(df.where("doc_id IS NULL"))
