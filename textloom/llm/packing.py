@@ -1,11 +1,16 @@
 """Packing by powers of two: each document is cut into pieces of binary length, and a sequence is one such piece.
 
 A document's ids, the end id included, are cut into as many full sequences as fit and then into the powers of two of the
-rest, largest first; pieces of equal length form a bucket, no sequence crosses documents, and none is padded. Every piece
-is made where its document is read: nothing is shuffled, and a sequence's number comes from its partition and place.
-Words between spaces or line ends are tokenised once and remembered, which gives the library's own ids because its
-pre-tokeniser never joins across white space and its normaliser works within words. Defined results: a null text is
-empty, and an empty one has the end id alone; repeated rows are packed each; texts are packed whole.
+rest, largest first; no sequence crosses documents, and none is padded. Sequences of equal length form a bucket: their
+numbers are one range, in which the shorter buckets come first, and `write_buckets` writes a folder of matrices for each.
+Every piece is made where its document is read, so packing shuffles nothing; within a bucket a sequence's number comes
+from its partition and place. Words between spaces or line ends are tokenised once and remembered, which gives the
+library's own ids because its pre-tokeniser never joins across white space and its normaliser works within words; a text
+that holds one of the vocabulary's added tokens goes to the library whole, which gives it that token's id.
+
+Defined results: a null text is empty, and an empty one has the end id alone; an empty table gives no rows; repeated rows
+are packed each, so equal pieces tie in all but their numbers; texts are packed whole, however long; only key and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tails: dict[str, list[int]] = {}
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that byte-level vocabularies show as they are
         rest = iter(range(256, 512))
@@ -66,7 +71,7 @@ class Words:
         """Ids of each text as little-endian 32-bit integers."""
         self.known.age()
         find = self.known.__getitem__
-        return [b"".join(map(find, t.replace("\n", " ").split(" "))) for t in texts]
+        return [self.raw([t])[0] if any(a in t for a in self.added) else b"".join(map(find, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 class Known(dict):
@@ -94,6 +99,10 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+#: Bits of a sequence's number below its bucket's.
+NUMBER_BITS = 58
+
+
 def pieces(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
     out = [(s, sequence) for s in range(0, n - n % sequence, sequence)]
@@ -124,7 +133,17 @@ def pack(df: DataFrame, path: str, sequence: int = SEQUENCE, key: str = "doc_id"
             at, *values = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int32())), *(pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True))], names=schema.names)
 
-    return narrow.mapInArrow(run, schema).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    number = F.shiftleft(F.col("bucket").cast("long"), NUMBER_BITS).bitwiseOR(F.monotonically_increasing_id())
+    return narrow.mapInArrow(run, schema).select("*", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+
+def write_buckets(packed: DataFrame, uri: str) -> DataFrame:
+    """Writes the sequences below uri, a folder for each length, whose files hold nothing else; returns bucket, length, n_sequences.
+
+    A file's ids are equally long, so a reader can take any number of them as one matrix.
+    """
+    packed.select("sequence_id", "doc_id", "start", "ids", "length", "bucket").write.partitionBy("bucket").parquet(uri)
+    return packed.sparkSession.read.parquet(uri).groupBy("bucket", "length").agg(F.count("*").alias("n_sequences"))
 
 
 def packed_digest(df: DataFrame, path: str) -> DataFrame:
