@@ -36,9 +36,14 @@ def test_bpe_equals_library_and_round_trips(spark, docs):
     r = random.Random(3)
     texts = ["".join(r.choices(pieces, k=r.randrange(25))) for _ in range(3000)]
     c = bpe.Codec(path)
-    for t, (_, b, starts) in zip(texts, c.encode(texts), strict=True):
-        assert np.frombuffer(b, "<u4").tolist() == library.encode_ordinary(t) and c.decode(b) == t.encode()
-        assert [t[x:y] for x, y in zip(starts.tolist(), [*starts.tolist()[1:], len(t)], strict=False)] == regex.findall(public_tokenizers.PATTERN, t)
+    for t, e in zip(texts, c.encode(texts), strict=True):
+        assert np.frombuffer(e.ids, "<u4").tolist() == library.encode_ordinary(t) and c.decode(e.ids, e.bytes_before, e.ids_before) == t.encode()
+        assert [t[x:y] for x, y in zip(e.starts.tolist(), [*e.starts.tolist()[1:], len(t)], strict=False)] == regex.findall(public_tokenizers.PATTERN, t)
+        a, b = sorted((r.randrange(len(t) + 2), r.randrange(len(t) + 2)))
+        assert c.decode_span(e, a, b) == t[a:b]
+    moved = c.encode(["two words here"])[0]
+    with pytest.raises(ValueError):
+        c.decode(moved.ids, moved.bytes_before + np.arange(len(moved.bytes_before)), moved.ids_before)
     assert bpe.encode(docs([]), path).count() == 0
 
 
@@ -109,20 +114,20 @@ def test_redaction_keeps_rows_and_columns(spark, docs):
 def test_packing_equals_library(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     r = random.Random(6)
-    bits = ["Ab", "c", "É", "ß", ".", ", ", " ", "\n", "'s", "!?", "1", "漢", "́", "İ", "\x1c", " ", "word"]
-    rows = ROWS + [(100 + i, "".join(r.choices(bits, k=20))) for i in range(300)]
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "Ab", "c", "É", "ß", ".", ", ", " ", "\n", "'s", "!?", "1", "漢", "́", "İ", "\x1c", " ", "word"]
+    rows = ROWS + [(100 + i, "".join(r.choices(bits[4 * (i % 2) :], k=20))) for i in range(300)] + [(500, "a <|endoftext|> b")]
     got = packing.pack(docs(rows, clash=True), path).collect()
     want = {}
     for i, t in rows:
         want.setdefault(i, []).append([*tok.encode(t or "", add_special_tokens=False).ids, packing.END_ID])
     back = {}
-    for x in sorted(got, key=lambda x: (x.sequence_id)):
+    for x in sorted(got, key=lambda x: x.sequence_id & ((1 << packing.NUMBER_BITS) - 1)):
         ids = np.frombuffer(x.ids, "<u4").tolist()
         assert len(ids) == x.length and x.offset == 0 and x.length <= 4096 and x.length & (x.length - 1) == 0
         back.setdefault(x.doc_id, []).append((x.start, ids, x.doc_tokens))
     assert len({x.sequence_id for x in got}) == len(got) and back.keys() == want.keys()
+    assert [x.length for x in sorted(got, key=lambda x: x.sequence_id)] == sorted(x.length for x in got)  # buckets are ranges
     for i, parts in back.items():
         joined, now = [], []
         for start, ids, n in parts:
@@ -137,6 +142,15 @@ def test_packing_equals_library(spark, docs):
     assert packing.pack(docs([]), path).count() == 0
 
 
+def test_buckets_hold_equal_lengths(spark, docs, tmp_path):
+    packed = packing.pack(docs([(i, "word " * i) for i in range(40)] + [(90, "long " * 9000)], clash=True), public_tokenizers.path("word_bpe_49k.json"))
+    found = packing.write_buckets(packed, f"file://{tmp_path}/buckets").collect()
+    assert all(x.length == 1 << x.bucket for x in found) and sum(x.n_sequences for x in found) == packed.count()
+    for x in found:
+        part = spark.read.parquet(f"file://{tmp_path}/buckets/bucket={x.bucket}").collect()
+        assert len(part) == x.n_sequences and {len(y.ids) for y in part} == {4 * x.length}
+
+
 LANGS = {"en": "the house and the garden were there when they came with others", "fr": "la maison et le jardin étaient là quand ils sont venus avec les autres", "de": "das haus und der garten waren dort als sie mit den anderen kamen"}
 
 

@@ -3,8 +3,12 @@
 The pre-tokenisation pattern is a deterministic automaton of eight states when each code point's class also tells what
 follows (last white space of a run, apostrophe that begins a contraction). Each class is then a function from states to
 states; the functions that arise by composition form a small finite monoid, so composing is a table lookup and the
-states of a whole batch come from an associative scan in numpy. Defined results: null encodes as the empty text; an
-empty text has no ids; repeated rows each get their row; a text of any length is encoded whole.
+states of a whole batch come from an associative scan in numpy. The offsets of the pieces are kept with the ids: decoding
+puts each piece's bytes where its offset says, and any span of a text is decoded from the pieces that it touches alone.
+
+Defined results: null encodes as the empty text; an empty text has no ids and decodes to nothing; an empty table gives no
+rows; repeated rows each get their row, equal texts equal ids; pairs tied in rank merge from the left; a text of any
+length is encoded whole; only key and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -131,13 +136,31 @@ def token_starts(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[before.astype(np.int32) * 9 + kinds])
 
 
+@dataclass
+class Encoded:
+    """Ids as decimals and as little-endian 32-bit integers; of each piece its first code point, byte and id."""
+
+    decimals: str
+    ids: bytes
+    starts: np.ndarray
+    bytes_before: np.ndarray
+    ids_before: np.ndarray
+
+
 class Codec:
     """Ranks of byte strings, with the cache of merged pieces."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens = {i: t for t, i in self.ranks.items()}
+        # All tokens' bytes in one array, and where each id's begin.
+        size = max(self.ranks.values(), default=-1) + 1
+        by_id = [b""] * size
+        for token, i in self.ranks.items():
+            by_id[i] = token
+        self.letters = np.frombuffer(b"".join(by_id), np.uint8)
+        self.lengths = np.array([len(t) for t in by_id], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -240,12 +263,14 @@ class Codec:
         for p, ids in found.items():
             self.young[p] = " ".join(map(str, ids)), np.array(ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[tuple[str, bytes, np.ndarray]]:
-        """For each text its ids as decimals, as little-endian 32-bit integers, and the code point offsets of its pieces."""
+    def encode(self, texts: list[str]) -> list[Encoded]:
+        """For each text its ids, and of each piece the offsets in code points, in bytes and among the ids."""
         joined = "\n".join([*texts, ""])
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         starts = token_starts(points, ends)
+        at_byte = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=at_byte[1:])
         stops = np.minimum(np.append(starts[1:], len(points)), ends[np.searchsorted(ends, starts)])
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
         self.learn(set(pieces))
@@ -255,11 +280,38 @@ class Codec:
         for k in range(len(texts)):
             part = values[cuts[k] : cuts[k + 1]]
             begin = 0 if not k else int(ends[k - 1]) + 1
-            out.append((" ".join([v[0] for v in part]), b"".join([v[1] for v in part]), starts[cuts[k] : cuts[k + 1]] - begin))
+            here = starts[cuts[k] : cuts[k + 1]]
+            counts = np.array([len(v[1]) // 4 for v in part], np.int64)
+            out.append(Encoded(" ".join([v[0] for v in part]), b"".join([v[1] for v in part]), here - begin, at_byte[here] - at_byte[begin], np.cumsum(counts) - counts))
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, piece_bytes: np.ndarray, piece_ids: np.ndarray) -> bytes:
+        """The text of some pieces in UTF-8: each piece's bytes at its offset, less the first one's. Raises if they don't fit."""
+        found = np.frombuffer(ids, "<u4").astype(np.int64)
+        if not len(found):
+            return b""
+        sizes = self.lengths[found]
+        ahead = np.cumsum(sizes) - sizes
+        first = piece_ids - piece_ids[0]
+        offset = piece_bytes - piece_bytes[0]
+        if (np.diff(offset) != np.diff(ahead[first])).any():
+            raise ValueError("offsets and ids don't belong together")
+        # A token lies behind its piece's offset by the tokens before it in the piece.
+        begins = ahead - np.repeat(ahead[first] - offset, np.diff(np.append(first, len(found))))
+        total = int(sizes.sum())
+        within = np.arange(total) - np.repeat(ahead, sizes)
+        out = np.empty(total, np.uint8)
+        out[np.repeat(begins, sizes) + within] = self.letters[np.repeat(self.places[found], sizes) + within]
+        return out.tobytes()
+
+    def decode_span(self, text: Encoded, begin: int, end: int) -> str:
+        """Code points begin to end of an encoded text, from the pieces that they touch."""
+        a, b = max(0, int(np.searchsorted(text.starts, begin, "right")) - 1), int(np.searchsorted(text.starts, end, "left"))
+        if a >= b or begin >= end:
+            return ""
+        last = 4 * int(text.ids_before[b]) if b < len(text.starts) else None
+        whole = self.decode(text.ids[4 * int(text.ids_before[a]) : last], text.bytes_before[a:b], text.ids_before[a:b]).decode()
+        return whole[begin - int(text.starts[a]) : end - int(text.starts[a])]
 
 
 @cache
@@ -272,21 +324,21 @@ def encode(df: DataFrame, path: str) -> DataFrame:
 
     def work(texts):
         found = codec(path).encode([t or "" for t in texts])
-        return [[np.frombuffer(b, "<u4").astype("i4") for _, b, _ in found], [s.astype("i4") for _, _, s in found]]
+        return [[np.frombuffer(e.ids, "<u4").astype("i4") for e in found], [e.starts.astype("i4") for e in found]]
 
     return map_texts(df, [("ids", T.ArrayType(T.IntegerType())), ("piece_starts", T.ArrayType(T.IntegerType()))], work)
 
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each whole text is encoded, and its ids are decoded again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each whole text is encoded, and its ids are decoded again by its offsets."""
 
     def work(texts):
         c = codec(path)
         found = c.encode([t or "" for t in texts])
         return [
-            [len(b) // 4 for _, b, _ in found],
-            [hashlib.sha256(s.encode()).hexdigest() for s, _, _ in found],
-            [hashlib.sha256(c.decode(b)).hexdigest() for _, b, _ in found],
+            [len(e.ids) // 4 for e in found],
+            [hashlib.sha256(e.decimals.encode()).hexdigest() for e in found],
+            [hashlib.sha256(c.decode(e.ids, e.bytes_before, e.ids_before)).hexdigest() for e in found],
         ]
 
     return map_texts(df, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], work)
