@@ -85,6 +85,12 @@ def test_keep_first(spark, docs):
     rows = [(5, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (9, "something else that is not alike at all"), (None, "a b c d e f g")]
     got = simhash.keep_first(docs(rows))
     assert sorted((x.doc_id for x in got.collect()), key=str) == [2, 9, None] and got.columns == docs([]).columns
+    # Where rows share a doc_id but not their text, each group still keeps one; rows equal in both stay once.
+    far = ["one kind of text with words of its own and no others", "quite another thing that was written by somebody else"]
+    rows = [(1, far[0]), (1, far[1]), (1, far[1]), (2, far[0]), (3, far[1]), (4, f"{far[0]} ")]
+    got = simhash.keep_first(docs(rows, clash=True))
+    assert sorted((x.doc_id, x.text) for x in got.collect()) == sorted([(1, far[0]), (1, far[1])])
+    assert simhash.keep_first(docs([], clash=True)).count() == 0
 
 
 def plain_removal(rows):

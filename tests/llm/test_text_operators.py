@@ -105,6 +105,42 @@ def test_markov_models_tell_random_strings():
     assert [text[a:b].startswith("ghp_") for a, _, b in spans] == [True]
 
 
+def test_threshold_on_strings_of_neither_sample(spark):
+    """Identifiers of installed packages against fresh random strings of kinds that the rules don't know."""
+    import glob
+    import os
+
+    import pandas
+    import pyspark
+
+    models = secrets.train(["the ordinary words of some documents that nobody would call secret at all"] * 3)
+    names = set()
+    for package in (pandas, pyspark):
+        for f in glob.glob(os.path.dirname(package.__file__) + "/**/*.py", recursive=True):
+            if "pb2" not in f:  # those hold serialised bytes
+                names.update(m[0] for m in secrets.CANDIDATE.finditer(open(f, encoding="utf-8").read()) if secrets.mixed(m[0]) and not secrets.HEX.search(m[0]))
+    names = {x for x in names if not re.search("[0-9a-f]{8}-[0-9a-f]{4}-|=$|^[0-9A-F]+$", x)}  # random by nature, and serialised
+    assert len(names) > 800
+    alarms = sorted(x for x in names if models.secret(x))
+    rng = random.Random(41)
+    tails = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=36)) for _ in range(600)]
+    unlisted = [kind + x[: 40 - len(kind)] for kind, x in zip(("ghp_", "sk-proj-", "xoxb-", "glpat-", "hf_", "") * 100, tails, strict=True)]
+    found = [x for x in unlisted if models.secret(x)]
+    assert len(alarms) / len(names) < 0.01 and len(found) / len(unlisted) > 0.9, (len(alarms) / len(names), len(found) / len(unlisted), alarms[:20])
+
+
+def test_models_add_spans_that_rules_miss(spark, docs):
+    rng = random.Random(17)
+    fresh = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=36))
+    rows = [(i, f"the deploy used {kind}{fresh()} until the new release_candidate_2_was_ready came") for i, kind in enumerate(("ghp_", "sk-live-", "xoxb-", "glpat-", "hf_"))]
+    rows += [(9, "see docs/2024/guide-to-version-2/index for the model_config_v2_parameters and 2024-01-31-release-notes")]
+    got = {x.doc_id: x.spans for x in secrets.find_secrets(docs(rows, clash=True)).collect()}
+    for i, t in rows[:-1]:
+        a = t.index("used ") + 5
+        assert got[i] == f"markov:{a}:{t.index(' until')}"
+    assert got[9] == ""
+
+
 def test_redaction_keeps_rows_and_columns(spark, docs):
     rows = [(1, "key password=abcdef12 end"), (2, None), (3, ""), (3, ""), (4, "plain")]
     got = sorted(map(tuple, secrets.redact(docs(rows)).collect()))
@@ -217,10 +253,97 @@ def test_toxicity_query_on_held_out(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     got = queries.QUERIES["op1_toxicity"](spark, sf).join(labels, "doc_id").where("held_out").collect()
     good = [x.score for x in got if x.toxic == 0]
-    assert np.mean([np.mean([x.score > g for g in good]) for x in got if x.toxic == 1]) > 0.95
+    assert np.mean([np.mean([x.score > g for g in good]) for x in got if x.toxic == 1]) > 0.94
+    assert np.mean([x.predicted for x in got if x.toxic == 1]) > 0.85 and np.mean([x.predicted for x in got if x.toxic == 0]) < 0.02
     assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in got)
 
 
+def test_network_equals_a_plain_loop():
+    """One window, word by word and unit by unit, both directions and the attention."""
+    from math import exp, tanh
+
+    text = "you are a grim toad, indeed a toad"
+    net = toxicity.train([("grim toad fool you", 1), ("calm sea day you are", 0)] * 40)
+    words_ = toxicity.words_of([text])
+    n, h = len(words_.owner), toxicity.HIDDEN
+    known = words_.numbered(net.word_keys, net.gram_keys)
+    spans = [*words_.gram_starts.tolist(), len(words_.grams)]
+    x = [[float(v) for v in net.p["words"][known.word[i]]] + [float(sum(net.p["grams"][g][j] for g in known.grams[spans[i] : spans[i + 1]])) for j in range(toxicity.EMBED)] for i in range(n)]
+    gate = lambda v: 1 / (1 + exp(-v))
+    states = [[0.0] * (2 * h) for _ in range(n)]
+    for d, order, shift in (("f", range(n), 0), ("b", range(n - 1, -1, -1), h)):
+        now = [0.0] * h
+        for i in order:
+            a = [float(net.p[f"c{d}"][j]) + sum(x[i][k] * float(net.p[f"x{d}"][k, j]) for k in range(2 * toxicity.EMBED)) for j in range(3 * h)]
+            b = [sum(now[k] * float(net.p[f"h{d}"][k, j]) for k in range(h)) for j in range(3 * h)]
+            z, r_ = [gate(a[j] + b[j]) for j in range(h)], [gate(a[h + j] + b[h + j]) for j in range(h)]
+            c = [tanh(a[2 * h + j] + r_[j] * b[2 * h + j]) for j in range(h)]
+            now = [now[j] + z[j] * (c[j] - now[j]) for j in range(h)]
+            states[i][shift : shift + h] = now
+    e = [sum(tanh(sum(s[k] * float(net.p["att"][k, j]) for k in range(2 * h))) * float(net.p["att_v"][j]) for j in range(2 * h)) for s in states]
+    weight = [exp(v - max(e)) for v in e]
+    logit = float(net.p["bias"][0]) + sum(w / sum(weight) * sum(s[j] * float(net.p["out"][j]) for j in range(2 * h)) for w, s in zip(weight, states, strict=True))
+    assert np.isclose(net.window_logits(known)[1][0], logit, atol=1e-3) and np.isclose(net.scores([text])[0], gate(net.slope * logit + net.shift), atol=1e-3)
+
+
+def test_kneser_ney_equals_dictionaries():
+    """Probabilities from counts of tuples in dictionaries, order by order, against the sorted arrays."""
+    from collections import defaultdict
+
+    texts = [t for i, t in enumerate(t for t, v in corpus(30) if v == "fr") if i % 5 != 4]  # the others calibrate
+    model = langid.train([(t, v) for t, v in corpus(30)])
+    symbols = model.table[langid.letters(texts)[0]].tolist()
+    order = langid.ORDER
+    k = langid.KneserNey(np.array(symbols, np.uint8))
+    padded = [0] * (order - 2) + symbols
+    level = defaultdict(int)
+    for i in range(len(symbols) - 1):
+        level[tuple(padded[i : i + order])] += 1
+    levels = {order: dict(level)}
+    for o in range(order - 1, 0, -1):
+        left = defaultdict(set)
+        for g in levels[o + 1]:
+            left[g[1:]].add(g[0])
+        levels[o] = {g: len(s) for g, s in left.items()}
+
+    def p(gram):
+        if not gram:
+            return 1 / (1 << langid.BITS)
+        counts = levels[len(gram)]
+        ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        same = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return (max(counts.get(gram, 0) - d, 0) + d * len(same) * p(gram[1:])) / sum(same)
+
+    r = random.Random(3)
+    grams = [tuple(padded[i : i + order]) for i in r.sample(range(len(symbols) - 1), 60)] + [tuple(r.choices(range(1, 30), k=order)) for _ in range(60)]
+    keys = np.array([sum(s << langid.BITS * (order - 1 - j) for j, s in enumerate(g)) for g in grams])
+    assert np.allclose(k.p(keys, order), [p(g) for g in grams])
+    assert np.allclose(model.lookup(keys.astype(np.int32), order)[:, model.languages.index("fr")], np.log([p(g) for g in grams]), atol=1e-4)
+
+
+def test_predictions_of_empty_and_clashing_tables(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (2, 1, 1, "x"), (2, 0, None, "x"), (None, 1, 1, "x")], "doc_id long, quality int, toxic int, score string")
+    rows = [(1, "calm sea"), (2, "grim toad"), (2, "grim toad"), (3, None), (None, "x")]
+    assert toxicity.predictions(docs([], clash=True), labels).count() == 0 and toxicity.predictions(docs(rows), labels.where("doc_id = 9")).where("score <> 0").count() == 0
+    got = toxicity.predictions(docs(rows, clash=True), labels).collect()
+    assert sorted(str(x.doc_id) for x in got) == ["1", "2", "2", "3", "None"] and all(x.predicted == (x.score >= 0.5) for x in got)
+    assert langid.predictions(docs([], clash=True)).count() == 0
+    got = langid.predictions(docs(rows, clash=True)).collect()
+    assert sorted(x.lang_pred for x in got) == ["en", "en", "en", "en", "und"] and not [x for x in got if x.doc_id is None and x.held_out]
+
+
+def test_dirty_labels_are_bounded(spark):
+    """A label column of many different values: the most frequent ones are learned, the same on every run."""
+    from textloom.llm import common
+
+    df = spark.createDataFrame([(i, "text here", "en" if i % 2 else f"v{i}") for i in range(1000)], "doc_id long, text string, lang string")
+    got = common.labelled_sample(df, "lang", 5)
+    assert len({v for _, v in got}) <= common.MOST_VALUES and ("text here", "en") in got and got == common.labelled_sample(df, "lang", 5)
+
+
 def test_toxicity_edges(spark, docs):
     net = toxicity.train([("grim toad fool", 1), ("calm sea day", 0)] * 40)
     got = {x.doc_id: x.score for x in toxicity.toxicity(docs([(1, None), (2, ""), (3, "!!"), (4, "toad " * 20000), (5, "grim toad fool"), (6, "calm sea day")], clash=True), net).collect()}

@@ -4,9 +4,13 @@ Letters in lower case are symbols, a run of anything else is one boundary. The m
 one sorted array of packed n-gram keys per order, with a column of log-probabilities for each language, so one binary
 search a character scores every language; unseen 4-grams back off through the context's weight to lower orders. The
 language of lowest cross-entropy per symbol wins; the score is a softmax whose temperature is calibrated on labelled
-documents that the counts don't use, and a document is rejected if its score or its cross-entropy lies beyond what those
-documents show. Defined results: a null text, or one without a letter, is `und` with score 0; with no labelled text at
-all everything is; ties go to the first language by name; repeated rows each get their row; whole texts are scored.
+documents that the counts don't use, and a document is rejected if its score is near chance or its cross-entropy lies
+halfway from what those documents show to pure chance.
+
+Defined results: a null text, or one without a letter, is `und` with score 0; with no labelled text at all everything is,
+and `keep_identified` then keeps all rows, as nothing was learned to reject by; of more than 200 label values the most
+frequent are learned; ties go to the first language by name; repeated rows each get their row; an empty table gives no
+rows; whole texts are scored, however long; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, labelled_sample, map_texts
+from .common import bounded_batches, crc_fold, labelled_sample, map_texts, text_slices
 
 ORDER = 4
 #: Symbols kept apart: 0 pads, 1 is a boundary, 2 any rarer letter; the rest are the most frequent letters.
@@ -209,13 +215,11 @@ def identify(df: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that identification does not reject."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    from .common import bounded_batches, text_slices
-
-    shared = df.sparkSession.sparkContext.broadcast(fit_languages(df))
+    """The documents, with all their columns, that identification does not reject; all of them if no language was learned."""
+    model = fit_languages(df)
+    if not model.languages:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(model)
     bounded_batches(df.sparkSession)
 
     def run(batches):

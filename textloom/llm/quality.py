@@ -1,7 +1,8 @@
 """Quality rules as one native projection: a threshold table compiled into Spark expressions, no user functions.
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept; repeated rows each get their
-row; texts of any length are judged whole. Words are runs of characters other than space and code points 9 to 13.
+row; a ratio that equals a limit is inside it; texts of any length are judged whole; an empty table gives no rows; only
+key and text are read, so other columns may have any name. Words are runs of characters other than space and code points 9 to 13.
 """
 
 from __future__ import annotations

@@ -1,11 +1,17 @@
 """Secrets in text: three fixed rules, and character Markov models for strings that the rules don't know.
 
 Two order-2 Markov models over the characters of base-64 alphabets, one of random strings and one of ordinary
-identifiers, score each candidate (a long run of those characters outside the rules' spans); a candidate is a secret if
-the log-likelihood ratio per character exceeds a threshold. The models are trained from labelled samples: random strings
-of several alphabets from a seeded generator are positive; runs of characters from a bounded sample of documents that no
-rule matches, and identifiers and numbers composed from them, are negative. Defined results: null is scanned as empty;
-an empty text has no span; repeated rows each get their row; whole texts are scanned, spans are in code points.
+identifiers, score each candidate (a long run of those characters outside the rules' spans, with a letter and a digit); a
+candidate is a secret if the log-likelihood ratio per character exceeds a threshold. The models are trained from labelled
+samples: random strings of several alphabets from a seeded generator are secrets; ordinary are identifiers as they stand
+in the sources of Python's own library, and words of a bounded sample of documents, as they stand and composed as names,
+paths and numbers are. A fourth of either sample is left out of the models, and sets the threshold: halfway between what
+all but a bounded share of the ordinary strings left out stay below, and what all but a bounded share of the random ones
+exceed; the former alone where that is higher.
+
+Defined results: null is scanned as empty; an empty text has no span; an empty table gives no rows, and models without its
+words; repeated rows each get their row; whole texts are scanned, however long; spans are in code points; where spans of
+different kinds begin together, they come in the order of the kinds; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -13,13 +19,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import bounded_batches, map_texts, text_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -29,8 +38,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: A candidate for the models: so many characters at least, a letter and a digit among them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Nats per character by which the random model must be likelier.
-THRESHOLD = 0.4
+#: Shares of the candidates left out of training that bound the threshold: ordinary ones above it, random ones below it.
+FALSE_ALARMS, MISSES = 0.002, 0.03
+#: Bound on the files of Python's library that are read for identifiers.
+LIBRARY_FILES = 400
 #: Bound on the documents from which ordinary strings are taken, and on each one's length.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 20_000
 SEED = 11
@@ -82,7 +93,8 @@ def identifiers(rng: random.Random, texts: list[str], count: int) -> list[str]:
     """Ordinary strings: words as they stand, words joined as identifiers and paths are, with short numbers, and numbers."""
     words = []
     for t in texts:
-        taken = [(a, b) for a, _, b in base_spans(t)]
+        # What could itself be a secret says nothing about ordinary words.
+        taken = [(a, b) for a, _, b in base_spans(t)] + [m.span() for m in CANDIDATE.finditer(t) if mixed(m[0])]
         words += [m[0] for m in re.finditer(r"[A-Za-z]+", t) if not any(a <= m.start() < b for a, b in taken)]
     words = words or ["value", "name", "item", "count"]
     out = []
@@ -97,18 +109,60 @@ def identifiers(rng: random.Random, texts: list[str], count: int) -> list[str]:
     return out
 
 
-def train(texts: list[str], count: int = 6000) -> tuple[Markov, Markov]:
-    rng = random.Random(SEED)
-    return Markov(random_strings(rng, count)), Markov(identifiers(rng, texts, count))
+@cache
+def library_names() -> tuple[str, ...]:
+    """Different runs of candidate characters in the sources of Python's library, in order; names of its build settings too."""
+    import sysconfig
+    from pathlib import Path
 
+    files = [f for f in sorted(Path(sysconfig.get_path("stdlib")).glob("**/*.py")) if not {"site-packages", "test", "tests", "idlelib"} & set(f.parts)]
+    out = set(sysconfig.get_config_vars())
+    for f in files[:: max(1, len(files) // LIBRARY_FILES)][:LIBRARY_FILES]:
+        out.update(re.findall(r"[A-Za-z0-9+/_-]{8,}={0,2}", f.read_text(encoding="utf-8", errors="ignore")))
+    return tuple(sorted(x for x in out if not HEX.search(x)))
 
-def all_spans(text: str, models: tuple[Markov, Markov]) -> tuple[list, list]:
+
+class Models(NamedTuple):
+    random: Markov
+    ordinary: Markov
+    threshold: float  # nats per character
+
+    def ratio(self, s: str) -> float:
+        return (self.random.score(s) - self.ordinary.score(s)) / len(s)
+
+    def secret(self, s: str) -> bool:
+        return mixed(s) and self.ratio(s) > self.threshold
+
+
+def mixed(s: str) -> bool:
+    return bool(re.search("[0-9]", s) and re.search("[A-Za-z]", s))
+
+
+def labelled(texts: list[str], count: int, seed: int = SEED) -> tuple[list[str], list[str]]:
+    """Random strings, and ordinary ones."""
+    rng = random.Random(seed)
+    return random_strings(rng, count), [*identifiers(rng, texts, count), *library_names()]
+
+
+def train(texts: list[str], count: int = 6000) -> Models:
+    secret, ordinary = labelled(texts, count)
+    # Every fourth is left out; by position, which has nothing to do with what a string is.
+    fit = [[s for i, s in enumerate(x) if i % 4 != 3] for x in (secret, ordinary)]
+    models = Models(Markov(fit[0]), Markov(fit[1]), 0.0)
+    # Repeated words say little, and a run that can't be a candidate nothing; both sides count as they would be met.
+    left = [sorted(models.ratio(s) for s in {s for i, s in enumerate(x) if i % 4 == 3 and mixed(s) and CANDIDATE.fullmatch(s)}) for x in (secret, ordinary)]
+    low = max(0.0, float(np.quantile(left[1], 1 - FALSE_ALARMS))) if left[1] else 0.0
+    high = float(np.quantile(left[0], MISSES))
+    return models._replace(threshold=max(low, (low + high) / 2))
+
+
+def all_spans(text: str, models: Models) -> tuple[list, list]:
     """The rules' spans, and with them those of the models, which overlap none of the rules'."""
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(x < b and a < y for x, _, y in base) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and (models[0].score(m[0]) - models[1].score(m[0])) / (b - a) > THRESHOLD:
+        if not any(x < b and a < y for x, _, y in base) and models.secret(m[0]):
             more.append((a, 3, b))
     return base, sorted(base + more)
 
@@ -117,15 +171,15 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def fit(df: DataFrame) -> tuple[Markov, Markov]:
+def fit(df: DataFrame) -> Models:
     """Models with ordinary strings from a bounded sample: documents with the least hashes of the key."""
     sample = df.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text").where(F.length("text").between(1, SAMPLE_CHARS))
     least = [r["h"] for r in sample.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]  # hashes alone, then these texts
-    texts = sample.where(F.col("h") <= least[-1]).limit(2 * SAMPLE_DOCS).collect() if least else []
-    return train([r["text"] for r in sorted(texts, key=tuple)[:SAMPLE_DOCS]])
+    texts = sample.where(F.col("h") <= least[-1]).orderBy("h", F.xxhash64("text")).limit(SAMPLE_DOCS).collect() if least else []
+    return train([r["text"] for r in texts])
 
 
-def find_secrets(df: DataFrame, models: tuple[Markov, Markov] | None = None) -> DataFrame:
+def find_secrets(df: DataFrame, models: Models | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every whole text."""
     shared = df.sparkSession.sparkContext.broadcast(models or fit(df))
 
@@ -155,14 +209,10 @@ def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
             out.append("".join([*parts, t[at:]]) if t is not None else None)
         return out
 
-    from .common import bounded_batches, text_slices
-
     bounded_batches(df.sparkSession)
     schema = df.schema
 
     def run(batches):
-        import pyarrow as pa
-
         for part in text_slices(batches):
             texts = work(part.column("text").to_pylist())
             columns = {n: part.column(n) for n in part.schema.names} | {"text": pa.array(texts, pa.string())}

@@ -5,9 +5,12 @@ still show their parts; both vocabularies are sorted arrays of 64-bit hashes wit
 network reads overlapping windows of words; attention pools its states into one logit a window; all windows of a text
 are scored, and the highest, calibrated on labelled texts that training left out, makes the text's score. Training takes
 a bounded sample of labelled documents: a toxic one teaches through the windows that score highest in it, at first by
-the log-odds of their grams, a clean one through its highest and some others. Defined results: a null or empty text, or
-one without a letter or digit, scores 0; with labels of one kind only, or none, every score is 0; repeated rows each get
-their row; texts of any length are scored whole.
+the log-odds of their grams, a clean one through its highest and some others.
+
+Defined results: a null or empty text, or one without a letter or digit, scores 0; with labels of one kind only, or none,
+every score is 0; of several labels of one document the highest counts, null labels and ids don't; of windows that score
+alike each counts; repeated rows each get their row; an empty table gives no rows; texts of any length are scored whole;
+only doc_id, text and the label are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -360,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network:
     keys = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in picked_keys(marks, "label", DOCS_PER_LABEL, "doc_id").collect()], marks.schema)
     # The sample's keys are bounded, so they go to the documents and not the texts to them.
     texts = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").where(F.length("text") <= MOST_CHARS)
-    return train(sorted((r["text"], r["label"]) for r in texts.limit(4 * DOCS_PER_LABEL).collect()))
+    return train(sorted((r["text"], r["label"]) for r in texts.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "label").limit(4 * DOCS_PER_LABEL).collect()))
 
 
 def toxicity(docs: DataFrame, net: Network) -> DataFrame:

@@ -10,7 +10,9 @@ records are then read by their ranges, in the order of the archives.
 
 Defined results: a null html is an empty payload; equal payloads below 100 bytes are all responses; a null url has an
 empty key; a null page_id is kept, and never named by a revisit unless all equal payloads have none, in which case all
-are responses; rows that repeat a page_id are records each; an empty table gives no archive and no rows.
+are responses; rows that repeat a page_id are records each, with record ids of their own, and tie in the index by archive
+and place; pages of any length are written whole; an empty table gives no archive and no rows; only page_id, url and html
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -53,16 +55,19 @@ def url_key(url: str | None) -> str:
     return f"{labels}{f':{port}' if port and port not in (80, 443) else ''}){tail}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record as a gzip member; a revisit has no payload, but its length and digest."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC record as a gzip member; a revisit has no payload, but its length and digest.
+
+    The record's id follows from its archive and place, so it is unique; pages stand in fields of their own.
+    """
     revisit = refers_to is not None
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page: {refers_to}", f"WARC-Refers-To-Date: {DATE}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     body = b"" if revisit else payload
     head.append(f"Content-Length: {len(body)}")
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
@@ -99,7 +104,7 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
                 keys, begins, sizes = [], [], []
                 for p, u, h, d, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
-                    member = record(p, u, h.encode(), d, r)
+                    member = record(p, u, h.encode(), d, r, f"{name}:{at}")
                     out.write(member)
                     keys.append(url_key(u))
                     begins.append(at)
@@ -219,8 +224,7 @@ def locate(pages: DataFrame, uri: str, files: list[tuple], parts: int) -> DataFr
 OUT = T.StructType([T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("url", T.StringType()))])
 
 
-def page_of(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:page:").removesuffix(">")
+def page_of(number: str) -> int | None:
     return int(number) if number else None
 
 
@@ -242,7 +246,7 @@ def read_records(found: DataFrame, uri: str, parts: int) -> DataFrame:
                 digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
                 if head["WARC-Type"] == "response" and hashlib.sha256(body).hexdigest() != digest:
                     raise ValueError(f"digest of {file} at {begin}")
-                rows.append((page_of(head["WARC-Record-ID"]), len(body) if head["WARC-Type"] == "response" else int(head["X-Payload-Length"]), digest, head["WARC-Type"], page_of(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None, head["WARC-Target-URI"]))
+                rows.append((page_of(head["X-Page-ID"]), len(body) if head["WARC-Type"] == "response" else int(head["X-Payload-Length"]), digest, head["WARC-Type"], page_of(head["X-Refers-To-Page"]) if "X-Refers-To-Page" in head else None, head["WARC-Target-URI"]))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=OUT.names)
         if f:
             f.close()
