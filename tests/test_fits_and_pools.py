@@ -84,7 +84,11 @@ def plain_build(supply, shares, total, cap, rounds=4):
         new = [r for r in sorted(new) if not r[6] and r[4] not in {a[4] for a in accepted}]
         new = [r for i, r in enumerate(new) if r[4] not in {q[4] for q in new[:i]}]
         old = {b for a in accepted for b in enumerate(a[5])}
-        new = [r for i, r in enumerate(new) if not any(b in old or any(b in set(enumerate(q[5])) for q in new[:i]) for b in enumerate(r[5]))]
+        taken = []
+        for r in new:
+            if not any(b in old or any(b in set(enumerate(q[5])) for q in taken) for b in enumerate(r[5])):
+                taken.append(r)
+        new = taken
         had = {}
         for a in accepted:
             had[a[3]] = had.get(a[3], 0) + 1

@@ -107,3 +107,136 @@ def test_configurations_compose_and_taxonomies_flatten(spark):
             config.compose(base, override={missing: 1})
     rows, digest = config.taxonomy(spark, {"s": {"t": ["u", "v"], "w": []}, "x": {"y": ["z"]}})
     assert [tuple(r) for r in rows.orderBy("position").collect()] == [(0, "s", "t", "u"), (1, "s", "t", "v"), (2, "x", "y", "z")] and len(digest) == 64
+
+
+def test_compressed_lines(spark, tmp_path):
+    import zstandard
+
+    from textloom.sources import files
+
+    (tmp_path / "z").mkdir()
+    for k in range(3):
+        text = "\n".join([json.dumps({"id": 10 * k + i, "text": f"é{i}"}) for i in range(5)] + ["", "{broken"])
+        (tmp_path / "z" / f"{k}.jsonl.zst").write_bytes(zstandard.ZstdCompressor().compress(text.encode()) + zstandard.ZstdCompressor().compress(b'\n{"id": 100}\n'))
+    got = files.compressed_json(spark, f"{tmp_path}/z", "id long, text string").collect()
+    assert sorted(x.id for x in got) == sorted([10 * k + i for k in range(3) for i in range(5)] + [100] * 3)
+
+
+def test_chunks_equal_the_flat_stream(spark):
+    from textloom.sources import files
+
+    rows = [(i, list(range(100 * i, 100 * i + n))) for i, n in enumerate((3, 0, 17, 1, 40, 2, 2, 9))] + [(20, None)]
+    flat = [x for _, t in rows for x in t or []]
+    for length in (1, 4, 10, 73, 100):
+        got = [(r.seq, r.tokens) for r in files.chunks(spark.createDataFrame(rows, "doc_id long, tokens array<int>").repartition(3), length).orderBy("seq").collect()]
+        assert got == [(i, flat[i * length : (i + 1) * length + 1]) for i in range(max(0, (len(flat) - 1) // length))]
+
+
+def test_token_stream_round_trips_and_refuses(spark, tmp_path):
+    from textloom.sources import files
+
+    rows = spark.createDataFrame([(i, [(7 * i + j) % 65536 for j in range(1 + i % 5)]) for i in range(300)], "doc_id long, tokens array<int>").repartition(5)
+    flat = [(7 * i + j) % 65536 for i in range(300) for j in range(1 + i % 5)]
+    m = files.write_token_stream(rows, f"{tmp_path}/s")
+    assert m["n_tokens"] == len(flat) and m["n_docs"] == 300
+    np.array(flat[:55], "<u2").tofile(tmp_path / "t.bin")
+    sinks.register(spark)
+    read = lambda path: [r.tokens for r in spark.read.format("token_file").option("path", path).option("length", 10).option("rowsPerPartition", 7).load().orderBy("row").collect()]
+    whole = [flat[i * 10 : i * 10 + 11] for i in range((len(flat) - 1) // 10)]
+    assert read(f"{tmp_path}/s") == whole and read(f"{tmp_path}/t.bin,{tmp_path}/s") == [flat[i * 10 : i * 10 + 11] for i in range(5)] + whole
+    for bad in ([(1, [70000])], [(1, [1]), (2, [])]):
+        with pytest.raises(Exception, match="16 bits|without tokens"):
+            files.write_token_stream(spark.createDataFrame(bad, "doc_id long, tokens array<int>"), f"{tmp_path}/bad")
+
+
+def test_branches(spark, tmp_path):
+    from textloom.sources import files
+
+    packed = [(i, list(range(8)), [0, 3], i % 2) for i in range(20)]
+    schema = "seq long, tokens array<int>, bounds array<int>, kind int"
+    m = files.write_branch(spark.createDataFrame(packed, schema), f"{tmp_path}/b", {"length": 8})
+    assert m["n_sequences"] == 20 and m["n_tokens"] == 160 and m["kinds"] == {"0": 10, "1": 10} and json.loads((tmp_path / "b" / "branch.json").read_text()) == m
+    assert spark.read.parquet(f"{tmp_path}/b/bounds").count() == 20
+    for bounds in ([1, 3], [0, 3, 3], [0, 8], [0, 5, 3], [], None):
+        with pytest.raises(ValueError):
+            files.write_branch(spark.createDataFrame([(0, list(range(8)), bounds, 0)], schema), f"{tmp_path}/c", {})
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    uri = f"file://{tmp_path}/queue"
+    sinks.save_whole(spark.range(5), uri)
+    sinks.save_whole(spark.read.parquet(uri).where("id > 2"), uri)
+    assert sorted(r.id for r in spark.read.parquet(uri).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["queue"]
+
+
+def test_indexes_reports_and_results(spark, tmp_path):
+    sinks.write_index([spark.sql("SELECT 1 AS a"), spark.sql("SELECT 2 AS b")], f"file://{tmp_path}/i")
+    assert records.load_index(spark, f"file://{tmp_path}/i").count() == 2
+    spark.read.parquet(f"{tmp_path}/i.parquet").write.option("header", True).csv(f"file://{tmp_path}/j.csv")
+    assert sorted(records.load_index(spark, f"file://{tmp_path}/j").columns) == ["a", "b"]
+    sinks.write_results(spark.sql("SELECT 'r' AS run_id, 't' AS task, 0.5 AS acc"), f"{tmp_path}/res")
+    assert spark.read.json(f"{tmp_path}/res/run_id=r/task=t").first().acc == 0.5
+
+
+def test_study_notes_failures_and_goes_on(spark, tmp_path):
+    from textloom.operators import analysis
+
+    calls = []
+    queries = {"good": lambda s, d: calls.append(d) or s.sql("SELECT 1 AS a, array(1, 2) AS b"), "bad": lambda s, d: s.sql("SELECT nothing")}
+    first = analysis.run_study(spark, "x", f"file://{tmp_path}/r", queries, ("good", "bad"))
+    again = analysis.run_study(spark, "x", f"file://{tmp_path}/r", queries, ("good", "bad"))
+    assert first["good"] == "written" and first["bad"].startswith("failed") and again["good"] == "was there" and calls == ["x"]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/r/good.csv").first().b == "[1,2]"
+
+
+def test_manifests_fixtures_and_likelihoods(spark, tmp_path):
+    for name, arm, data in (("a", "main", {"d_syn": 5.0}), ("b", "base_only", {}), ("c", "other", {"replay": 0.5})):
+        lines(tmp_path / "m" / f"{name}.json", [{"run_id": name, "arm": arm, "student": "s", "teacher": "t", "seed": 1, "data": data, "train": {"tokens": 9.0}}])
+    points = spark.createDataFrame([("a", float(i), 1.0) for i in range(4)] + [("c", 1.0, 1.0)], "run_id string, d double, loss double")
+    rows = {r.run_id: r for r in records.run_covariates(spark, f"{tmp_path}/m/*.json", {"main": "C2", "other": "C3"}).collect()}
+    assert set(rows) == {"a", "c"} and (rows["a"].cond, rows["a"].replay, rows["a"].d_syn) == ("C2", 0.25, 5.0) and (rows["c"].replay, rows["c"].d_syn) == (0.5, 9.0)
+    assert [r.run_id for r in records.run_covariates(spark, f"{tmp_path}/m/*.json", {}, points).collect()] == ["a"]
+    lines(tmp_path / "f.json", [json.dumps([{"context": "q", "options": ["x", "y"], "gold": 1}, {"context": "q", "options": ["x"], "gold": 3}])])
+    assert [(r.context, r.gold) for r in records.choice_items(spark, f"{tmp_path}/f.json").collect()] == [("q", 1)]
+    p = lines(tmp_path / "l.jsonl", [{"doc_id": 0, "resps": [[[-2.5, True]]]}, {"doc_id": 1, "resps": [[["-inf", "False"]]]}])
+    assert [(r.ll, r.is_greedy) for r in records.harness_likelihoods(spark, p).orderBy("doc_id").collect()] == [(-2.5, True), (float("-inf"), False)]
+    p = lines(tmp_path / "g.jsonl", [{"doc_id": 0, "target": "Paris", "resps": [[" paris "]]}, {"doc_id": 1, "target": "x", "filtered_resps": ["y"], "resps": [["x"]]}])
+    assert [(r.answer, r.matched) for r in records.harness_generations(spark, p).orderBy("doc_id").collect()] == [("paris", True), ("y", False)]
+
+
+def test_yaml_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from textloom.sources import config
+
+    (tmp_path / "a.yaml").write_text("x: {y: 1}\nz: 2\n")
+    (tmp_path / "b.yaml").write_text("x: {w: 3}\n")
+    assert config.composed_files(str(tmp_path / "a.yaml"), str(tmp_path / "b.yaml"), override={"z": 5}) == {"x": {"y": 1, "w": 3}, "z": 5}
+    (tmp_path / "t.yaml").write_text("d: {s: [l1, l2]}\n")
+    assert config.taxonomy_file(spark, str(tmp_path / "t.yaml"))[0].count() == 2
+
+
+def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
+    from textloom.streaming import events
+
+    def put(k, rows):
+        spark.createDataFrame(rows, "worker string, shard long, tokens long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    def run():
+        stream = spark.readStream.schema("worker string, shard long, tokens long").parquet(f"{tmp_path}/in/*")
+        return sorted((r.worker, r.shard) for r in events.settled(events.until_budget(stream, 10), base=f"file://{tmp_path}/out").collect())
+
+    put(0, [("a", 1, 4), ("a", 2, 4), ("b", 1, 99)])
+    assert run() == [("a", 1), ("a", 2), ("b", 1)]
+    put(1, [("a", 3, 4), ("a", 4, 4), ("b", 2, 1)])
+    assert run() == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from textloom.operators import folders
+
+    class Other:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: type("D", (), {"get": staticmethod(lambda *a: None)})())})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folders.checkpoint_root(Other())

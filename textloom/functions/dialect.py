@@ -71,11 +71,23 @@ class Dialect:
         inner = self.each(self.upto(f"{self.size(words)} - {n - 1}"), "i", self.glue(self.part(words, "i", n)))
         return f"CASE WHEN {self.size(words)} < {n} THEN {'array' if self.spark else 'list_value'}({self.glue(words)}) ELSE {inner} END"
 
-    def char_grams(self, n: int) -> str:
-        """All overlapping n-grams of the characters of text; in Spark of their array cs, as a substring scans from the start."""
-        if not self.spark:
-            return self.each(self.upto(f"length(text) - {n - 1}"), "i", f"substring(text, i, {n})")
-        return self.each(self.upto(f"size(cs) - {n - 1}"), "i", f"concat({', '.join(f'cs[i + {k}]' for k in range(-1, n - 1))})")
+    def glue_numbers(self, array: str, by: str = ",") -> str:
+        return self.glue(f"CAST({array} AS ARRAY<STRING>)" if self.spark else array, by)
+
+    def top_counts(self, text: str) -> str:
+        """How often the most frequent gram of 2, 3 and 4 characters occurs, as a list; 0 where the text is shorter."""
+        if self.spark:
+            return f"top_grams({text})"
+        grams = (self.each(self.upto(f"length({text}) - {n - 1}"), "i", f"substring({text}, i, {n})") for n in (2, 3, 4))
+        return f"[{', '.join(f'CAST(coalesce(list_max(map_values(list_aggregate({g}, {chr(39)}histogram{chr(39)}))), 0) AS BIGINT)' for g in grams)}]"
+
+    def at(self, array: str, i: int) -> str:
+        """The i-th element, from 0."""
+        return f"{array}[{i if self.spark else i + 1}]"
+
+    def hash_grams(self, words: str, n: str) -> str:
+        """64-bit hashes of all n-grams of a word list, in Spark alone: a filter that loses nothing, before grams are compared."""
+        return self.each(self.upto(f"size({words}) - {n} + 1"), "i", f"xxhash64(slice({words}, CAST(i AS INT), CAST({n} AS INT)))")
 
     def median(self, x: str, q: float = 0.5) -> str:
         return f"percentile({x}, {q})" if self.spark else f"quantile_cont({x}, {q})"
@@ -86,7 +98,18 @@ class Dialect:
     def seconds(self, a: str, b: str) -> str:
         return f"(unix_micros(CAST({b} AS TIMESTAMP)) - unix_micros(CAST({a} AS TIMESTAMP))) / 1e6" if self.spark else f"(epoch_us({b}) - epoch_us({a})) / 1e6"
 
+    def word_count(self, text: str) -> str:
+        """Runs of other than white space; in Spark without a list of them, each run as one letter."""
+        if self.spark:
+            words, blank = self.rx(r"\S+"), self.rx(r"\s+")
+            return f"CAST(length(regexp_replace(regexp_replace({text}, {words}, 'a'), {blank}, '')) AS BIGINT)"
+        return self.size(self.find_all(text, r"\S+"))
+
     def approx_tokens(self, text: str) -> str:
+        """A token for every six letters of a run, or part of them, for each digit and for each other sign."""
+        if self.spark:  # letters of a token as one; what stays beside white space is a token each
+            letters, blank = self.rx("[A-Za-z]{1,6}"), self.rx(r"\s+")
+            return f"CAST(coalesce(length(regexp_replace(regexp_replace({text}, {letters}, 'a'), {blank}, '')), 0) AS BIGINT)"
         pieces = self.find_all(text, r"[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]")
         return self.total(self.each(pieces, "x", "CAST(greatest(1, ceil(length(x) / 6.0)) AS BIGINT)"))
 

@@ -5,8 +5,8 @@ after `rounds` of them. What stays of a round is written to the shared folder, s
 driver holds a number for each category and nothing that grows with the pool.
 
 Candidates are cleaned in this order: contaminated ones go; exact copies of an accepted or an earlier one of the round
-go; near copies by bands likewise; then a leaf takes no more than its cap. Rows of a round lose only to rows of the round
-that passed the stages before. Then sources are interleaved within a category, categories within the pool.
+go; near copies by bands of one that is taken go; then a leaf takes no more than its cap. Rows beyond a cap still keep
+near copies of their round out, as caps are counted last. Then sources are interleaved within a category, categories within the pool.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .greedy import first_without_shared
 from .ordered import rank_within, with_position, written
 
 #: The columns that a backend's candidates have; ord is unique, and earlier candidates have smaller ones.
@@ -42,13 +43,14 @@ def clean(new: DataFrame, accepted: DataFrame | None, cap: int) -> DataFrame:
         left = left.join(accepted.select("key").distinct(), "key", "left_anti")
     left = left.join(left.groupBy("key").agg(F.min("ord").alias("ord")).select("ord"), "ord", "left_semi")
     keys = left.select("ord", F.posexplode("bands").alias("band", "bk"))
-    # Counted before anything meets: a band key is one row, however many candidates share it.
-    heads = keys.groupBy("band", "bk").agg(F.min("ord").alias("head"))
-    copies = keys.join(heads, ["band", "bk"]).where("ord <> head").select("ord")
     if accepted is not None:
         old = accepted.select(F.posexplode("bands").alias("band", "bk")).distinct()
-        copies = copies.unionByName(keys.join(old, ["band", "bk"], "left_semi").select("ord"))
-    left = written(left.join(copies.distinct(), "ord", "left_anti"), "pool-round")
+        copies = keys.join(old, ["band", "bk"], "left_semi").select("ord").distinct()
+        keys, left = keys.join(copies, "ord", "left_anti"), left.join(copies, "ord", "left_anti")
+    # Within the round only rows that are taken keep near ones out, as a loop over them would have it.
+    taken = first_without_shared(keys.select(F.col("ord").alias("id"), F.concat_ws(":", "band", "bk").alias("key")))
+    bandless = left.where("bands IS NULL OR size(bands) = 0").select("ord")
+    left = written(left.join(taken.select(F.col("id").alias("ord")).unionByName(bandless), "ord", "left_semi"), "pool-round")
     before = accepted.groupBy("leaf").agg(F.count("*").alias("had")) if accepted is not None else None
     ranked = rank_within(left, "leaf", by="ord")
     if before is not None:

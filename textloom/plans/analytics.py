@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import Dialect, Plan
+from ..functions.udfs import t_quantiles
 
 PLANS: dict[str, Plan] = {}
 
@@ -21,14 +22,59 @@ def cells(d: Dialect) -> str:
     return f"{runs(d)}, cell AS (SELECT student, cond, count(*) AS r, avg(a) AS mean, stddev_samp(a) AS sd FROM r GROUP BY student, cond)"
 
 
+QUANTILES = t_quantiles()
+
+
+def t_quantile(d: Dialect, df: str) -> str:
+    """Two-sided 95 % quantile of Student's t: exact up to 60 degrees of freedom, then by four terms about the normal one (within 1e-8)."""
+    z = 1.959963984540054
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    exact = ", ".join(f"{q:.12e}" for q in QUANTILES)
+    listed = f"element_at(array({exact}), CAST({df} AS INT))" if d.spark else f"[{exact}][{df}]"
+    return f"CASE WHEN {df} < 1 THEN 0e0 WHEN {df} <= {len(QUANTILES)} THEN {listed} ELSE {z:.15e} + " + " + ".join(f"{t:.12e} / power(CAST({df} AS DOUBLE), {k + 1})" for k, t in enumerate(terms)) + " END"
+
+
+def two_sided(t: str, df: str) -> str:
+    """Two-sided p of a t value: made normal by Wallace's transformation, whose tail a polynomial gives; within 1e-4 from 10 degrees of freedom on."""
+    z = f"((8 * {df} + 1) / (8 * {df} + 3) * sqrt({df} * ln(1 + {t} * {t} / {df})))"
+    k = f"(1 / (1 + 0.3275911e0 * {z} / sqrt(2e0)))"
+    return f"({k} * (0.254829592e0 + {k} * (-0.284496736e0 + {k} * (1.421413741e0 + {k} * (-1.453152027e0 + {k} * 1.061405429e0)))) * exp(-{z} * {z} / 2))"
+
+
+def interval(d: Dialect) -> str:
+    half = f"{t_quantile(d, '(r - 1)')} * coalesce(sd, 0) / sqrt(r)"
+    return f"round(mean - {half}, 6) AS lo, round(mean + {half}, 6) AS hi"
+
+
 @plan
 def cell_table(d):
-    return f"WITH {cells(d)} SELECT student, cond, r, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - 1.96 * coalesce(sd, 0) / sqrt(r), 6) AS lo, round(mean + 1.96 * coalesce(sd, 0) / sqrt(r), 6) AS hi FROM cell"
+    """Runs, mean, deviation (null for one run) and t interval of each cell; the interval of one run is its mean."""
+    return f"WITH {cells(d)} SELECT student, cond, r, round(mean, 6) AS mean, round(sd, 6) AS sd, {interval(d)} FROM cell"
 
 
 @plan
 def control_bands(d):
-    return f"WITH {cells(d)} SELECT student, cond, r, round(mean, 6) AS mean, round(sd, 6) AS sd FROM cell WHERE cond IN ('5-LOW', '4-NOT SPECIFIED')"
+    return f"WITH {cells(d)} SELECT student, cond, r, round(mean, 6) AS mean, round(sd, 6) AS sd, {interval(d)} FROM cell WHERE cond IN ('5-LOW', '4-NOT SPECIFIED')"
+
+
+@plan
+def task_cells(d):
+    """For each condition and outcome column mean, deviation and count."""
+    columns = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_sd, count({c}) AS {c}_n" for c in ("l_quantity", "l_discount", "l_tax"))
+    return f"SELECT o_orderpriority AS cond, {columns} FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority"
+
+
+@plan
+def item_error(d):
+    """Error by item sampling of a mean of chance-corrected shares, in points: 100 / K times the root of the summed (se / (1 - chance)) squared; chance is a quarter."""
+    return """WITH s AS (SELECT source, avg(CAST(quality AS DOUBLE)) AS a, avg(CAST(toxic AS DOUBLE)) AS b, count(*) AS n FROM documents x JOIN labels l ON x.doc_id = l.doc_id GROUP BY source)
+    SELECT source, round(100 / 2e0 * sqrt(a * (1 - a) / n / power(1 - 25e-2, 2) + b * (1 - b) / n / power(1 - 25e-2, 2)), 6) AS se_points FROM s"""
+
+
+@plan
+def task_loss(d):
+    """Mean loss of a cell with its error: deviation over the root of the count."""
+    return f"WITH {runs(d)} SELECT student, cond, round(avg(a), 6) AS loss, round(stddev_samp(a) / sqrt(count(*)), 6) AS se FROM r GROUP BY student, cond"
 
 
 @plan
@@ -126,10 +172,41 @@ def size_matches(d):
     SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(abs(ln(a.x / b.x)), 6) AS gap FROM s a JOIN s b ON a.n_nationkey < b.n_nationkey AND abs(ln(a.x / b.x)) < 0.05"""
 
 
+def welch(d: Dialect, pairs: str) -> str:
+    """From pairs (family, student, cond, mean, sd, r, mean0, sd0, r0): difference, error, t and p by Welch's degrees of freedom."""
+    v, v0 = "sd * sd / r", "sd0 * sd0 / r0"
+    return f"""c AS (SELECT family, student, cond, mean - mean0 AS diff, sqrt({v} + {v0}) AS se, power({v} + {v0}, 2) / (power({v}, 2) / (r - 1) + power({v0}, 2) / (r0 - 1)) AS df FROM ({pairs}) y WHERE r > 1 AND r0 > 1 AND sd + sd0 > 0),
+    p AS (SELECT family, student, cond, diff, se, {two_sided('abs(diff / se)', 'df')} AS p FROM c)"""
+
+
+def paired(family: str, on: str, where: str) -> str:
+    return f"SELECT '{family}' AS family, c.student, c.cond, c.mean, c.sd, c.r, b.mean AS mean0, b.sd AS sd0, b.r AS r0 FROM cell c JOIN cell b ON c.student = b.student AND {on} WHERE {where}"
+
+
 def contrasts(d: Dialect) -> str:
-    """Each condition against the base within a student: difference, standard error, z, and a normal two-sided p by a fixed approximation."""
-    return f"""{cells(d)}, c AS (SELECT c.student, c.cond, c.mean - b.mean AS diff, sqrt(c.sd * c.sd / c.r + b.sd * b.sd / b.r) AS se FROM cell c JOIN cell b ON c.student = b.student AND b.cond = '5-LOW' WHERE c.cond <> '5-LOW' AND c.r > 1 AND b.r > 1),
-    z AS (SELECT *, abs(diff / se) AS z FROM c), p AS (SELECT *, 1 / (1 + exp(1.5976 * z + 0.07056 * z * z * z)) * 2 AS p FROM z)"""
+    """Each condition against the base within a student."""
+    return f"{cells(d)}, {welch(d, paired('base', 'b.cond = ' + repr('5-LOW'), 'c.cond <> ' + repr('5-LOW')))}"
+
+
+@plan
+def contrast_families(d):
+    """Families of contrasts within students, each with Holm's correction within the family, and one over all of them.
+
+    Conditions 1 to 3 are rungs of a ladder, 4 and 5 the controls: each rung against the next, against either control,
+    the controls against each other, the best rung against the cheapest (economy), and regions' pooled first rung (tier 2).
+    """
+    rung = "CAST(substring({}.cond, 1, 1) AS INT)"
+    families = [
+        paired("adjacent", f"{rung.format('b')} = {rung.format('c')} + 1", f"{rung.format('c')} < 3"),
+        paired("against C1", "b.cond = '4-NOT SPECIFIED'", f"{rung.format('c')} <= 3"),
+        paired("against C0", "b.cond = '5-LOW'", f"{rung.format('c')} <= 3"),
+        paired("C1 against C0", "b.cond = '5-LOW'", "c.cond = '4-NOT SPECIFIED'"),
+        "SELECT * FROM (" + paired("economy", f"{rung.format('b')} = 3", f"{rung.format('c')} <= 2") + " AND c.mean = (SELECT max(t.mean) FROM cell t WHERE t.student = c.student AND CAST(substring(t.cond, 1, 1) AS INT) <= 2)) eco",
+        "SELECT 'tier 2' AS family, CAST(c.region AS STRING) AS student, c.cond, c.mean, c.sd, c.r, b.mean AS mean0, b.sd AS sd0, b.r AS r0 FROM tier c JOIN tier b ON c.region = b.region AND b.cond = '5-LOW' WHERE c.cond = '1-URGENT'",
+    ]
+    return f"""WITH {cells(d)}, tier AS (SELECT region, cond, count(*) AS r, avg(a) AS mean, stddev_samp(a) AS sd FROM r GROUP BY region, cond), {welch(d, ' UNION ALL '.join(families))},
+    o AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, student, cond) AS rk, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (ORDER BY p, family, student, cond) AS all_rk, count(*) OVER () AS all_m FROM p)
+    SELECT family, student, cond, round(diff, 4) AS diff, round(p, 6) AS p, round(least(1.0, max((m - rk + 1) * p) OVER (PARTITION BY family ORDER BY rk)), 6) AS p_holm, round(least(1.0, max((all_m - all_rk + 1) * p) OVER (ORDER BY all_rk)), 6) AS p_global FROM o"""
 
 
 @plan
@@ -204,10 +281,54 @@ def dose_response(d):
 
 @plan
 def quadratic_fit(d):
-    """Quadratic of gain on log size by normal equations of centred sums, with its vertex."""
+    """Quadratic of gain on log size by normal equations of centred sums, with its vertex and the vertex's error by the delta method."""
     return f"""WITH {teachers(d)}, x AS (SELECT CAST(k AS DOUBLE) - avg(k) OVER () AS u, CAST(k AS DOUBLE) * k - avg(CAST(k AS DOUBLE) * k) OVER () AS v, g - avg(g) OVER () AS y FROM t),
-    s AS (SELECT sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * y) AS uy, sum(v * y) AS vy FROM x), b AS (SELECT (uy * vv - vy * uv) / (uu * vv - uv * uv) AS b1, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b2 FROM s)
-    SELECT round(b1, 4) AS b1, round(b2, 4) AS b2 FROM b"""
+    s AS (SELECT count(*) AS n, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * y) AS uy, sum(v * y) AS vy, sum(y * y) AS yy FROM x),
+    b AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS b1, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b2, uu * vv - uv * uv AS det FROM s),
+    e AS (SELECT *, (yy - b1 * uy - b2 * vy) / (n - 3) AS s2 FROM b)
+    SELECT round(b1, 4) AS b1, round(b2, 4) AS b2, round(-b1 / (2 * b2), 4) AS vertex, round(sqrt(greatest(s2 * (vv / (4 * b2 * b2) + uv * b1 / (2 * b2 * b2 * b2) + uu * b1 * b1 / (4 * power(b2, 4))) / det, 0)), 3) AS vertex_se, b2 < 0 AS peak FROM e"""
+
+
+@plan
+def cell_fits(d):
+    """Power laws of single curves summarised by cell: mean, deviation and half-width 1.96 sd / sqrt(n) of exponent and floor; the cell's form is its first curve's."""
+    return f"""WITH {curves(d)}, {power_law(d, 'c')}, lg AS (SELECT run, regr_r2(l, ln(d)) AS r2 FROM c GROUP BY run), b AS (SELECT best.run, best.run % 5 AS cell, alpha, a, e, CASE WHEN sse <= 1e-6 OR lg.r2 < 0.99 THEN 'power' ELSE 'log' END AS form FROM best JOIN lg ON best.run = lg.run WHERE rk = 1)
+    SELECT cell, count(*) AS n, round(avg(alpha), 5) AS alpha, round(stddev_samp(alpha), 5) AS alpha_sd, round(1.96 * stddev_samp(alpha) / sqrt(count(*)), 5) AS alpha_half, round(avg(e), 3) AS floor, round(stddev_samp(e), 3) AS floor_sd, min_by(form, run) AS form FROM b GROUP BY cell"""
+
+
+@plan
+def pure_power_fit(d):
+    """A power law without a floor: for each exponent of a grid the scale <l, w> / <w, w>, and the exponent of least error."""
+    grid = "explode(sequence(0, 236))" if d.spark else "unnest(range(0, 237))"
+    return f"""WITH {curves(d)}, al AS (SELECT CAST(0.02 + 0.005 * i AS DOUBLE) AS alpha FROM (SELECT {grid} AS i) x), f AS (SELECT run, alpha, sum(l * power(d, -alpha)) / sum(power(d, -2 * alpha)) AS a, sum(l * l) - power(sum(l * power(d, -alpha)), 2) / sum(power(d, -2 * alpha)) AS sse FROM c CROSS JOIN al GROUP BY run, alpha),
+    r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(sse, 6), alpha) AS rk FROM f) SELECT run, round(alpha, 3) AS alpha, round(a, 3) AS a FROM r WHERE rk = 1"""
+
+
+@plan
+def isotonic(d):
+    """Non-decreasing fit of each student's condition means, weighted by runs: at a cell the largest, over starts up to it, of the
+    least weighted mean, over ends from it on. A handful of cells a student, whatever the number of runs."""
+    return f"""WITH {cells(d)}, o AS (SELECT student, cond, mean, r, row_number() OVER (PARTITION BY student ORDER BY cond) AS i FROM cell),
+    b AS (SELECT x.student, x.i AS lo, y.i AS hi, sum(z.mean * z.r) / sum(z.r) AS av FROM o x JOIN o y ON x.student = y.student AND x.i <= y.i JOIN o z ON z.student = x.student AND z.i BETWEEN x.i AND y.i GROUP BY 1, 2, 3),
+    m AS (SELECT o.student, o.cond, b.lo, min(b.av) AS v FROM o JOIN b ON b.student = o.student AND b.lo <= o.i AND b.hi >= o.i GROUP BY 1, 2, 3)
+    SELECT student, cond, round(max(v), 4) AS fitted FROM m GROUP BY 1, 2"""
+
+
+@plan
+def isotonic_permutation(d, permutations: int = 2000):
+    """For each student the gain of the isotonic fit over a constant, and how often cells in an order by hash gain as much, of 2000 orders.
+
+    Orders are rows of sums over a handful of cells, so nothing grows with the runs.
+    """
+    order = "CASE WHEN i = 0 THEN cond ELSE md5(concat_ws('|', student, cond, CAST(i AS STRING))) END"
+    numbers = f"explode(sequence(0, {permutations}))" if d.spark else f"unnest(range(0, {permutations + 1}))"
+    return f"""WITH {cells(d)}, q AS (SELECT student, mean, CAST(r AS DOUBLE) AS w, i, row_number() OVER (PARTITION BY student, i ORDER BY {order}) AS k FROM cell CROSS JOIN (SELECT {numbers} AS i) n),
+    c AS (SELECT *, sum(w * mean) OVER (PARTITION BY student, i ORDER BY k) AS cs, sum(w) OVER (PARTITION BY student, i ORDER BY k) AS cw FROM q),
+    iv AS (SELECT x.student, x.i, x.k AS lo, y.k AS hi, (y.cs - x.cs + x.w * x.mean) / (y.cw - x.cw + x.w) AS av FROM c x JOIN c y ON x.student = y.student AND x.i = y.i AND x.k <= y.k),
+    low AS (SELECT c.student, c.i, c.k, iv.lo, max(c.w) AS w, min(iv.av) AS v FROM c JOIN iv ON iv.student = c.student AND iv.i = c.i AND iv.lo <= c.k AND iv.hi >= c.k GROUP BY 1, 2, 3, 4),
+    fit AS (SELECT student, i, k, max(w) AS w, max(v) AS f FROM low GROUP BY 1, 2, 3), tot AS (SELECT student, sum(mean * r) / sum(r) AS grand FROM cell GROUP BY student),
+    g AS (SELECT fit.student, i, sum(w * power(f - grand, 2)) AS gain FROM fit JOIN tot ON fit.student = tot.student GROUP BY 1, 2), own AS (SELECT student, gain FROM g WHERE i = 0)
+    SELECT g.student, round(max(own.gain), 0) AS gain, round((count_if(g.i > 0 AND g.gain >= own.gain * (1 - 1e-9)) + 1) / {permutations + 1}e0, 6) AS p FROM g JOIN own ON g.student = own.student GROUP BY g.student"""
 
 
 @plan
@@ -289,14 +410,3 @@ def learning_rates(d):
     grid = "explode(sequence(0, 999))" if d.spark else "unnest(range(0, 1000))"
     return f"""WITH s AS (SELECT CAST(i AS BIGINT) AS step FROM (SELECT {grid} AS i) x) SELECT step, round(CASE WHEN step < 50 THEN 1e-3 * (step + 1) / 50 WHEN step < 800 THEN 1e-3 ELSE 1e-3 * (1000 - step) / 200 END, 9) AS wsd,
     round(CASE WHEN step < 50 THEN 1e-3 * (step + 1) / 50 ELSE 1e-4 + 5e-1 * 9e-4 * (1 + cos(pi() * (step - 50) / 95e1)) END, 9) AS cosine FROM s"""
-
-
-@plan
-def stream_tumbling(d):
-    return "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
-
-
-@plan
-def stream_session(d):
-    return f"""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN {d.seconds('lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)', 'ts')} < 3600 THEN 0 ELSE 1 END AS fresh FROM events),
-    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session"""

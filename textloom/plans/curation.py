@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions.answers import json_valid, list_valid, table_valid
 from ..functions.dialect import Dialect, Plan
+from ..functions.udfs import PRIME, coefficients
 
 PLANS: dict[str, Plan] = {}
 
@@ -40,28 +42,47 @@ always often sometimes"""
 LEAST_ENGLISH, LABEL_ENGLISH = 0.65, 0.5
 
 
+#: Least tokens of a short answer and of any other, limits of the repetition rules by length of gram.
+LEAST_TOKENS, SHORT_TOKENS = 32, 8
+GRAM_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
+FINAL_ANSWER = r"(?i)final answer\s*:"
+#: The rules that drop a response; the first that holds is the reason.
+DROPS = ("truncated", "too_short", "non_english", "cjk", "degenerate", "exact_dup", "refusal", "self_id", "passage_ref", "format_invalid", "missing_answer", "contaminated")
+
+
+def responses(d: Dialect) -> str:
+    """One response a document. Its category, whether its prompt was seeded by a passage, and the structure asked for follow
+    from its number; a text of 20,000 characters stands for one whose backend stopped by length."""
+    return """g0 AS (SELECT doc_id, lpad(CAST(doc_id AS STRING), 10, '0') AS prompt_id, source AS teacher, coalesce(text, '') AS text,
+    CASE doc_id % 4 WHEN 0 THEN 'saqa' WHEN 1 THEN 'msr' WHEN 2 THEN 'str' ELSE 'exp' END AS category, CASE WHEN doc_id % 4 = 2 THEN CASE doc_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'table' ELSE 'list' END END AS kind,
+    coalesce(doc_id % 5 = 0, false) AS seeded, CASE WHEN length(text) >= 20000 THEN 'length' ELSE 'stop' END AS finish_reason FROM documents)"""
+
+
+def dup_lines(d: Dialect) -> str:
+    return f"CASE WHEN {d.size('lines')} < 2 THEN 0.0 ELSE CAST({d.size('lines')} - {d.size(d.distinct('lines'))} AS DOUBLE) / {d.size('lines')} END"
+
+
 def gen(d: Dialect) -> str:
-    """One response a document: key, category, teacher, and the flags of the row rules."""
-    lines = d.lines("text")
+    """Responses with the flags of all twelve rules, whether they stay, and the first reason that drops them."""
     norm = d.replace_all("lower(trim(text))", r"\s+", " ")
     cjk = r"[^\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
-    return f"""
-    g0 AS (SELECT doc_id, lpad(CAST(doc_id AS STRING), 10, '0') AS prompt_id, lang AS category, source AS teacher, coalesce(text, '') AS text FROM documents),
-    g1 AS (SELECT *, {d.approx_tokens('text')} + 2 AS tokens, {d.size(d.find_all('text', r'\S+'))} AS word_count, {lines} AS lines,
-                  md5({norm}) AS norm, CAST(length({d.replace_all('text', cjk, '')}) AS DOUBLE) / greatest(length(text), 1) AS cjk_ratio FROM g0),
-    g2 AS (SELECT *, length(text) >= 20000 AS truncated, (tokens < 32 OR trim(text) = '') AS too_short, cjk_ratio > 0.01 AS cjk,
-                  CASE WHEN {d.size('lines')} < 2 THEN 0.0 ELSE CAST({d.size('lines')} - {d.size(d.distinct('lines'))} AS DOUBLE) / {d.size('lines')} END AS dup_line_frac,
+    grams = " OR ".join(f"{n} * {d.at('tops', n - 2)} > {limit} * length(text)" for n, limit in GRAM_LIMITS.items())
+    return f"""{contamination(d, 8)}, {responses(d)},
+    g1 AS (SELECT *, {d.approx_tokens('text')} + 2 AS tokens, {d.word_count('text')} AS word_count, {d.lines('text')} AS lines, {d.top_counts('text')} AS tops,
+                  md5({norm}) AS norm, CAST(length({d.replace_all('text', cjk, '')}) AS DOUBLE) / greatest(length(text), 1) AS cjk_ratio, {english_of(d, 'text')} AS p_en FROM g0),
+    g2 AS (SELECT *, finish_reason = 'length' AS truncated, (tokens < CASE WHEN category = 'saqa' THEN {SHORT_TOKENS} ELSE {LEAST_TOKENS} END OR trim(text) = '') AS too_short,
+                  trim(text) <> '' AND p_en < {LEAST_ENGLISH} AS non_english, cjk_ratio > 0.01 AS cjk, {dup_lines(d)} AS dup_line_frac,
                   row_number() OVER (PARTITION BY teacher, norm ORDER BY prompt_id) > 1 AS exact_dup,
-                  {d.matches('substring(text, 1, 300)', REFUSAL)} AS refusal, {d.matches('text', SELF_ID)} AS self_id FROM g1),
-    g AS (SELECT *, dup_line_frac > 0.30 AS degenerate,
-                 CASE WHEN truncated THEN 'truncated' WHEN too_short THEN 'too_short' WHEN cjk THEN 'cjk' WHEN dup_line_frac > 0.30 THEN 'degenerate'
-                      WHEN exact_dup THEN 'exact_dup' WHEN refusal THEN 'refusal' WHEN self_id THEN 'self_id' END AS drop_reason FROM g2)"""
+                  {d.matches('substring(text, 1, 300)', REFUSAL)} AS refusal, {d.matches('text', SELF_ID)} AS self_id, seeded AND {d.matches('text', PASSAGE_REF)} AS passage_ref,
+                  coalesce(CASE kind WHEN 'json' THEN NOT {json_valid(d, 'text')} WHEN 'table' THEN NOT {table_valid(d, 'lines')} WHEN 'list' THEN NOT {list_valid(d, 'lines')} END, false) AS format_invalid,
+                  category = 'msr' AND NOT {d.matches('text', FINAL_ANSWER)} AS missing_answer FROM g1),
+    g3 AS (SELECT g2.*, dup_line_frac > 0.30 OR {grams} AS degenerate, bad.doc_id IS NOT NULL AS contaminated FROM g2 LEFT JOIN (SELECT DISTINCT doc_id FROM hits) bad ON g2.doc_id = bad.doc_id),
+    g AS (SELECT *, CASE {' '.join(f"WHEN {x} THEN '{x}'" for x in DROPS)} END AS drop_reason FROM g3)"""
 
 
 @plan
 def curate_summary(d):
-    flags = ("truncated", "too_short", "cjk", "degenerate", "exact_dup", "refusal", "self_id")
-    return f"""WITH {gen(d)} SELECT teacher, count(*) AS n_offered, {', '.join(f'CAST(count_if({x}) AS BIGINT) AS n_{x}' for x in flags)}, CAST(count_if(drop_reason IS NULL) AS BIGINT) AS n_retained,
+    return f"""WITH {gen(d)} SELECT teacher, count(*) AS n_offered, {', '.join(f'CAST(count_if({x}) AS BIGINT) AS n_{x}' for x in DROPS)}, CAST(count_if(drop_reason IS NULL) AS BIGINT) AS n_retained,
     round(CAST(count_if(drop_reason IS NULL) AS DOUBLE) / count(*), 6) AS yield_frac, CAST(sum(CASE WHEN drop_reason IS NULL THEN tokens ELSE 0 END) AS BIGINT) AS tokens_retained FROM g GROUP BY teacher"""
 
 
@@ -82,7 +103,7 @@ def token_counts(d):
 
 @plan
 def word_counts(d):
-    return f"SELECT doc_id, {d.size(d.find_all('text', '\\S+'))} AS n_words, {d.size(d.words('text'))} AS n_word_tokens FROM documents"
+    return f"SELECT doc_id, {d.word_count('text')} AS n_words, {d.size(d.words('text'))} AS n_word_tokens FROM documents"
 
 
 @plan
@@ -114,18 +135,17 @@ def lang_filter(d):
 
 @plan
 def dup_line_fraction(d):
-    return f"WITH {gen(d)} SELECT doc_id, round(dup_line_frac, 6) AS dup_line_frac, degenerate FROM g"
+    return f"WITH l AS (SELECT doc_id, {d.lines('text')} AS lines FROM documents) SELECT doc_id, round({dup_lines(d)}, 6) AS dup_line_frac, {dup_lines(d)} > 0.30 AS degenerate FROM l"
 
 
 @plan
 def top_char_ngrams(d):
-    chars = "filter(split(text, ''), c -> c <> '')" if d.spark else "NULL"
-    docs = f"(SELECT doc_id, text, length(text) AS len, {chars} AS cs FROM documents) t"
-    parts = [
-        f"SELECT doc_id, {n} AS n, max(c) AS top, max(c) * {n} > {limit} * max(len) AS over FROM (SELECT doc_id, len, gram, count(*) AS c FROM (SELECT doc_id, len, {d.rows(d.char_grams(n))} AS gram FROM {docs}) x GROUP BY doc_id, len, gram) y GROUP BY doc_id"
-        for n, limit in ((2, 0.20), (3, 0.18), (4, 0.16))
-    ]
-    return " UNION ALL ".join(parts)
+    """Most frequent grams of 2 to 4 characters, and whether one takes too much of its text; row by row, nothing is shuffled."""
+    rows = f"SELECT doc_id, text, {d.top_counts('text')} AS tops FROM documents WHERE text IS NOT NULL"
+    n = f"(SELECT {d.rows('sequence(2, 4)' if d.spark else 'range(2, 5)')} AS n)"
+    limit = " ".join(f"WHEN {k} THEN {v}" for k, v in GRAM_LIMITS.items())
+    top = "element_at(tops, CAST(n - 1 AS INT))" if d.spark else "tops[n - 1]"
+    return f"WITH t AS ({rows}) SELECT doc_id, CAST(n AS BIGINT) AS n, {top} AS top, {top} * n > CASE n {limit} END * length(text) AS over FROM t CROSS JOIN {n} k"
 
 
 @plan
@@ -142,7 +162,7 @@ def exact_dedup_by_source(d):
 
 @plan
 def word_shingles(d):
-    return f"SELECT doc_id, count(*) AS n_shingles, count(DISTINCT g) AS n_distinct FROM (SELECT doc_id, {d.rows(d.grams('w', 5))} AS g FROM (SELECT doc_id, {d.words('text')} AS w FROM documents)) GROUP BY doc_id"
+    return f"SELECT doc_id, {d.size('g')} AS n_shingles, {d.size(d.distinct('g'))} AS n_distinct FROM (SELECT doc_id, {d.grams('w', 5)} AS g FROM (SELECT doc_id, {d.words('text')} AS w FROM documents WHERE text IS NOT NULL) x) y"
 
 
 @plan
@@ -153,35 +173,34 @@ def distinct_n_by_lang(d):
 PRODUCTION = (14, 8)  # bands and rows by which near copies are clustered and removed
 
 
-def minhash(d: Dialect, bands: int = 4, rows: int = 4) -> str:
-    """Signatures of 5-word shingles by 31-bit linear hashes, and a key for each band."""
-    p, n = 2147483647, bands * rows
-    fp = "conv(substr(md5(g), 1, 8), 16, 10)" if d.spark else "('0x' || substr(md5(g), 1, 8))"
-    mins = ", ".join(f"{d.least(d.each('fp', 'x', f'({(48271 * (i + 1) * 7919 + 12345) % p} * x + {(69621 * (i + 3) * 104729 + 777) % p}) % {p}'))} AS m{i}" for i in range(n))
-    band = lambda b: f"md5(concat_ws(',', {', '.join(f'm{b * rows + r}' for r in range(rows))}))"
-    # Spark explodes all bands from one pass; a union would compute the signatures once a band.
-    exploded = ", ".join(f"struct({b} AS band, {band(b)} AS bk)" for b in range(bands))
-    keys = f"SELECT doc_id, k.band, k.bk FROM (SELECT doc_id, explode(array({exploded})) AS k FROM sig)" if d.spark else " UNION ALL ".join(f"SELECT doc_id, {b} AS band, {band(b)} AS bk FROM sig" for b in range(bands))
-    return f"""sh AS (SELECT doc_id, {d.distinct(d.grams('w', 5))} AS gs FROM (SELECT doc_id, {d.words('text')} AS w FROM documents)),
-    f AS (SELECT doc_id, {d.each('gs', 'g', f'CAST({fp} AS BIGINT) & {p}')} AS fp FROM sh), sig AS (SELECT doc_id, {mins} FROM f), keys AS ({keys})"""
+def minhash(d: Dialect, bands: int = PRODUCTION[0], rows: int = PRODUCTION[1]) -> str:
+    """Signatures of the different 5-word shingles: least values of (a x + b) mod 2**61 - 1 over 32-bit fingerprints x, with
+    independent a and b; and a key for each band. No words count as one empty shingle."""
+    fp = "CAST(conv(substr(md5(g), 1, 8), 16, 10) AS BIGINT)" if d.spark else "CAST(('0x' || substr(md5(g), 1, 8)) AS BIGINT)"
+    pairs = zip(*(x.tolist() for x in coefficients()), strict=True)
+    mins = "min_hashes(fp)" if d.spark else f"[{', '.join(f'CAST(list_min(list_transform(fp, lambda x: (CAST({a} AS HUGEINT) * x + {b}) % {PRIME})) AS BIGINT)' for a, b in list(pairs)[: bands * rows])}]"
+    key = f"md5({d.glue_numbers(d.part('mins', f'CAST(b * {rows} + 1 AS INT)' if d.spark else f'b * {rows} + 1', rows) if d.spark else f'mins[b * {rows} + 1 : b * {rows} + {rows}]')})"
+    return f"""sh AS (SELECT doc_id, {d.distinct(d.grams('w', 5))} AS gs FROM (SELECT doc_id, {d.words('text')} AS w FROM documents WHERE text IS NOT NULL) x0),
+    f AS (SELECT doc_id, {d.each('gs', 'g', fp)} AS fp FROM sh), sig AS (SELECT doc_id, {mins} AS mins FROM f),
+    keys AS (SELECT doc_id, CAST(b AS INT) AS band, {key} AS bk FROM (SELECT doc_id, mins, {d.rows(d.each(d.upto(str(bands)), 'i', 'i - 1'))} AS b FROM sig) x1)"""
 
 
 @plan
 def minhash_signatures(d):
-    """The short setting: 16 hashes, for 4 bands of 4 rows. Nothing is clustered by it."""
-    return f"WITH {minhash(d)} SELECT * FROM sig"
+    """All 112 values of a signature, joined."""
+    return f"WITH {minhash(d)} SELECT doc_id, {d.glue_numbers('mins')} AS mins FROM sig"
 
 
 @plan
 def lsh_candidates(d):
-    """The short setting, 4 bands of 4 rows: a list of candidates alone."""
+    """The production setting: 14 bands of 8 rows, which meet at a similarity of about 0.72."""
     return f"WITH {minhash(d)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
 
 
 @plan
-def lsh_candidates_14x8(d):
-    """The production setting: 14 bands of 8 rows, which meet at a similarity of about 0.72."""
-    return f"WITH {minhash(d, *PRODUCTION)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
+def lsh_candidates_4x4(d):
+    """A looser setting: 4 bands of 4 rows."""
+    return f"WITH {minhash(d, 4, 4)} SELECT band, bk, count(*) AS n, min(doc_id) AS head FROM keys GROUP BY band, bk HAVING count(*) > 1"
 
 
 @plan
@@ -189,20 +208,28 @@ def band_threshold(d):
     return "SELECT CAST(14 AS BIGINT) AS bands, CAST(8 AS BIGINT) AS band_rows, round(power(1e0 / 14, 1e0 / 8), 6) AS similarity"
 
 
-def contamination(d: Dialect, n: int) -> str:
+def contamination(d: Dialect, n: int, benchmark: str = "benchmark") -> str:
     """Distinct (document, item) with a common n-gram; shorter items count by containment, through grams of their own length.
 
-    Only lengths that some short item has are cut from the documents. Texts are not normalised to NFKC: neither dialect has it.
+    In Spark hashes of grams meet first, so that words leave their task only for documents that share one; these are
+    compared by their grams. Only lengths that some short item has are cut from the documents. Texts are not normalised to
+    NFKC: neither dialect has it. Documents without doc_id are left aside.
     """
-    doc_grams = f"SELECT doc_id, g FROM (SELECT doc_id, {d.rows(d.grams('w', n))} AS g FROM dw WHERE {d.size('w')} >= {n})"
-    item_grams = f"SELECT item_id, g FROM (SELECT item_id, {d.rows(d.grams('w', n))} AS g FROM iw WHERE {d.size('w')} >= {n})"
+    split = "split({}, ' ')" if d.spark else "string_split({}, ' ')"
+    docs = f"SELECT doc_id, lang, source, {split.format(d.normal('text'))} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"
+    doc_grams = f"SELECT doc_id, g FROM (SELECT doc_id, {d.rows(d.grams('w', n))} AS g FROM dw WHERE {d.size('w')} >= {n}) x"
+    item_grams = f"SELECT item_id, g FROM (SELECT item_id, {d.rows(d.grams('w', n))} AS g FROM iw WHERE {d.size('w')} >= {n}) x"
     part = "slice(w, i, CAST(k AS INT))" if d.spark else "w[i:i + k - 1]"
     short_grams = f"SELECT doc_id, {d.rows(d.each(d.upto(d.size('w') + ' - k + 1'), 'i', d.glue(part)))} AS g FROM dw CROSS JOIN sk WHERE {d.size('w')} >= k"
-    split = "split({}, ' ')" if d.spark else "string_split({}, ' ')"
-    return f"""dw AS (SELECT doc_id, lang, source, {split.format(d.normal('text'))} AS w FROM documents WHERE text IS NOT NULL),
-    iw AS (SELECT item_id, concat('b', CAST(item_id % 4 AS STRING)) AS benchmark, {split.format(d.normal('text'))} AS w, {d.normal('text')} AS t FROM benchmark),
-    dg AS (SELECT DISTINCT doc_id, g FROM ({doc_grams}) x), ig AS (SELECT DISTINCT item_id, g FROM ({item_grams}) x),
-    si AS (SELECT item_id, {d.size('w')} AS k, t FROM iw WHERE {d.size('w')} < {n} AND t <> ''), sk AS (SELECT DISTINCT k FROM si), sd AS (SELECT DISTINCT doc_id, g FROM ({short_grams}) x),
+    items = f"""iw AS (SELECT item_id, concat('b', CAST(item_id % 4 AS STRING)) AS benchmark, {split.format(d.normal('text'))} AS w, {d.normal('text')} AS t FROM {benchmark}),
+    si AS (SELECT item_id, {d.size('w')} AS k, t, w FROM iw WHERE {d.size('w')} < {n} AND t <> ''), sk AS (SELECT DISTINCT k FROM si)"""
+    if d.spark:
+        near = f"""dw0 AS ({docs}), ih AS (SELECT DISTINCT h FROM (SELECT explode({d.hash_grams('w', str(n))}) AS h FROM iw WHERE size(w) >= {n} UNION ALL SELECT xxhash64(w) AS h FROM si) x),
+        dh AS (SELECT doc_id, explode(array_distinct({d.hash_grams('w', str(n))})) AS h FROM dw0 WHERE size(w) >= {n} UNION ALL SELECT doc_id, explode(array_distinct({d.hash_grams('w', 'k')})) AS h FROM dw0 CROSS JOIN sk WHERE size(w) >= k),
+        nr0 AS (SELECT DISTINCT doc_id FROM dh LEFT SEMI JOIN ih ON dh.h = ih.h), dw AS (SELECT dw0.* FROM dw0 LEFT SEMI JOIN nr0 ON dw0.doc_id = nr0.doc_id)"""
+    else:
+        near = f"dw AS ({docs})"
+    return f"""{items}, {near}, dg AS (SELECT DISTINCT doc_id, g FROM ({doc_grams}) y), ig AS (SELECT DISTINCT item_id, g FROM ({item_grams}) y), sd AS (SELECT DISTINCT doc_id, g FROM ({short_grams}) x),
     hits AS (SELECT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g UNION SELECT doc_id, item_id FROM sd JOIN si ON sd.g = si.t)"""
 
 
@@ -212,19 +239,27 @@ for _n in (8, 13):
 
 @plan
 def contam_table(d):
-    return f"WITH {contamination(d, 8)} SELECT source, benchmark, count(DISTINCT hits.doc_id) AS n_docs, count(DISTINCT hits.item_id) AS n_items FROM hits JOIN dw ON hits.doc_id = dw.doc_id JOIN iw ON hits.item_id = iw.item_id GROUP BY source, benchmark"
+    """Every source by every benchmark, zeros included: documents and items hit, and the shares of the source's documents and the benchmark's items."""
+    return f"""WITH {contamination(d, 8)}, h AS (SELECT source, benchmark, count(DISTINCT hits.doc_id) AS n_docs, count(DISTINCT hits.item_id) AS n_items FROM hits JOIN dw ON hits.doc_id = dw.doc_id JOIN iw ON hits.item_id = iw.item_id GROUP BY source, benchmark),
+    s AS (SELECT source, count(*) AS offered FROM documents GROUP BY source), b AS (SELECT concat('b', CAST(item_id % 4 AS STRING)) AS benchmark, count(*) AS items FROM benchmark GROUP BY 1)
+    SELECT s.source, b.benchmark, coalesce(n_docs, 0) AS n_docs, coalesce(n_items, 0) AS n_items, round(CAST(coalesce(n_docs, 0) AS DOUBLE) / offered, 6) AS doc_rate, round(CAST(coalesce(n_items, 0) AS DOUBLE) / items, 6) AS item_rate
+    FROM s CROSS JOIN b LEFT JOIN h ON h.source = s.source AND h.benchmark = b.benchmark"""
 
 
 @plan
 def contam_rates(d):
-    return f"WITH {contamination(d, 8)} SELECT source, count(*) AS offered, count(h.doc_id) AS flagged, round(CAST(count(h.doc_id) AS DOUBLE) / count(*), 6) AS rate FROM documents x LEFT JOIN (SELECT DISTINCT doc_id FROM hits) h ON x.doc_id = h.doc_id GROUP BY source"
+    """A source's documents, those flagged, their share, and a count for each benchmark that has any, as benchmark:count."""
+    listed = "array_join(array_sort(collect_list(concat(benchmark, ':', CAST(n AS STRING)))), ',')" if d.spark else "string_agg(concat(benchmark, ':', CAST(n AS STRING)), ',' ORDER BY concat(benchmark, ':', CAST(n AS STRING)))"
+    return f"""WITH {contamination(d, 8)}, p AS (SELECT source, benchmark, count(*) AS n FROM hits JOIN dw ON hits.doc_id = dw.doc_id JOIN iw ON hits.item_id = iw.item_id GROUP BY source, benchmark), b AS (SELECT source, {listed} AS by_benchmark FROM p GROUP BY source),
+    o AS (SELECT source, count(*) AS offered, count(h.doc_id) AS flagged FROM documents x LEFT JOIN (SELECT DISTINCT doc_id FROM hits) h ON x.doc_id = h.doc_id GROUP BY source)
+    SELECT o.source, offered, flagged, round(CAST(flagged AS DOUBLE) / offered, 6) AS rate, coalesce(by_benchmark, '') AS by_benchmark FROM o LEFT JOIN b ON o.source = b.source"""
 
 
 @plan
 def contam_short_items(d):
-    """Items cut to their first five words stand for short items: found by equality of 5-grams, so no theta join."""
-    return f"""WITH {contamination(d, 8)}, s AS (SELECT item_id, {d.glue(d.part('w', '1', 5))} AS g FROM iw), d5 AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, {d.rows(d.grams('w', 5))} AS g FROM dw) x)
-    SELECT item_id, count(*) AS n_docs FROM d5 JOIN s ON d5.g = s.g GROUP BY item_id"""
+    """Users' turns as items: those of fewer than eight words, which documents must hold whole, and in how many they are."""
+    turns = "(SELECT conv_id * 1000 + turn AS item_id, text FROM conversations WHERE role = 'user') ut"
+    return f"WITH {contamination(d, 8, turns)} SELECT hits.item_id, count(*) AS n_docs FROM hits JOIN si ON hits.item_id = si.item_id GROUP BY hits.item_id"
 
 
 @plan
@@ -247,7 +282,7 @@ def benchmark_style_density(d):
 @plan
 def harvest_reject_reasons(d):
     pii = " OR ".join(d.matches("text", p) for p in (EMAIL, SSN, IPV4, CARD, PHONE))
-    n = d.size(d.find_all("text", r"\S+"))
+    n = d.word_count("text")
     return f"""WITH r AS (SELECT CASE WHEN {n} < 8 OR {n} > 400 THEN 'length' WHEN {d.matches('text', MULTI_TURN)} THEN 'multi_turn' WHEN {d.matches('text', URL)} THEN 'url' WHEN {pii} THEN 'pii'
     WHEN {d.matches('text', CODE_REQUEST)} THEN 'code_request' WHEN {english_of(d, 'text')} < {LEAST_ENGLISH} THEN 'non_english' ELSE 'kept' END AS reason FROM documents) SELECT reason, count(*) AS n FROM r GROUP BY reason"""
 
@@ -259,7 +294,7 @@ def passage_references(d):
 
 @plan
 def classify_prompts(d):
-    n = d.size(d.find_all("text", r"\S+"))
+    n = d.word_count("text")
     return f"SELECT conv_id, turn, CASE WHEN {d.matches('trim(text)', '[?]$')} AND {n} <= 40 THEN 'SAQA' ELSE 'IF' END AS category FROM conversations WHERE role = 'user'"
 
 
@@ -298,23 +333,6 @@ def largest_remainder_quota(d):
 PRIORITY = "md5(concat('1:', lpad(CAST(doc_id AS STRING), 10, '0')))"
 
 
-def prefix(d: Dialect, budget: int) -> str:
-    """Documents by hash priority within their language, with what comes before and the language's quota."""
-    return f"""t AS (SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS n, {PRIORITY} AS pr FROM documents),
-    q AS (SELECT lang, sum(n) AS s, sum(sum(n)) OVER () AS tot FROM t GROUP BY lang),
-    p AS (SELECT t.doc_id, t.lang, n, pr, coalesce(sum(n) OVER (PARTITION BY t.lang ORDER BY pr, t.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev, {d.even(f'CAST(s AS DOUBLE) / tot * {budget}')} AS quota FROM t JOIN q ON t.lang = q.lang)"""
-
-
-@plan
-def equal_token_subsample(d):
-    return f"WITH {prefix(d, 200_000)} SELECT doc_id FROM p WHERE prev < quota"
-
-
-@plan
-def nested_subsample(d):
-    return " UNION ALL ".join(f"SELECT * FROM (WITH {prefix(d, b)} SELECT {b} AS level, lang, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS chars FROM p WHERE prev < quota GROUP BY lang) x{i}" for i, b in enumerate((50_000, 100_000, 200_000)))
-
-
 @plan
 def equal_examples_subsample(d):
     return f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {PRIORITY}, doc_id) AS rk FROM documents) x WHERE rk <= 50"
@@ -327,23 +345,22 @@ def length_bins(d: Dialect) -> str:
 
 @plan
 def length_matched_subsample(d):
-    """For each language and length bin the same number from every source: what the poorest source has, 0.8 of it."""
-    n = d.size(d.find_all("text", r"\S+"))
-    return f"""WITH w AS (SELECT doc_id, lang, source, {n} AS n FROM documents), b AS (SELECT *, {length_bins(d)} AS bin FROM w), c AS (SELECT lang, bin, source, count(*) AS k FROM b GROUP BY lang, bin, source),
-    m AS (SELECT lang, bin, min(k) AS m FROM c GROUP BY lang, bin HAVING count(*) = (SELECT count(DISTINCT source) FROM b)),
+    """For each language and length bin the same number from every source: a share of what the poorest source has, 0.8 or as
+    much as 60,000 words ask for, whichever is less."""
+    n = d.word_count("text")
+    return f"""WITH w AS (SELECT doc_id, lang, source, {n} AS n FROM documents), b AS (SELECT *, {length_bins(d)} AS bin FROM w), c AS (SELECT lang, bin, source, count(*) AS k, sum(n) AS words FROM b GROUP BY lang, bin, source),
+    m AS (SELECT lang, bin, min(k) AS m, CAST(sum(words) AS DOUBLE) / sum(k) AS mean FROM c GROUP BY lang, bin HAVING count(*) = (SELECT count(DISTINCT source) FROM b)),
+    f AS (SELECT least(0.8, 60000 / sum(m * mean)) AS f FROM m),
     r AS (SELECT b.doc_id, b.lang, b.source, b.bin, row_number() OVER (PARTITION BY b.lang, b.bin, b.source ORDER BY {PRIORITY.replace('doc_id', 'b.doc_id')}) AS rk, m FROM b JOIN m ON b.lang = m.lang AND b.bin = m.bin)
-    SELECT doc_id, lang, source, bin FROM r WHERE rk <= floor(0.8 * m)"""
-
-
-@plan
-def group_cap(d):
-    return "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk, count(*) OVER () AS n FROM documents) x WHERE rk <= greatest(1, floor(0.002 * n))"
+    SELECT doc_id, lang, source, bin FROM r CROSS JOIN f WHERE rk <= floor(f * m + 1e-9)"""
 
 
 @plan
 def budget_stop_shards(d):
+    """Whole shards of a worker until a quarter more than its target is there; the last one is skipped once the target itself is."""
     return """WITH s AS (SELECT source AS worker, CAST(floor(doc_id / 100) AS BIGINT) AS shard, CAST(sum(length(text)) AS BIGINT) AS tokens FROM documents GROUP BY 1, 2),
-    r AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY worker ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT worker, shard, tokens FROM r WHERE before < 1.25 * 40000"""
+    r AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY worker ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, max(shard) OVER (PARTITION BY worker) AS last FROM s)
+    SELECT worker, shard, tokens FROM r WHERE before < 1.25 * 40000 AND NOT (shard = last AND before >= 40000)"""
 
 
 @plan
@@ -360,17 +377,6 @@ def entropy_by_source(d):
     SELECT source, round(-sum(p * log2(p)), 6) AS bits, round(CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) / log2(count(*)) ELSE 0.0 END, 6) AS normalised FROM p GROUP BY source"""
 
 
-@plan
-def doc_offsets(d):
-    return f"WITH t AS (SELECT doc_id, source, {d.approx_tokens('text')} + 2 AS n FROM documents) SELECT doc_id, source, n, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t"
-
-
-@plan
-def sequence_boundaries(d):
-    return f"""WITH t AS (SELECT doc_id, source, {d.approx_tokens('text')} + 2 AS n FROM documents), o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t)
-    SELECT source, CAST(floor(start / 1024) AS BIGINT) AS seq, count(*) AS n_starts, min(start % 1024) AS first_offset FROM o GROUP BY 1, 2"""
-
-
 @plan
 def eos_split(d):
     """Turns as a stream in which an assistant's turn ends a document, itself included."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.answers import json_valid, list_valid, table_valid
 from ..functions.dialect import Plan
 from .analytics import runs
 from .studies import array, half_samples, numbers
@@ -17,28 +18,21 @@ def plan(f: Plan) -> Plan:
 @plan
 def structured_validity(d):
     """Answers that hold JSON: what stands from the first bracket on must parse to its end. Errors carry a trailing word here."""
-    tail = f"regexp_extract(t, {d.rx(r'[{\[][\s\S]*$')}, 0)"
-    # Spark's parser stops after the first value; what follows it shows when the text stands inside a list and an object.
-    listed, keyed = f"try_parse_json(concat('[', {tail}, ']'))", f"try_parse_json(concat('{{\"v\": ', {tail}, ', \"end\": 1}}'))"
-    strict = f"{listed} IS NOT NULL AND try_variant_get({listed}, '$[1]', 'variant') IS NULL AND try_variant_get({keyed}, '$.end', 'int') = 1"
-    valid = f"coalesce({strict}, false)" if d.spark else f"coalesce(json_valid({tail}), false)"
     return f"""WITH a AS (SELECT event_type, concat('Result: ', props, CASE WHEN event_type = 'error' THEN ' end' ELSE '' END) AS t FROM events)
-    SELECT event_type, count(*) AS n, CAST(count_if({tail} <> '' AND {valid}) AS BIGINT) AS n_valid FROM a GROUP BY event_type"""
+    SELECT event_type, count(*) AS n, CAST(count_if({json_valid(d, 't')}) AS BIGINT) AS n_valid FROM a GROUP BY event_type"""
 
 
 @plan
 def table_list_validity(d):
     """Turns that hold a table (two lines of cells, one a rule) or a numbered list."""
     lines = d.lines("text")
-    cells = d.keep(lines, "x", d.matches("x", "^[|]"))
-    return f"""SELECT role, count(*) AS n, CAST(count_if({d.size(cells)} >= 2 AND {d.size(d.keep(cells, 'x', d.matches('x', '^[|: -]+$')))} >= 1) AS BIGINT) AS n_tables,
-    CAST(count_if({d.size(d.keep(lines, 'x', d.matches('x', '^[0-9]+[.)] +')))} >= 1) AS BIGINT) AS n_lists FROM conversations GROUP BY role"""
+    return f"SELECT role, count(*) AS n, CAST(count_if({table_valid(d, lines)}) AS BIGINT) AS n_tables, CAST(count_if({list_valid(d, lines)}) AS BIGINT) AS n_lists FROM conversations GROUP BY role"
 
 
 @plan
 def length_compliance(d):
     """Whether a turn's words lie in its role's range; recorded, and never a reason to drop."""
-    n = d.size(d.find_all("text", r"\S+"))
+    n = d.word_count("text")
     return f"""WITH w AS (SELECT role, {n} AS n, CASE role WHEN 'system' THEN 3 WHEN 'user' THEN 1 ELSE 5 END AS low, CASE role WHEN 'system' THEN 60 WHEN 'user' THEN 120 ELSE 200 END AS high FROM conversations)
     SELECT role, count(*) AS n, round(avg(CASE WHEN n BETWEEN low AND high THEN 1e0 ELSE 0e0 END), 6) AS compliant FROM w GROUP BY role"""
 
@@ -74,7 +68,7 @@ def predictive_law(d):
 @plan
 def document_bootstrap(d):
     """Error of a source's loss a token over 1000 half samples of its documents."""
-    return f"""WITH t AS (SELECT source, CAST(doc_id AS STRING) AS id, CAST(length(text) AS DOUBLE) AS loss, {d.size(d.find_all('text', r'\S+'))} AS n FROM documents WHERE text IS NOT NULL),
+    return f"""WITH t AS (SELECT source, CAST(doc_id AS STRING) AS id, CAST(length(text) AS DOUBLE) AS loss, {d.word_count('text')} AS n FROM documents WHERE text IS NOT NULL),
     {half_samples(d, 't', 'source, loss, n', 'id', 1000)}, g AS (SELECT source, count(*) AS docs, sum(loss) / nullif(sum(n), 0) AS nll FROM t GROUP BY source),
     u AS (SELECT source, i, sum(loss) / nullif(sum(n), 0) AS v FROM halves GROUP BY source, i), e AS (SELECT source, stddev_samp(v) AS se FROM u GROUP BY source)
     SELECT g.source, docs, round(nll, 6) AS nll, round(se, 6) AS se FROM g LEFT JOIN e ON g.source IS NOT DISTINCT FROM e.source"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ..functions.dialect import Dialect, Plan
 from .analytics import cells, curves, runs, teachers
-from .curation import PRODUCTION, contamination, minhash
 
 PLANS: dict[str, Plan] = {}
 
@@ -82,7 +81,7 @@ def format_probe(d):
     lines = d.lines("text")
     rules = {
         "list": f"{d.size(d.keep(lines, 'x', d.matches('x', '^[0-9]+[.)] ')))} >= 1", "table": f"{d.size(d.keep(lines, 'x', d.matches('x', '^[|]')))} >= 2",
-        "sentence": d.matches("trim(text)", "[.!?]$"), "capital": d.matches("trim(text)", r"^\p{Lu}"), "short": f"{d.size(d.find_all('text', '\\S+'))} <= 50",
+        "sentence": d.matches("trim(text)", "[.!?]$"), "capital": d.matches("trim(text)", r"^\p{Lu}"), "short": f"{d.word_count('text')} <= 50",
     }
     return " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS n, round(avg(CASE WHEN {v} THEN 1e0 ELSE 0e0 END), 6) AS pass_rate FROM conversations WHERE role = 'assistant'" for k, v in rules.items())
 
@@ -118,7 +117,7 @@ def hashed_words(d):
 
 @plan
 def diversity_report(d):
-    return f"SELECT lang, source, CAST(grouping(lang) AS INT) AS all_langs, count(*) AS n, CAST(sum({d.size(d.find_all('text', '\\S+'))}) AS BIGINT) AS words FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())"
+    return f"SELECT lang, source, CAST(grouping(lang) AS INT) AS all_langs, count(*) AS n, CAST(sum({d.word_count('text')}) AS BIGINT) AS words FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())"
 
 
 @plan
@@ -139,13 +138,6 @@ def prompt_token_fraction(d):
     return f"""WITH t AS (SELECT conv_id, role, {d.approx_tokens('text')} AS n FROM conversations) SELECT conv_id, CAST(sum(n) AS BIGINT) AS tokens, round(CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE n END) AS DOUBLE) / greatest(sum(n), 1), 6) AS prompt_fraction FROM t GROUP BY conv_id"""
 
 
-@plan
-def slot_pattern(d):
-    """Each source's documents as slots: a rounded quarter, first by hash, replays."""
-    return f"""WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat('7:', CAST(doc_id AS STRING))), doc_id) AS rk, count(*) OVER (PARTITION BY source) AS n FROM documents)
-    SELECT doc_id, CASE WHEN rk <= {d.even('0.25 * n')} THEN 1 ELSE 0 END AS kind FROM s"""
-
-
 @plan
 def sequence_counts(d):
     """Rows of 1024 tokens and one more that each source's stream gives, and the tokens left over."""
@@ -165,20 +157,6 @@ def experiment_matrix(d):
     SELECT n_nationkey AS student, teacher, CAST(i AS BIGINT) AS seed, below, above, substr(md5(concat_ws('|', CAST(n_nationkey AS STRING), CAST(teacher AS STRING), CAST(i AS STRING))), 1, 8) AS id FROM nation CROSS JOIN t CROSS JOIN {numbers(d, 0, 2)} s"""
 
 
-@plan
-def templated_prompts(d):
-    """Leaves in shuffled passes, templates in turn."""
-    return f"""WITH l AS (SELECT n_name AS leaf, i, row_number() OVER (PARTITION BY i ORDER BY md5(concat(CAST(i AS STRING), n_name))) AS rk FROM nation CROSS JOIN {numbers(d, 0, 3)} p), o AS (SELECT leaf, CAST(i * 25 + rk - 1 AS BIGINT) AS pos FROM l)
-    SELECT lpad(CAST(pos AS STRING), 10, '0') AS prompt_id, leaf, replace(CASE pos % 3 WHEN 0 THEN 'Explain {{leaf}} in two sentences.' WHEN 1 THEN 'What is {{leaf}} known for?' ELSE 'List three facts about {{leaf}}.' END, '{{leaf}}', leaf) AS prompt FROM o""".replace("{{", "{").replace("}}", "}")
-
-
-@plan
-def word_problems(d):
-    """Symbolic problems from parameters, with the answer, and whether an answer that is a tenth off would pass."""
-    return f"""WITH p AS (SELECT CAST(i AS BIGINT) AS i, (i * 37) % 48 + 2 AS a, (i * 53) % 29 + 1 AS b, (i * 71) % 17 AS c FROM {numbers(d, 1, 200)} x)
-    SELECT i, concat('A store has ', CAST(a AS STRING), ' boxes of ', CAST(b AS STRING), ' pens and sells ', CAST(c AS STRING), '. How many are left?') AS problem, CAST(a * b - c AS BIGINT) AS gold, abs((a * b - c) * 1.1e0 - (a * b - c)) <= 1e-4 * abs(a * b - c) AS tenth_off_passes FROM p"""
-
-
 @plan
 def answer_match(d):
     """Numbers in user turns against the conversation's id, with marks stripped and a relative tolerance."""
@@ -244,12 +222,32 @@ def half_samples(d: Dialect, table: str, columns: str, key: str, n: int) -> str:
 
 @plan
 def selection_shares(d):
-    """How often each teacher is the best at a price of cost, over 5000 half samples of the items."""
-    return f"""WITH w AS (SELECT p_size % 7 AS k, l_extendedprice / l_quantity AS g, p_retailprice AS c, concat_ws(':', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING)) AS id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0),
-    {half_samples(d, 'w', 'k, g, c', 'id', 5000)}, b AS (SELECT i, k, avg(g) - 0.5 * avg(c) AS v FROM halves GROUP BY i, k), r AS (SELECT i, k, row_number() OVER (PARTITION BY i ORDER BY round(v, 6) DESC, k) AS rk FROM b)
+    """How often each teacher is the best at a price of cost, over 5000 half samples of its items' chunks.
+
+    Items are summed into 256 chunks a teacher by hash first, so resamples are of sums, and grow with teachers alone.
+    """
+    chunk = hashed(d, "CAST(l_orderkey AS STRING)", "':'", "CAST(l_linenumber AS STRING)")
+    return f"""WITH w AS (SELECT k, chunk, concat_ws(':', CAST(k AS STRING), CAST(chunk AS STRING)) AS id, sum(g) AS g, sum(c) AS c, count(*) AS n FROM (SELECT p_size % 7 AS k, {chunk} % 256 AS chunk, l_extendedprice / l_quantity AS g, p_retailprice AS c FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0) x GROUP BY k, chunk),
+    {half_samples(d, 'w', 'k, g, c, n', 'id', 5000)}, b AS (SELECT i, k, sum(g) / sum(n) - 0.5 * sum(c) / sum(n) AS v FROM halves GROUP BY i, k), r AS (SELECT i, k, row_number() OVER (PARTITION BY i ORDER BY round(v, 6) DESC, k) AS rk FROM b)
     SELECT k, count(*) AS wins, round(count(*) / 5e3, 6) AS share FROM r WHERE rk = 1 GROUP BY k"""
 
 
+@plan
+def leave_group_out(d):
+    """Share of variance that a line fitted on all other students explains in each one's cells, pooled over the students."""
+    return f"""WITH {cells(d)}, x AS (SELECT student, mean AS y, CAST(substring(cond, 1, 1) AS DOUBLE) AS x FROM cell), g AS (SELECT student, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM x GROUP BY student),
+    o AS (SELECT student, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy, count(*) OVER () AS groups FROM g),
+    b AS (SELECT student, groups, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS k FROM o WHERE groups >= 3), m AS (SELECT avg(y) AS m FROM x)
+    SELECT count(*) AS n, round(1 - sum(power(y - k - b * x, 2)) / sum(power(y - m, 2)), 6) AS r2 FROM x JOIN b ON x.student = b.student CROSS JOIN m"""
+
+
+@plan
+def matrix_summary(d):
+    """Specifications of the experiment matrix by student, teacher and together, and the most tokens that a teacher's pool must hold."""
+    return f"""WITH m AS (SELECT n_nationkey AS student, r_regionkey AS teacher, CAST(i AS BIGINT) AS seed, (1 + n_nationkey % 4) * 1000000 AS tokens FROM nation CROSS JOIN region CROSS JOIN {numbers(d, 0, 2)} s)
+    SELECT student, teacher, CAST(grouping(student) AS INT) AS all_students, count(*) AS n, CAST(max(tokens) AS BIGINT) AS pool_tokens FROM m GROUP BY GROUPING SETS ((student), (teacher), ())"""
+
+
 @plan
 def unit_costs(d):
     """Seconds, money and energy per delivered unit, with what is missing taken from the next best figure."""
@@ -273,19 +271,6 @@ def nested_check(d):
     return f"WITH a AS ({pick(20)}), b AS ({pick(60)}) SELECT (SELECT count(*) FROM a) AS small, (SELECT count(*) FROM b) AS large, (SELECT count(*) FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b) x) AS lacking"
 
 
-@plan
-def pool_clean_chain(d):
-    """The stages in order: exact copies, near copies by bands, contaminated, then a cap for each group of what is left."""
-    norm = d.replace_all("lower(trim(text))", r"\s+", " ")
-    return f"""WITH {minhash(d, *PRODUCTION)}, {contamination(d, 8)}, ex AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({norm})),
-    kx AS (SELECT keys.doc_id, band, bk FROM keys JOIN ex ON keys.doc_id = ex.doc_id), hd AS (SELECT band, bk, min(doc_id) AS head FROM kx GROUP BY band, bk),
-    nr AS (SELECT DISTINCT kx.doc_id FROM kx JOIN hd ON kx.band = hd.band AND kx.bk = hd.bk WHERE kx.doc_id <> hd.head), bad AS (SELECT DISTINCT doc_id FROM hits),
-    s AS (SELECT x.doc_id, x.source, CASE WHEN ex.doc_id IS NULL THEN 'exact' WHEN nr.doc_id IS NOT NULL THEN 'near' WHEN bad.doc_id IS NOT NULL THEN 'contaminated' END AS why
-    FROM documents x LEFT JOIN ex ON x.doc_id = ex.doc_id LEFT JOIN nr ON x.doc_id = nr.doc_id LEFT JOIN bad ON x.doc_id = bad.doc_id),
-    c AS (SELECT *, row_number() OVER (PARTITION BY source, why ORDER BY doc_id) AS rk FROM s), n AS (SELECT count(*) AS n FROM documents)
-    SELECT doc_id, coalesce(why, CASE WHEN rk > greatest(1, floor(0.02 * n)) THEN 'cap' END, 'kept') AS stage FROM c CROSS JOIN n"""
-
-
 def hashed(d: Dialect, *parts: str) -> str:
     """32 bits of a hash over the parts as a number."""
     digits = f"substr(md5(concat({', '.join(parts)})), 1, 8)"

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import DUCK, SPARK, Plan
 from .operators import custom
-from .plans import analytics, curation, formats, studies
+from .plans import analytics, curation, formats, prompts, studies
 from .sources.tables import views
 
-PLANS: dict[str, Plan] = curation.PLANS | analytics.PLANS | studies.PLANS | formats.PLANS
+PLANS: dict[str, Plan] = curation.PLANS | analytics.PLANS | studies.PLANS | formats.PLANS | prompts.PLANS
 
 
 def of_plan(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:

@@ -39,3 +39,24 @@ def taxonomy(spark: SparkSession, tree: dict[str, dict[str, list[str]]]) -> tupl
     rows = [(a, b, leaf) for a, subs in tree.items() for b, leaves in subs.items() for leaf in leaves]
     digest = hashlib.sha256("\n".join("/".join(r) for r in rows).encode()).hexdigest()
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position int, domain string, subdomain string, leaf string"), digest
+
+
+def read_yaml(uri: str) -> dict:
+    """A YAML file as a dict; needs the yaml package, which not every installation has."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml package") from e
+    from .files import read_bytes
+
+    return yaml.safe_load(read_bytes(uri)) or {}
+
+
+def composed_files(base: str, *layers: str, override: dict[str, object] | None = None) -> dict:
+    """compose() over YAML files."""
+    return compose(read_yaml(base), *map(read_yaml, layers), override=override)
+
+
+def taxonomy_file(spark: SparkSession, uri: str) -> tuple[DataFrame, str]:
+    """taxonomy() of a YAML file."""
+    return taxonomy(spark, read_yaml(uri))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.folders import hadoop_path
+
 POOL = "prompt_id string, category string, subcategory string, source string, license string, task string, suffix string, leaf string, seed_doc_id string, persona_id string, audience string, passage string, verifiable boolean, mcq boolean, gold string, format_spec string, constraints array<struct<type: string, value: string>>, meta string"
 GENERATION = "example_id string, prompt_id string, category string, prompt_source string, teacher string, student_prompt string, response string, finish_reason string, tokens_teacher_prompt long, tokens_teacher_response long, tokens_student long, response_len_student long, word_count long, cum_logprob double, gold string, verifiable boolean, flags map<string, string>, retained boolean"
 BENCHMARK = "benchmark string, split string, item_id string, text string, question string, options array<string>, answer string"
@@ -83,3 +85,58 @@ def harness_samples(spark: SparkSession, path: str) -> DataFrame:
     by_length = F.zip_with("lls", "choice_chars", lambda a, n: F.when(n > 0, a / n).otherwise(-1e9))
     first = lambda c: (F.array_position(c, F.array_max(c)) - 1) == F.col("gold")
     return out.select("doc_id", "gold", "lls", "is_greedy", "choice_chars", "choice_bytes", first(F.col("lls")).cast("double").alias("acc"), first(by_length).cast("double").alias("acc_norm"))
+
+
+HARVESTED = "prompt_id string, text string, source string, license string, url string"
+PERSONA = "persona_id string, persona string, source string"
+FIXTURE = "context string, options array<string>, gold int, item_id string"
+RUN = "run_id string, arm string, student string, teacher string, seed int, data struct<d_syn: double, replay: double>, train struct<tokens: double>"
+
+
+def harvested(spark: SparkSession, path: str) -> DataFrame:
+    """Harvested prompts with a text; licence and source have defaults."""
+    rows = spark.read.schema(HARVESTED).json(path).where("trim(text) <> ''")
+    return rows.withColumn("license", F.coalesce("license", F.lit("unknown"))).withColumn("source", F.coalesce("source", F.lit("harvested")))
+
+
+def personas(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PERSONA).json(path).where("trim(persona) <> ''")
+
+
+def choice_items(spark: SparkSession, path: str) -> DataFrame:
+    """Multiple-choice fixtures, one list a file or one item a line: context, options, gold; items whose gold is no option go."""
+    rows = spark.read.schema(FIXTURE).option("multiLine", True).json(path)
+    return rows.withColumn("item_id", F.coalesce("item_id", F.concat_ws("-", F.col("_metadata.file_name"), F.sha2(F.concat_ws("|", "context", F.array_join("options", "|")), 256).substr(1, 8)))).where("gold >= 0 AND gold < size(options)")
+
+
+def run_covariates(spark: SparkSession, path: str, arms: dict[str, str], points: DataFrame | None = None, least: int = 4) -> DataFrame:
+    """A row a run's manifest: condition by its arm, replayed share (a quarter unless it says otherwise), data of its own.
+
+    Runs of the base alone are left out, and, given curves (run_id, d, loss), runs with fewer points than `least`.
+    """
+    rows = spark.read.schema(RUN).option("multiLine", True).json(path)
+    cond = F.coalesce(*(F.when(F.col("arm") == a, F.lit(c)) for a, c in sorted(arms.items()))) if arms else F.col("arm")
+    out = rows.where("run_id IS NOT NULL AND arm <> 'base_only'").select("run_id", "student", "teacher", "seed", cond.alias("cond"), F.coalesce("data.replay", F.lit(0.25)).alias("replay"), F.coalesce("data.d_syn", "train.tokens").alias("d_syn"))
+    if points is not None:
+        out = out.join(points.groupBy("run_id").agg(F.count("*").alias("n_points")).where(F.col("n_points") >= least), "run_id")
+    return out
+
+
+def load_index(spark: SparkSession, uri: str) -> DataFrame:
+    """An index by its name without ending: Parquet if it is there, else CSV with a header."""
+    path, fs = hadoop_path(spark, f"{uri}.parquet")
+    return spark.read.parquet(f"{uri}.parquet") if fs.exists(path) else spark.read.option("header", True).option("inferSchema", True).csv(f"{uri}.csv")
+
+
+def harness_likelihoods(spark: SparkSession, path: str) -> DataFrame:
+    """Items of a log of single continuations: doc_id, log-likelihood, whether it is greedy."""
+    rows = spark.read.schema("doc_id long, resps string, filtered_resps string").json(path).where("doc_id IS NOT NULL").withColumn("r", F.coalesce("filtered_resps", "resps"))
+    return rows.select("doc_id", F.regexp_replace(F.regexp_extract("r", r'\[\s*"?(-?(?:[0-9][0-9.eE+-]*|inf|Infinity))"?\s*,', 1), "^-inf$", "-Infinity").cast("double").alias("ll"), (F.lower(F.regexp_extract("r", r'(?i),\s*"?(true|false)"?\s*\]', 1)) == "true").alias("is_greedy"))
+
+
+def harness_generations(spark: SparkSession, path: str) -> DataFrame:
+    """Items of a log of generated answers: doc_id, target, the first answer however deeply nested, and whether they match."""
+    rows = spark.read.schema("doc_id long, target string, resps string, filtered_resps string").json(path).where("doc_id IS NOT NULL").withColumn("r", F.coalesce("filtered_resps", "resps"))
+    nested = F.element_at(F.flatten(F.from_json("r", "array<array<string>>")), 1)
+    answer = F.when(F.col("r").rlike(r"^\s*\[\s*\["), nested).otherwise(F.element_at(F.from_json("r", "array<string>"), 1))
+    return rows.select("doc_id", "target", F.trim(answer).alias("answer"), (F.lower(F.trim(answer)) == F.lower(F.trim("target"))).alias("matched"))

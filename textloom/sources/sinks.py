@@ -1,12 +1,15 @@
-"""Writers: frozen pools with checksums, shards with a manifest, token files that readers can cut anywhere."""
+"""Writers: frozen pools with checksums, shards with a manifest, indexes, reports and results, tables replaced whole."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.folders import hadoop_path, remove_dir
 from ..operators.ordered import with_position
+from .files import CompressedLines, TokenFiles
 
 
 def freeze_pool(records: DataFrame, path: str, version: str) -> dict:
@@ -38,43 +41,47 @@ def union_index(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-class Range(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
-
-
-class TokenFileReader(DataSourceReader):
-    """Rows of a flat file of 16-bit tokens cut into sequences of length and one; each partition reads its own range."""
-
-    def __init__(self, options: dict):
-        self.path, self.length, self.rows = options["path"], int(options.get("length", "1024")), int(options.get("rowsPerPartition", "1024"))
-
-    def partitions(self):
-        import os
+def write_index(frames: list[DataFrame], uri: str) -> None:
+    """One index from several runs, as CSV and as Parquet beside it."""
+    whole = union_index(frames)
+    whole.write.parquet(f"{uri}.parquet")
+    back = whole.sparkSession.read.parquet(f"{uri}.parquet")
+    back.select([F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in back.dtypes]).write.option("header", True).csv(f"{uri}.csv")
 
-        n = max(0, (os.path.getsize(self.path) // 2 - 1) // self.length)
-        return [Range(a, min(a + self.rows, n)) for a in range(0, n, self.rows)] or [Range(0, 0)]
 
-    def read(self, partition):
-        import numpy as np
+def save_whole(df: DataFrame, uri: str) -> None:
+    """Replaces what stands at uri by df, whole or not at all: written beside it, then put in its place by renaming.
 
-        with open(self.path, "rb") as f:
-            for i in range(partition.start, partition.stop):
-                f.seek(2 * i * self.length)
-                yield i, np.frombuffer(f.read(2 * (self.length + 1)), "<u2").astype(int).tolist()
+    df may be computed from what stands there. Where a store can't rename a folder at once (object stores), a reader may
+    find none for a moment, but never a part.
+    """
+    spark = df.sparkSession
+    fresh, old = f"{uri}.new-{uuid.uuid4().hex}", f"{uri}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    target, fs = hadoop_path(spark, uri)
+    had = fs.exists(target)
+    if had and not fs.rename(target, hadoop_path(spark, old)[0]):
+        raise OSError(f"{uri} can't be moved aside")
+    if not fs.rename(hadoop_path(spark, fresh)[0], target):
+        raise OSError(f"{fresh} can't take its place")
+    if had:
+        remove_dir(spark, old)
 
 
-class TokenFiles(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "token_file"
+def write_results(results: DataFrame, uri: str, by: tuple[str, ...] = ("run_id", "task")) -> None:
+    """Results as JSON, a folder for each run and task."""
+    results.write.partitionBy(*by).json(uri)
 
-    def schema(self) -> str:
-        return "row long, tokens array<int>"
 
-    def reader(self, schema):
-        return TokenFileReader(self.options)
+def write_reports(reports: dict[str, DataFrame], uri: str) -> None:
+    """Tables of an analysis as CSV with a header and as JSON lines, under their names."""
+    for name, df in reports.items():
+        flat = df.select([F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
+        flat.write.option("header", True).csv(f"{uri}/{name}.csv")
+        df.write.json(f"{uri}/{name}.json")
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(TokenFiles)
+    """Makes the package's file formats known to a session."""
+    for source in (TokenFiles, CompressedLines):
+        spark.dataSource.register(source)

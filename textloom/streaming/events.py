@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.folders import shared_dir
+from ..operators.folders import hadoop_path, shared_dir
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -19,10 +21,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def settled(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, and reads its output from the shared folder."""
+def settled(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, and reads its output from the shared folder.
+
+    With a folder given as base, a later call goes on from there: its checkpoint says what was read, so only new files are.
+    Mode complete keeps all groups as state and returns them as they are at the end, open windows included.
+    """
     spark = stream.sparkSession
-    base = shared_dir(spark, "stream")
+    base = base or shared_dir(spark, "stream")
+    if mode == "complete":
+        def put(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{base}/out/batch={number:09d}")
+
+        stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        path, fs = hadoop_path(spark, f"{base}/out")
+        last = max((str(s.getPath()) for s in fs.listStatus(path)), default=None) if fs.exists(path) else None
+        return spark.read.schema(stream.schema).parquet(last) if last else spark.createDataFrame([], stream.schema)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -33,6 +47,50 @@ def sliding(events: DataFrame, length: str = "2 hours", step: str = "1 hour", la
     return events.withWatermark("ts", late).groupBy(F.window("ts", length, step), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def tumbling(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums by event type in windows that follow each other."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "3600 seconds", late: str = "10 minutes") -> DataFrame:
+    """Counts by user in sessions that a gap without events ends."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def diverging(logs: DataFrame, factor: float = 2.0) -> DataFrame:
+    """run, longest: from rows (run, ts, step, value) the longest streak of values above `factor` times the run's least so far.
+
+    A run's state is three numbers; a trigger's rows of a run are put in order, rows of later triggers are later. Each
+    trigger with rows of a run gives its row anew.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        low, streak, longest = state.get if state.exists else (float("inf"), 0, 0)
+        for v in pd.concat(list(batches)).sort_values(["ts", "step"])["value"].tolist():
+            low = min(low, v)
+            streak = streak + 1 if v > factor * low else 0
+            longest = max(longest, streak)
+        state.update((low, streak, longest))
+        yield pd.DataFrame({"run": [key[0]], "longest": [longest]})
+
+    return logs.groupBy("run").applyInPandasWithState(step, "run long, longest long", "low double, streak long, longest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def until_budget(shards: DataFrame, budget: int) -> DataFrame:
+    """Rows (worker, shard, tokens) of each worker in order of shard, until the tokens before reach the budget; the state is one sum a worker."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        spent = state.get[0] if state.exists else 0
+        if spent < budget:
+            rows = pd.concat(list(batches)).sort_values("shard")
+            before = spent + rows["tokens"].cumsum() - rows["tokens"]
+            kept = rows[before < budget]
+            state.update((int(spent + kept["tokens"].sum()),))
+            yield kept[["worker", "shard", "tokens"]]
+
+    return shards.groupBy("worker").applyInPandasWithState(step, "worker string, shard long, tokens long", "spent long", "append", GroupStateTimeout.NoTimeout)
+
+
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The first row of each event id; the state of an id is dropped when the watermark passes it."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
