@@ -170,6 +170,14 @@ def distinct_n_by_lang(d):
     return f"SELECT lang, count(*) AS total, count(DISTINCT g) AS distinct_grams, round(CAST(count(DISTINCT g) AS DOUBLE) / count(*), 6) AS distinct_2 FROM (SELECT lang, {d.rows(d.grams('w', 2))} AS g FROM (SELECT lang, {d.words('text')} AS w FROM documents)) GROUP BY lang"
 
 
+@plan
+def distinct_n_raw(d):
+    """Distinct pairs among all pairs of words as they stand between white space, by source: beside the normalised words of distinct_n_by_lang."""
+    pairs = f"CASE WHEN {d.size('w')} < 2 THEN {d.part('w', '1', 0) if d.spark else 'w[1:0]'} ELSE {d.each(d.upto(d.size('w') + ' - 1'), 'i', d.glue(d.part('w', 'i', 2)))} END"
+    raw = d.find_all("text", r"\S+")
+    return f"SELECT source, count(*) AS total, count(DISTINCT g) AS distinct_grams, round(CAST(count(DISTINCT g) AS DOUBLE) / count(*), 6) AS distinct_2 FROM (SELECT source, {d.rows(pairs)} AS g FROM (SELECT source, {raw} AS w FROM documents) x) y GROUP BY source"
+
+
 PRODUCTION = (14, 8)  # bands and rows by which near copies are clustered and removed
 
 
@@ -363,14 +371,6 @@ def budget_stop_shards(d):
     SELECT worker, shard, tokens FROM r WHERE before < 1.25 * 40000 AND NOT (shard = last AND before >= 40000)"""
 
 
-@plan
-def ks_length_distance(d):
-    """Largest distance between each source's length distribution and the whole corpus's."""
-    return """WITH a AS (SELECT source, length(text) AS x FROM documents), g AS (SELECT x, count(*) AS c FROM a GROUP BY x), f AS (SELECT x, CAST(sum(c) OVER (ORDER BY x) AS DOUBLE) / sum(c) OVER () AS f FROM g),
-    s AS (SELECT DISTINCT source FROM a), k AS (SELECT s.source, f.x, f.f, coalesce(h.c, 0) AS c FROM s CROSS JOIN f LEFT JOIN (SELECT source, x, count(*) AS c FROM a GROUP BY source, x) h ON h.source = s.source AND h.x = f.x),
-    r AS (SELECT source, f, CAST(sum(c) OVER (PARTITION BY source ORDER BY x) AS DOUBLE) / sum(c) OVER (PARTITION BY source) AS own FROM k) SELECT source, round(max(abs(own - f)), 6) AS ks FROM r GROUP BY source"""
-
-
 @plan
 def entropy_by_source(d):
     return """WITH c AS (SELECT source, lang, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY source, lang), p AS (SELECT source, n / sum(n) OVER (PARTITION BY source) AS p FROM c)

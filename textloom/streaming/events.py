@@ -91,6 +91,24 @@ def until_budget(shards: DataFrame, budget: int) -> DataFrame:
     return shards.groupBy("worker").applyInPandasWithState(step, "worker string, shard long, tokens long", "spent long", "append", GroupStateTimeout.NoTimeout)
 
 
+def stale(beats: DataFrame, limit: float = 3600.0) -> DataFrame:
+    """worker, n_stale: from rows (worker, ts) how often a worker's heartbeat stayed out for more than `limit` seconds.
+
+    A worker's state is its last heartbeat and the count; each trigger with rows of a worker gives its row anew.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, count = state.get if state.exists else (None, 0)
+        for t in pd.concat(list(batches))["ts"].sort_values().tolist():
+            now = t.timestamp()
+            count += last is not None and now - last > limit
+            last = now if last is None else max(last, now)
+        state.update((last, int(count)))
+        yield pd.DataFrame({"worker": [key[0]], "n_stale": [int(count)]})
+
+    return beats.groupBy("worker").applyInPandasWithState(step, "worker long, n_stale long", "last double, n_stale long", "append", GroupStateTimeout.NoTimeout)
+
+
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The first row of each event id; the state of an id is dropped when the watermark passes it."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
