@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import langid, packing, secrets, simhash, substrings
 from textloom.llm.common import remove_dir, scratch, shared_dir, written
+from textloom.sources.tables import table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what a stage wrote for itself goes once its result is written, and that once the next one's is."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         uri = shared_dir(spark, f"stage-{k}")
         with scratch(spark):
