@@ -83,6 +83,17 @@ def test_near_index_joins_heads_only(spark, tmp_path):
     assert got[1] == 1 and got[2] == 1 and got[3] == 3 and got[5] == 5 and got[4] in (1, 3)
 
 
+def test_band_heads_hold_one_number_a_key(spark, tmp_path):
+    from textloom.streaming import events
+
+    for k, rows in enumerate(([(1, "g", ["a", "b"]), (2, "g", ["a", "c"])], [(3, "g", ["x", "c"]), (4, "h", ["a", "b"])])):
+        spark.createDataFrame(rows, "id long, grp string, bands array<string>").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("id long, grp string, bands array<string>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = events.settled(near_index.band_heads(stream)).groupBy("grp", "id").agg({"head": "min"}).collect()
+    heads = {(r.grp, r.id): r["min(head)"] for r in got}
+    assert heads in ({("g", 1): 1, ("g", 2): 1, ("g", 3): 2, ("h", 4): 4}, {("g", 1): 1, ("g", 2): 1, ("g", 3): 3, ("h", 4): 4})
+
+
 def test_harness_samples_of_both_shapes(spark, tmp_path):
     import json
 
