@@ -32,7 +32,8 @@ ORDER = 4
 BITS, SYMBOLS = 7, 127
 #: Bound on the documents a language that training reads; a fifth of them calibrate.
 DOCS_PER_LANGUAGE = 300
-#: Rejected: a score below so many times chance, or more nats a symbol than halfway from the worst calibrating document to pure chance.
+#: Rejected: a score below so many times chance that no calibrating document's score was as low, or more nats a symbol than
+#: halfway from the worst calibrating document to pure chance.
 LEAST_SCORE = 1.2
 TEMPERATURES = (0.25, 0.5, 1, 2, 4, 8, 16, 32)
 
@@ -66,6 +67,7 @@ class Model:
     backoff: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by order: context keys, log-weights
     temperature: float = 1.0
     most_nats: float = float("inf")
+    least_score: float = 0.0
 
     def nats(self, symbols: np.ndarray) -> np.ndarray:
         """Negative log-probability of each symbol from the second on, for each language."""
@@ -109,7 +111,7 @@ class Model:
         best, p = h.argmin(1), softmax(h, self.temperature)
         score = np.where(has, p[np.arange(len(best)), best], 0.0)
         least = h.min(1)
-        rejected = ~has | (score < min(0.9, LEAST_SCORE / len(self.languages))) | (least > self.most_nats)
+        rejected = ~has | (score < self.least_score) | (least > self.most_nats)
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)], score.tolist(), rejected.tolist(), np.where(has, least, 0.0).tolist()
 
 
@@ -200,6 +202,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
             loss = {t: -np.log(np.maximum(softmax(h, t)[np.arange(len(h)), truth], 1e-9)).mean() for t in TEMPERATURES}
             model.temperature = min(loss, key=loss.get)
             model.most_nats = float((h.min(1).max() + np.log(1 << BITS)) / 2)
+            model.least_score = min(0.9, LEAST_SCORE / len(languages), float(softmax(h, model.temperature).max(1).min()))
     return model
 
 
