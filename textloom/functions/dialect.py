@@ -89,6 +89,11 @@ class Dialect:
         """64-bit hashes of all n-grams of a word list, in Spark alone: a filter that loses nothing, before grams are compared."""
         return self.each(self.upto(f"size({words}) - {n} + 1"), "i", f"xxhash64(slice({words}, CAST(i AS INT), CAST({n} AS INT)))")
 
+    def hash32(self, *parts: str) -> str:
+        """32 bits of a hash over the parts as a number."""
+        digits = f"substr(md5(concat({', '.join(parts)})), 1, 8)"
+        return f"CAST(conv({digits}, 16, 10) AS BIGINT)" if self.spark else f"CAST(('0x' || {digits}) AS BIGINT)"
+
     def median(self, x: str, q: float = 0.5) -> str:
         return f"percentile({x}, {q})" if self.spark else f"quantile_cont({x}, {q})"
 

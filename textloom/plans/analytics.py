@@ -314,21 +314,39 @@ def isotonic(d):
     SELECT student, cond, round(max(v), 4) AS fitted FROM m GROUP BY 1, 2"""
 
 
-@plan
-def isotonic_permutation(d, permutations: int = 2000):
-    """For each student the gain of the isotonic fit over a constant, and how often cells in an order by hash gain as much, of 2000 orders.
+def isotonic_gains(d: Dialect, draws: str, n: int) -> str:
+    """From draws (student, mean, w, i, k): the gain of an isotonic fit in the order of k over a constant, for each i; draw 0 is the
+    data. Then each student's own gain and the share of draws, itself included, that gain as much.
 
-    Orders are rows of sums over a handful of cells, so nothing grows with the runs.
+    Draws are rows of sums over a handful of cells, so nothing grows with the runs.
     """
-    order = "CASE WHEN i = 0 THEN cond ELSE md5(concat_ws('|', student, cond, CAST(i AS STRING))) END"
-    numbers = f"explode(sequence(0, {permutations}))" if d.spark else f"unnest(range(0, {permutations + 1}))"
-    return f"""WITH {cells(d)}, q AS (SELECT student, mean, CAST(r AS DOUBLE) AS w, i, row_number() OVER (PARTITION BY student, i ORDER BY {order}) AS k FROM cell CROSS JOIN (SELECT {numbers} AS i) n),
-    c AS (SELECT *, sum(w * mean) OVER (PARTITION BY student, i ORDER BY k) AS cs, sum(w) OVER (PARTITION BY student, i ORDER BY k) AS cw FROM q),
+    return f"""WITH {cells(d)}, q AS ({draws}), c AS (SELECT *, sum(w * mean) OVER (PARTITION BY student, i ORDER BY k) AS cs, sum(w) OVER (PARTITION BY student, i ORDER BY k) AS cw FROM q),
     iv AS (SELECT x.student, x.i, x.k AS lo, y.k AS hi, (y.cs - x.cs + x.w * x.mean) / (y.cw - x.cw + x.w) AS av FROM c x JOIN c y ON x.student = y.student AND x.i = y.i AND x.k <= y.k),
     low AS (SELECT c.student, c.i, c.k, iv.lo, max(c.w) AS w, min(iv.av) AS v FROM c JOIN iv ON iv.student = c.student AND iv.i = c.i AND iv.lo <= c.k AND iv.hi >= c.k GROUP BY 1, 2, 3, 4),
-    fit AS (SELECT student, i, k, max(w) AS w, max(v) AS f FROM low GROUP BY 1, 2, 3), tot AS (SELECT student, sum(mean * r) / sum(r) AS grand FROM cell GROUP BY student),
-    g AS (SELECT fit.student, i, sum(w * power(f - grand, 2)) AS gain FROM fit JOIN tot ON fit.student = tot.student GROUP BY 1, 2), own AS (SELECT student, gain FROM g WHERE i = 0)
-    SELECT g.student, round(max(own.gain), 0) AS gain, round((count_if(g.i > 0 AND g.gain >= own.gain * (1 - 1e-9)) + 1) / {permutations + 1}e0, 6) AS p FROM g JOIN own ON g.student = own.student GROUP BY g.student"""
+    fit AS (SELECT student, i, k, max(w) AS w, max(v) AS f FROM low GROUP BY 1, 2, 3), tot AS (SELECT student, i, sum(mean * w) / sum(w) AS grand, sum(w * mean * mean) AS scale FROM q GROUP BY student, i),
+    g AS (SELECT fit.student, fit.i, sum(w * power(f - grand, 2)) AS gain, max(scale) AS scale FROM fit JOIN tot ON fit.student = tot.student AND fit.i = tot.i GROUP BY 1, 2), own AS (SELECT student, gain, scale FROM g WHERE i = 0)
+    SELECT g.student, round(max(own.gain), 0) AS gain, round((count_if(g.i > 0 AND g.gain >= own.gain - 1e-9 * own.scale) + 1) / {n + 1}e0, 6) AS p FROM g JOIN own ON g.student = own.student GROUP BY g.student"""
+
+
+def upto(d: Dialect, n: int) -> str:
+    return f"(SELECT {f'explode(sequence(0, {n}))' if d.spark else f'unnest(range(0, {n + 1}))'} AS i) n"
+
+
+@plan
+def isotonic_permutation(d, permutations: int = 2000):
+    """How often cells in an order by hash gain as much by an isotonic fit, of 2000 orders."""
+    order = "CASE WHEN i = 0 THEN cond ELSE md5(concat_ws('|', student, cond, CAST(i AS STRING))) END"
+    return isotonic_gains(d, f"SELECT student, mean, CAST(r AS DOUBLE) AS w, i, row_number() OVER (PARTITION BY student, i ORDER BY {order}) AS k FROM cell CROSS JOIN {upto(d, permutations)}", permutations)
+
+
+@plan
+def isotonic_parametric(d, boots: int = 2000):
+    """The same for cells drawn about the student's mean with their own errors: normal draws by Box and Muller from hashes."""
+    u = lambda tag: f"(({d.hash32('student', repr('|'), 'cond', repr('|' + tag), 'CAST(i AS STRING)')} + 1) / 4294967297e0)"
+    z = f"sqrt(-2 * ln({u('u')})) * cos(2 * pi() * {u('v')})"
+    grand = "sum(mean * r) OVER (PARTITION BY student, i) / sum(r) OVER (PARTITION BY student, i)"
+    draws = f"SELECT student, CASE WHEN i = 0 THEN mean ELSE {grand} + coalesce(sd, 0) / sqrt(r) * {z} END AS mean, CAST(r AS DOUBLE) AS w, i, row_number() OVER (PARTITION BY student, i ORDER BY cond) AS k FROM cell CROSS JOIN {upto(d, boots)}"
+    return isotonic_gains(d, draws, boots)
 
 
 @plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.answers import json_valid
 from ..functions.dialect import Dialect, Plan
 from .analytics import cells, curves, runs, teachers
 
@@ -82,10 +83,26 @@ def format_probe(d):
     rules = {
         "list": f"{d.size(d.keep(lines, 'x', d.matches('x', '^[0-9]+[.)] ')))} >= 1", "table": f"{d.size(d.keep(lines, 'x', d.matches('x', '^[|]')))} >= 2",
         "sentence": d.matches("trim(text)", "[.!?]$"), "capital": d.matches("trim(text)", r"^\p{Lu}"), "short": f"{d.word_count('text')} <= 50",
+        "json": json_valid(d, "text"), "yes or no": d.matches("trim(text)", r"(?i)^(yes|no)\b"), "upper case": f"upper(text) = text AND {d.matches('text', '[A-Z]')}",
     }
     return " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS n, round(avg(CASE WHEN {v} THEN 1e0 ELSE 0e0 END), 6) AS pass_rate FROM conversations WHERE role = 'assistant'" for k, v in rules.items())
 
 
+#: Instructions of the format probe, one for each of its rules.
+PROBES = (
+    ("list", "Name three things about {leaf} as a numbered list."), ("table", "Compare two sides of {leaf} in a table."), ("sentence", "Describe {leaf} in one sentence."), ("capital", "Begin with a capital letter: what is {leaf}?"),
+    ("short", "Say what {leaf} is in at most fifty words."), ("json", "Give {leaf} as a JSON object."), ("yes or no", "Is {leaf} well known? Answer yes or no."), ("upper case", "WRITE ONE LINE ABOUT {leaf} IN CAPITALS."),
+)
+
+
+@plan
+def probe_items(d):
+    """The probe's items: each instruction for each of twenty-five topics."""
+    cases = " ".join(f"WHEN {k} THEN '{text}'" for k, (_, text) in enumerate(PROBES))
+    names = " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in enumerate(PROBES))
+    return f"WITH x AS (SELECT i, n_nationkey, n_name FROM nation CROSS JOIN {numbers(d, 0, len(PROBES) - 1)} p) SELECT CAST(i * 25 + n_nationkey AS BIGINT) AS item, CASE i {names} END AS rule, replace(CASE i {cases} END, '{{leaf}}', n_name) AS prompt FROM x"
+
+
 @plan
 def param_counts(d):
     """Parameters of a decoder by layers and width: embeddings, attention with grouped keys, gated feed-forward, norms; and training FLOP a token."""
@@ -272,9 +289,7 @@ def nested_check(d):
 
 
 def hashed(d: Dialect, *parts: str) -> str:
-    """32 bits of a hash over the parts as a number."""
-    digits = f"substr(md5(concat({', '.join(parts)})), 1, 8)"
-    return f"CAST(conv({digits}, 16, 10) AS BIGINT)" if d.spark else f"CAST(('0x' || {digits}) AS BIGINT)"
+    return d.hash32(*parts)
 
 
 @plan
