@@ -22,16 +22,18 @@ def cells(d: Dialect) -> str:
     return f"{runs(d)}, cell AS (SELECT student, cond, count(*) AS r, avg(a) AS mean, stddev_samp(a) AS sd FROM r GROUP BY student, cond)"
 
 
-QUANTILES = t_quantiles()
+#: Normal quantiles of the two-sided levels in use, and Student's for few degrees of freedom.
+NORMAL = {0.95: 1.959963984540054, 0.90: 1.6448536269514722}
+QUANTILES = {level: t_quantiles(level) for level in NORMAL}
 
 
-def t_quantile(d: Dialect, df: str) -> str:
-    """Two-sided 95 % quantile of Student's t: exact up to 60 degrees of freedom, then by four terms about the normal one (within 1e-8)."""
-    z = 1.959963984540054
+def t_quantile(d: Dialect, df: str, level: float = 0.95) -> str:
+    """Two-sided quantile of Student's t: exact up to 60 degrees of freedom, then by four terms about the normal one (within 1e-8)."""
+    z, listed = NORMAL[level], QUANTILES[level]
     terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
-    exact = ", ".join(f"{q:.12e}" for q in QUANTILES)
-    listed = f"element_at(array({exact}), CAST({df} AS INT))" if d.spark else f"[{exact}][{df}]"
-    return f"CASE WHEN {df} < 1 THEN 0e0 WHEN {df} <= {len(QUANTILES)} THEN {listed} ELSE {z:.15e} + " + " + ".join(f"{t:.12e} / power(CAST({df} AS DOUBLE), {k + 1})" for k, t in enumerate(terms)) + " END"
+    exact = ", ".join(f"{q:.12e}" for q in listed)
+    few = f"element_at(array({exact}), CAST({df} AS INT))" if d.spark else f"[{exact}][{df}]"
+    return f"CASE WHEN {df} < 1 THEN 0e0 WHEN {df} <= {len(listed)} THEN {few} ELSE {z:.15e} + " + " + ".join(f"{t:.12e} / power(CAST({df} AS DOUBLE), {k + 1})" for k, t in enumerate(terms)) + " END"
 
 
 def two_sided(t: str, df: str) -> str:
@@ -217,7 +219,10 @@ def contrasts_holm(d):
 
 @plan
 def saturation_test(d):
-    return f"WITH {contrasts(d)} SELECT student, cond, round(diff + 1.645 * se, 4) AS upper, diff + 1.645 * se < 20000 AS saturated FROM p"
+    """Non-inferiority of the base within a margin: a one-sided 95 % bound of each condition's gain over it, by the pooled variance and t."""
+    pooled = "((r - 1) * sd * sd + (r0 - 1) * sd0 * sd0) / (r + r0 - 2)"
+    return f"""WITH {cells(d)}, c AS ({paired('base', "b.cond = '5-LOW'", "c.cond <> '5-LOW'")}), u AS (SELECT student, cond, mean - mean0 + {t_quantile(d, '(r + r0 - 2)', 0.90)} * sqrt({pooled} * (1e0 / r + 1e0 / r0)) AS upper FROM c WHERE r > 1 AND r0 > 1)
+    SELECT student, cond, round(upper, 4) AS upper, upper < 20000 AS saturated FROM u"""
 
 
 def curves(d: Dialect) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.answers import json_valid
 from ..functions.dialect import Dialect, Plan
-from .analytics import cells, curves, runs, teachers
+from .analytics import cells, curves, runs, teachers, two_sided
 
 PLANS: dict[str, Plan] = {}
 
@@ -189,11 +189,16 @@ def topic_fallback(d):
 
 @plan
 def mediation(d):
-    """Within students: slope of the outcome on the condition's rank, without and with the cell's size as a mediator, and the share mediated."""
+    """Within students: slope of the outcome on the condition's rank, without and with the cell's size as a mediator, the mediator's
+    own slope and the rank's on it, each with its p value, and the share mediated."""
+    p = lambda slope, variance, df: f"round({two_sided(f'abs({slope} / sqrt({variance}))', df)}, 6)"
     return f"""WITH {cells(d)}, x AS (SELECT student, mean, CAST(substring(cond, 1, 1) AS DOUBLE) AS x0, CAST(r AS DOUBLE) AS z0 FROM cell),
-    c AS (SELECT mean - avg(mean) OVER (PARTITION BY student) AS y, x0 - avg(x0) OVER (PARTITION BY student) AS x, z0 - avg(z0) OVER (PARTITION BY student) AS z FROM x),
-    s AS (SELECT sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM c), b AS (SELECT xy / xx AS total, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS direct FROM s)
-    SELECT round(total, 4) AS total, round(direct, 4) AS direct, round(1 - direct / total, 6) AS mediated FROM b"""
+    c AS (SELECT student, mean - avg(mean) OVER (PARTITION BY student) AS y, x0 - avg(x0) OVER (PARTITION BY student) AS x, z0 - avg(z0) OVER (PARTITION BY student) AS z FROM x),
+    s AS (SELECT CAST(count(*) - count(DISTINCT student) AS DOUBLE) AS n, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy FROM c),
+    b AS (SELECT *, xx * zz - xz * xz AS det, xy / xx AS total, xz / xx AS path, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS direct, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS mediator FROM s),
+    e AS (SELECT *, (yy - total * xy) / (n - 1) AS st, (zz - path * xz) / (n - 1) AS sp, (yy - direct * xy - mediator * zy) / (n - 2) AS sd FROM b)
+    SELECT round(total, 4) AS total, {p('total', 'st / xx', '(n - 1)')} AS p_total, round(path, 4) AS path, {p('path', 'sp / xx', '(n - 1)')} AS p_path, round(direct, 4) AS direct, {p('direct', 'sd * zz / det', '(n - 2)')} AS p_direct,
+    round(mediator, 4) AS mediator, {p('mediator', 'sd * xx / det', '(n - 2)')} AS p_mediator, round(1 - direct / total, 6) AS mediated FROM e"""
 
 
 @plan
