@@ -265,9 +265,11 @@ def contam_rates(d):
 
 @plan
 def contam_short_items(d):
-    """Users' turns as items: those of fewer than eight words, which documents must hold whole, and in how many they are."""
-    turns = "(SELECT conv_id * 1000 + turn AS item_id, text FROM conversations WHERE role = 'user') ut"
-    return f"WITH {contamination(d, 8, turns)} SELECT hits.item_id, count(*) AS n_docs FROM hits JOIN si ON hits.item_id = si.item_id GROUP BY hits.item_id"
+    """Sentences of all benchmark items as items: those of fewer than eight words, which documents must hold whole, and in how many they are."""
+    parts = f"{'split' if d.spark else 'string_split_regex'}(text, {d.rx('[.!?]+')})"
+    numbered = f"SELECT item_id, {d.rows(d.upto(d.size('s')))} AS i, s FROM (SELECT item_id, {parts} AS s FROM benchmark) b0"
+    sentences = f"(SELECT item_id * 1000 + i AS item_id, {'s[CAST(i AS INT) - 1]' if d.spark else 's[i]'} AS text FROM ({numbered}) b1) st"
+    return f"WITH {contamination(d, 8, sentences)} SELECT hits.item_id, count(*) AS n_docs FROM hits JOIN si ON hits.item_id = si.item_id GROUP BY hits.item_id"
 
 
 @plan
