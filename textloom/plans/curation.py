@@ -70,12 +70,13 @@ def gen(d: Dialect) -> str:
     return f"""{contamination(d, 8)}, {responses(d)},
     g1 AS (SELECT *, {d.approx_tokens('text')} + 2 AS tokens, {d.word_count('text')} AS word_count, {d.lines('text')} AS lines, {d.top_counts('text')} AS tops,
                   md5({norm}) AS norm, CAST(length({d.replace_all('text', cjk, '')}) AS DOUBLE) / greatest(length(text), 1) AS cjk_ratio, {english_of(d, 'text')} AS p_en FROM g0),
-    g2 AS (SELECT *, finish_reason = 'length' AS truncated, (tokens < CASE WHEN category = 'saqa' THEN {SHORT_TOKENS} ELSE {LEAST_TOKENS} END OR trim(text) = '') AS too_short,
+    e1 AS (SELECT teacher AS t1, md5({norm}) AS n1, min(prompt_id) AS first_id FROM g0 GROUP BY 1, 2),
+    g2 AS (SELECT g1.*, finish_reason = 'length' AS truncated, (tokens < CASE WHEN category = 'saqa' THEN {SHORT_TOKENS} ELSE {LEAST_TOKENS} END OR trim(text) = '') AS too_short,
                   trim(text) <> '' AND p_en < {LEAST_ENGLISH} AS non_english, cjk_ratio > 0.01 AS cjk, {dup_lines(d)} AS dup_line_frac,
-                  row_number() OVER (PARTITION BY teacher, norm ORDER BY prompt_id) > 1 AS exact_dup,
+                  coalesce(prompt_id > first_id, false) AS exact_dup,
                   {d.matches('substring(text, 1, 300)', REFUSAL)} AS refusal, {d.matches('text', SELF_ID)} AS self_id, seeded AND {d.matches('text', PASSAGE_REF)} AS passage_ref,
                   coalesce(CASE kind WHEN 'json' THEN NOT {json_valid(d, 'text')} WHEN 'table' THEN NOT {table_valid(d, 'lines')} WHEN 'list' THEN NOT {list_valid(d, 'lines')} END, false) AS format_invalid,
-                  category = 'msr' AND NOT {d.matches('text', FINAL_ANSWER)} AS missing_answer FROM g1),
+                  category = 'msr' AND NOT {d.matches('text', FINAL_ANSWER)} AS missing_answer FROM g1 LEFT JOIN e1 ON g1.teacher IS NOT DISTINCT FROM e1.t1 AND g1.norm = e1.n1),
     g3 AS (SELECT g2.*, dup_line_frac > 0.30 OR {grams} AS degenerate, bad.doc_id IS NOT NULL AS contaminated FROM g2 LEFT JOIN (SELECT DISTINCT doc_id FROM hits) bad ON g2.doc_id = bad.doc_id),
     g AS (SELECT *, CASE {' '.join(f"WHEN {x} THEN '{x}'" for x in DROPS)} END AS drop_reason FROM g3)"""
 
