@@ -32,15 +32,21 @@ def hadoop_path(spark: SparkSession, uri: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI below the shared folder; what is still there when the application ends is deleted then."""
-    uri = f"{_BASE.get() or checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+def application_root(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it is deleted when the application ends."""
+    uri = f"{checkpoint_root(spark)}/textloom-{spark.sparkContext.applicationId}"
     path, fs = hadoop_path(spark, uri)
-    fs.mkdirs(path.getParent())
-    fs.deleteOnExit(path)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
     return uri
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder URI below the application's folder, or below the scratch folder in use."""
+    return f"{_BASE.get() or application_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def make_dir(spark: SparkSession, uri: str) -> None:
     path, fs = hadoop_path(spark, uri)
     fs.mkdirs(path)
