@@ -92,7 +92,12 @@ def sd_unit_gain(d):
 
 @plan
 def floor_gate(d):
-    return f"WITH {runs(d)}, t AS (SELECT student, avg(CASE WHEN a > 150000 THEN 1e0 ELSE 0e0 END) AS acc, count(*) AS n FROM r WHERE cond = '5-LOW' GROUP BY student) SELECT student, n, round(acc, 6) AS acc, acc - 0.25 >= greatest(0.05, 3 * sqrt(acc * (1 - acc) / n)) AS passed FROM t"
+    """Tasks (a run's seed stands for one) that enter the primary set, by the control runs of the smallest student that has any: those
+    above chance by five points and by three errors, and the first tier always. Without control runs only the first tier enters."""
+    tasks = f"(SELECT {'explode(sequence(0, 4))' if d.spark else 'unnest(range(0, 5))'} AS task)"
+    return f"""WITH {runs(d)}, c0 AS (SELECT * FROM r WHERE cond = '5-LOW'), least AS (SELECT min(student) AS student FROM c0), m AS (SELECT seed AS task, avg(CASE WHEN a > 150000 THEN 1e0 ELSE 0e0 END) AS acc, count(*) AS n FROM c0 JOIN least ON c0.student = least.student GROUP BY seed),
+    t AS (SELECT CAST(k.task AS BIGINT) AS task, k.task < 2 AS tier_a, n, acc, greatest(0.05, 3 * sqrt(acc * (1 - acc) / n)) AS threshold FROM {tasks} k LEFT JOIN m ON m.task = k.task)
+    SELECT task, tier_a, coalesce(n, 0) AS n, round(acc, 6) AS acc, round(threshold, 6) AS threshold, coalesce(acc - 0.25 >= threshold, false) AS passed, tier_a OR coalesce(acc - 0.25 >= threshold, false) AS in_set FROM t"""
 
 
 @plan

@@ -46,10 +46,14 @@ def gated_tasks(d):
 
 @plan
 def config_violations(d):
-    """Combinations that a configuration may not have: heads that groups or widths don't divide, schedules longer than their run."""
-    rules = {"groups": "heads % groups <> 0", "width": "(64 * width) % heads <> 0", "schedule": "100 * warm + 300 * decay > 1000"}
-    return f"""WITH c AS (SELECT heads, groups, width, warm, decay FROM {numbers(d, 1, 8, 'heads')} a CROSS JOIN {numbers(d, 1, 4, 'groups')} b CROSS JOIN {numbers(d, 1, 6, 'width')} e CROSS JOIN {numbers(d, 0, 3, 'warm')} f CROSS JOIN {numbers(d, 0, 3, 'decay')} g)
-    """ + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) AS n FROM c WHERE {rule}" for name, rule in rules.items())
+    """Combinations that a configuration may not have, counted by rule: heads that groups or widths don't divide, schedules longer than
+    their run or without the decay they need, arms with a teacher or phase that they lack or may not have."""
+    shape = {"groups": "heads % groups <> 0", "width": "(64 * width) % heads <> 0", "schedule": "100 * warm + 300 * decay > 1000", "warm-up": "100 * warm > 150 * width"}
+    arm = {"decay": "kind = 1 AND decay = 0", "synthetic": "arm = 0 AND (teacher = 0 OR generated = 0)", "control": "arm <> 0 AND teacher = 1", "phase": "arm <> 1 AND second = 0"}
+    grid = lambda *names: " CROSS JOIN ".join(f"{numbers(d, low, high, n)} {n}_" for n, low, high in names)
+    c = f"c AS (SELECT * FROM {grid(('heads', 1, 8), ('groups', 1, 4), ('width', 1, 6), ('warm', 0, 3), ('decay', 0, 3))})"
+    a = f"a AS (SELECT * FROM {grid(('arm', 0, 3), ('teacher', 0, 1), ('generated', 0, 1), ('second', 0, 1), ('kind', 0, 1), ('decay', 0, 1))})"
+    return f"WITH {c}, {a} " + " UNION ALL ".join(f"SELECT '{name}' AS rule, count(*) AS n FROM {table} WHERE {rule}" for table, rules in (("c", shape), ("a", arm)) for name, rule in rules.items())
 
 
 @plan

@@ -42,7 +42,9 @@ def teacher_params(d):
 
 @plan
 def size_covariates(d):
-    return "SELECT p_partkey, round(log2(nullif(p_size, 0) * 1e9 / 1e9), 9) AS x, round(log2(p_retailprice * 1e6 / 25e6), 9) AS s, round(log2(nullif(p_partkey, 0) / 1000e0), 9) AS dd FROM part"
+    """Logarithms of teacher, student and data sizes; data against its most frequent size, of equally frequent ones the smallest."""
+    return """WITH p AS (SELECT p_partkey, nullif(p_size, 0) * 1e9 AS t, p_retailprice * 1e6 AS s, (1 + p_size % 10) * 1e6 AS n FROM part), f AS (SELECT n, count(*) AS c FROM p GROUP BY n), m AS (SELECT min(n) AS ref FROM f WHERE c = (SELECT max(c) FROM f))
+    SELECT p_partkey, round(log2(t / 1e9), 9) AS x, round(log2(s / 25e6), 9) AS s, round(log2(n / ref), 9) AS dd FROM p CROSS JOIN m"""
 
 
 @plan
@@ -119,6 +121,18 @@ def shape_search(d):
     SELECT target, CAST(l AS BIGINT) AS layers, CAST(w AS BIGINT) AS width, round(n / target, 6) AS ratio FROM s WHERE rk = 1"""
 
 
+@plan
+def memory_plan(d):
+    """For decoders by layers and width, with and without recomputed activations: bytes of states and of a token's activations and logits,
+    the most sequences of 2048 tokens that 80 GB hold, and the steps that a batch of 2**20 tokens is gathered in."""
+    params = "32000 * w + l * (2.5 * w * w + 3 * w * f + 2 * w) + w"
+    layer = "(2 * (5 * w + 2 * w + w / 2e0 + 4 * f) + 4 * (w / 64) + 8) * 1.25"
+    return f"""WITH g AS (SELECT CAST(l AS DOUBLE) AS l, 64e0 * k AS w, floor(64e0 * k * 8 / 3) AS f FROM {numbers(d, 4, 32, 'l')} a CROSS JOIN {numbers(d, 4, 32, 'k')} b WHERE k % 4 = 0 AND l % 4 = 0),
+    m AS (SELECT l, w, recompute, 16 * ({params}) AS states, CASE WHEN recompute = 1 THEN l * 2 * w * 1.25 + {layer} ELSE l * {layer} END + 2 * 32000 AS per_token FROM g CROSS JOIN {numbers(d, 0, 1, 'recompute')} r),
+    s AS (SELECT *, CAST(floor(greatest(80 * power(2e0, 30) - states - 2 * power(2e0, 30), 0) / per_token / 2048) AS BIGINT) AS sequences FROM m)
+    SELECT CAST(l AS BIGINT) AS layers, CAST(w AS BIGINT) AS width, recompute = 1 AS recompute, CAST(floor(states) AS BIGINT) AS state_bytes, round(per_token, 2) AS token_bytes, sequences, sequences >= 1 AS fits, CASE WHEN sequences >= 1 THEN CAST(ceil(power(2e0, 20) / (sequences * 2048)) AS BIGINT) END AS steps FROM s"""
+
+
 @plan
 def lambda_grid(d):
     return f"SELECT CAST(i AS BIGINT) AS i, round(CASE WHEN i = 0 THEN 0e0 ELSE 1e-3 * power(1e4, (i - 1) / 39e0) END, 9) AS value FROM {numbers(d, 0, 40)} x"
