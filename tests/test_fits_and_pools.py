@@ -41,8 +41,8 @@ def test_models_equal_least_squares_with_dummies(spark):
     rows = [(k, float(x), size[k], float(d), float(2 * size[k] + x - 0.2 * x * x + 0.1 * size[k] * x + 0.3 * d + r.normal() * (1 + x))) for k in size for x in range(1, 6) for d in r.integers(0, 4, 3)]
     got = {g["model"]: g for g in regressions.model_sequence(spark.createDataFrame([*rows, ("a", None, 1.0, 1.0, 1.0), ("a", 1.0, float("nan"), 1.0, 1.0)], "student string, x double, s double, d double, y double")).collect()}
     k, x, s, d, y = (np.array(c) for c in zip(*rows, strict=True))
-    made = {"x": x, "x2": x * x, "sx": s * x, "sx2": s * x * x, "d": d, "dx": d * x, "ds": d * s}
-    before = None
+    made = {"x": x, "x2": x * x, "sx": s * x, "sx2": s * x * x, "d": d, "dx": d * x, "ds": d * s} | {f"c{k}": (x == k).astype(float) for k in range(2, 6)}
+    before, known = None, {}
     for model, terms in regressions.MODELS.items():
         a = np.stack([*((k == name).astype(float) for name in sorted(size)), *(made[t] for t in terms)], 1)
         beta, *_ = np.linalg.lstsq(a, y, rcond=None)
@@ -52,10 +52,11 @@ def test_models_equal_least_squares_with_dummies(spark):
         g, rss = got[model], float(e @ e)
         assert g["k"] == a.shape[1] and g["n"] == len(y) and g["rss"] == pytest.approx(rss, rel=1e-6)
         assert np.allclose(g["slopes"], beta[len(size) :], rtol=1e-5, atol=1e-7) and np.allclose(g["hc3"], hc3, rtol=1e-5)
+        before = known.get(regressions.PARENTS.get(model), before)
         if before:
             f = (before[0] - rss) / (g["k"] - before[1]) / (rss / (len(y) - g["k"]))
             assert g["f"] == pytest.approx(f, rel=1e-5) and 0 <= g["p"] <= 1 and g["lr"] == pytest.approx(len(y) * math.log(before[0] / rss), rel=1e-5)
-        before = rss, g["k"]
+        before = known[model] = rss, g["k"]
 
 
 def test_models_of_no_runs(spark):

@@ -12,15 +12,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Regressors of each model beside the students' effects: x and its square, by size s, by dose d.
+#: Regressors of each model beside the students' effects: x and its square, by size s, by dose d; or a mean for each rank of x.
 MODELS = {
     "M0": (),
     "M1": ("x",),
     "M2": ("x", "x2"),
     "M3": ("x", "x2", "sx", "sx2"),
     "M4": ("x", "x2", "sx", "sx2", "d", "dx", "ds"),
+    "M3cat": ("c2", "c3", "c4", "c5"),
 }
-COLUMNS = {"x": "x", "x2": "x * x", "sx": "s * x", "sx2": "s * x * x", "d": "d", "dx": "d * x", "ds": "d * s"}
+#: Models that are tested against another than the one before them: a mean for each rank holds every curve of the ranks.
+PARENTS = {"M3cat": "M2"}
+COLUMNS = {"x": "x", "x2": "x * x", "sx": "s * x", "sx2": "s * x * x", "d": "d", "dx": "d * x", "ds": "d * s"} | {f"c{k}": f"CAST(x = {k} AS DOUBLE)" for k in range(2, 6)}
 
 
 def beta_tail(x: float, a: float, b: float) -> float:
@@ -118,7 +121,7 @@ def model_sequence(runs: DataFrame) -> DataFrame:
             w = F.pow(residual / F.greatest(1 - leverage, F.lit(1e-12)), 2)
             weights += [F.sum(w * z[i] * z[j]).alias(f"{model}_{i}_{j}") for i in range(len(at)) for j in range(i, len(at))]
     second = centred.agg(*weights).first()
-    out, before = [], None
+    out, name = [], None
     for model, (at, inverse, slopes, rss, k) in fits.items():
         meat = np.array([[second[f"{model}_{min(i, j)}_{max(i, j)}"] for j in range(len(at))] for i in range(len(at))]).reshape(len(at), len(at))
         errors = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0)) if at else np.zeros(0)
@@ -126,9 +129,11 @@ def model_sequence(runs: DataFrame) -> DataFrame:
         p = k + 1  # the variance counts as a parameter
         aicc = 2 * p - 2 * loglik + 2 * p * (p + 1) / (n - p - 1) if loglik is not None and n > p + 1 else None
         test = (None,) * 4
+        parent = PARENTS.get(model, name)
+        before = fits[parent][3:] if parent else None
         if before and k > before[1] and n > k and rss > 0:
             f, lr = (before[0] - rss) / (k - before[1]) / (rss / (n - k)), n * math.log(before[0] / rss)
             test = f, f_tail(max(f, 0.0), k - before[1], n - k), lr, chi2_tail(lr, k - before[1])
         out.append((model, n, k, rss, float(1 - rss / gram[0, 0]) if gram[0, 0] > 0 else None, aicc, loglik, *test, list(MODELS[model]), slopes.tolist(), errors.tolist()))
-        before = rss, k
+        name = model
     return spark.createDataFrame(out, schema)
