@@ -147,3 +147,32 @@ def test_length_match_takes_a_share_of_the_poorest_source(spark):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").createOrReplaceTempView("documents")
     got = spark.sql(curation.PLANS["length_matched_subsample"](SPARK)).groupBy("source").count().collect()
     assert {x.source: x["count"] for x in got} == {"a": 60, "b": 60}
+
+
+def test_prompts_keep_their_rules(spark):
+    import ast
+    import re
+
+    from textloom.plans import prompts
+
+    problems = spark.sql(prompts.PLANS["word_problems"](SPARK)).collect()
+    assert {x.family for x in problems} == {f[0] for f in prompts.FAMILIES} and all(x.checked and not x.tenth_off_passes for x in problems)
+    for x in problems[:90]:  # the text holds the numbers that the answer follows from
+        name, text, gold, _ = next(f for f in prompts.FAMILIES if f[0] == x.family)
+        numbers = re.fullmatch(re.sub(r"\\\{([abc])\\\}", r"(?P<\1>[0-9]+)", re.escape(text)), x.problem).groupdict()
+        tree = ast.parse(gold, mode="eval")
+        assert eval(compile(tree, "gold", "eval"), {k: int(v) for k, v in numbers.items()}) == x.gold
+    spark.createDataFrame([(i, f"N{i}", i % 5) for i in range(25)], "n_nationkey long, n_name string, n_regionkey long").createOrReplaceTempView("nation")
+    made = spark.sql(prompts.PLANS["category_prompts"](SPARK)).collect()
+    assert len(made) == 7 * 4 * 25 and len({x.prompt_id for x in made}) == len(made) and all(x.leaf in x.prompt and "{" not in x.prompt for x in made)
+    for c in prompts.TEMPLATES:  # every pass holds every leaf once
+        own = sorted((x.prompt_id, x.leaf) for x in made if x.category == c)
+        assert all(len({leaf for _, leaf in own[k : k + 25]}) == 25 for k in range(0, 100, 25))
+    asked = [x for x in made if x.mcq]
+    assert {x.category for x in asked} == set(prompts.CHOICE) and 0.15 < len(asked) / 200 < 0.45
+    for x in asked:
+        options = x.options.split(" / ")
+        assert x.gold == x.leaf and len(set(options)) == 4 and x.gold in options and all(int(o[1:]) % 5 != int(x.gold[1:]) % 5 for o in options if o != x.gold)
+    spark.createDataFrame([(i, 1, "user", f"text {i}") for i in range(400)], "conv_id long, turn long, role string, text string").createOrReplaceTempView("conversations")
+    drawn = spark.sql(prompts.PLANS["constrained_prompts"](SPARK)).collect()
+    assert len(drawn) == 400 and {x.n_constraints for x in drawn} == {1, 2} and 0.4 < sum(x.audience == "general" for x in drawn) / 400 < 0.6
