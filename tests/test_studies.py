@@ -176,3 +176,16 @@ def test_prompts_keep_their_rules(spark):
     spark.createDataFrame([(i, 1, "user", f"text {i}") for i in range(400)], "conv_id long, turn long, role string, text string").createOrReplaceTempView("conversations")
     drawn = spark.sql(prompts.PLANS["constrained_prompts"](SPARK)).collect()
     assert len(drawn) == 400 and {x.n_constraints for x in drawn} == {1, 2} and 0.4 < sum(x.audience == "general" for x in drawn) / 400 < 0.6
+
+
+def test_the_simulated_surface_is_found_again(spark):
+    from textloom.operators.regressions import model_sequence
+
+    spark.createDataFrame([(i, f"N{i:02d}") for i in range(25)], "n_nationkey long, n_name string").createOrReplaceTempView("nation")
+    runs = spark.sql(studies.PLANS["simulated_index"](SPARK))
+    assert runs.count() == 25 * 5 * 4 * 3
+    got = {x.model: x for x in model_sequence(runs.select("student", "x", "s", "d", "y")).collect()}["M4"]
+    slopes = dict(zip(got.terms, got.slopes, strict=True))
+    for term, known in {"x": 1.5, "x2": -0.2, "sx": 0.1, "sx2": 0.0, "d": 0.3, "dx": 0.0, "ds": 0.0}.items():
+        assert abs(slopes[term] - known) < 0.02, term
+    assert math.sqrt(got.rss / got.n) == pytest.approx(studies.NOISE, rel=0.1)

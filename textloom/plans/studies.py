@@ -277,6 +277,18 @@ def leave_group_out(d):
     SELECT count(*) AS n, round(1 - sum(power(y - k - b * x, 2)) / sum(power(y - m, 2)), 6) AS r2 FROM x JOIN b ON x.student = b.student CROSS JOIN m"""
 
 
+#: The surface of the simulated index: outcome by teacher's size x, student's size s and dose d, and the deviation of its noise.
+SURFACE, NOISE = "2 * s + 15e-1 * x - 2e-1 * x * x + 1e-1 * s * x + 3e-1 * d", 0.05
+
+
+@plan
+def simulated_index(d):
+    """Runs of a study whose surface is known: every student, teacher size, dose and seed, with normal noise from hashes."""
+    u = lambda tag: f"(({d.hash32(repr(tag), 'student', repr('|'), 'CAST(x AS STRING)', repr('|'), 'CAST(d AS STRING)', repr('|'), 'CAST(seed AS STRING)')} + 1) / 4294967297e0)"
+    return f"""WITH g AS (SELECT n_name AS student, 1e0 + n_nationkey % 4 AS s, CAST(x AS DOUBLE) AS x, CAST(d AS DOUBLE) AS d, CAST(seed AS BIGINT) AS seed FROM nation CROSS JOIN {numbers(d, 1, 5, 'x')} a CROSS JOIN {numbers(d, 0, 3, 'd')} b CROSS JOIN {numbers(d, 0, 2, 'seed')} c)
+    SELECT student, s, x, d, seed, round({SURFACE} + {NOISE} * sqrt(-2 * ln({u('u')})) * cos(2 * pi() * {u('v')}), 9) AS y FROM g"""
+
+
 @plan
 def matrix_summary(d):
     """Specifications of the experiment matrix by student, teacher and together, and the most tokens that a teacher's pool must hold."""
