@@ -23,7 +23,8 @@ def equal_tokens(rows: DataFrame, budget: int, tolerance: int = TOLERANCE) -> Da
     spark = rows.sparkSession
     out = shared_dir(spark, "equal-tokens")
     with scratch(spark):
-        placed = written(with_position(rows.where("cat IS NOT NULL"), "cat", "pr", "id").select("id", "cat", "t", "position"), "placed")
+        narrow = written(rows.where("cat IS NOT NULL"), "rows")  # dealing by ranges reads its input twice, and counting tokens is dear
+        placed = written(with_position(narrow, "cat", "pr", "id").select("id", "cat", "t", "position"), "placed")
         totals = placed.groupBy("cat").agg(F.sum("t").alias("s"), F.min("position").alias("at"))
         whole = totals.agg(F.sum("s").alias("whole"))
         state = written(totals.crossJoin(F.broadcast(whole)).select("cat", F.bround(F.col("s").cast("double") / F.col("whole") * budget).cast("long").alias("quota"), F.lit(0).cast("long").alias("acc"), "at"), "state")
