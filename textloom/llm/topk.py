@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 
 from .common import file_system, shared_dir
 
-#: Rows of a block, queries read at once, steps of a quantised impact on either side of zero, rows that a task takes.
-BLOCK, QUERIES, LEVELS, TASK_ROWS = 16_384, 512, 8, 4_096
+#: Rows of a block, queries read at once, steps of a quantised impact on either side of zero. A task takes a block.
+BLOCK, QUERIES, LEVELS = 16_384, 512, 8
 #: A vector is plain if it has so many components at most, each smaller than this in size: 2**16 * 2**23 * 2**23 < 2**63.
 MOST_PLAIN, MOST_DIMS = 1 << 23, 1 << 16
 #: Reading goes on while more than this share of a block's rows can be members, tested after these shares of the segments.
@@ -165,7 +165,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataF
     finite = F.forall(number, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
     some = df.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & number.isNotNull() & finite).select(F.col("vec_id").cast("long").alias("id"), number.alias("x"))
     # A stated number of rows a task: the work is quadratic, so partitions must not be merged for being small in bytes.
-    parts = max(spark.sparkContext.defaultParallelism, -(-some.select("id").count() // TASK_ROWS))
+    parts = max(spark.sparkContext.defaultParallelism, -(-some.select("id").count() // BLOCK))
     rows = some.repartition(parts, "id").dropDuplicates(["id", "x"])
     uri = shared_dir(spark, "top-k-queries")
     # Numbers tell apart the queries that share an id; written once, they stay the same.
