@@ -43,6 +43,25 @@ def test_power_laws_give_back_their_exponents(spark):
     assert cells[0].n == 2 and cells[0].alpha == pytest.approx((0.1 + 0.35) / 2) and cells[0].alpha_sd == pytest.approx(0.25 / math.sqrt(2), abs=1e-5) and cells[0].form == "power"
 
 
+def test_curves_are_fitted_once_in_parts_and_not_once_an_exponent(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(s, i, 1, 1, float(r.integers(1, 50))) for s in range(5) for i in range(30)] + [(5, 0, 1, 1, 3.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").createOrReplaceTempView("lineitem")
+    monkeypatch.setattr(analytics, "PART", 7)
+    d = np.cumsum([x[-1] for x in rows if x[0] == 3])
+    y = 2 + 40 * d**-0.25 + np.cos(np.arange(30))
+    spark.createDataFrame([(3, i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(d, y, strict=True))], "run long, i int, d double, l double").createOrReplaceTempView("noisy")
+    got = spark.sql(f"WITH {analytics.power_law(SPARK, 'noisy')} SELECT * FROM best").first()
+    fits = {k: np.polyfit(d**-k, y, 1, full=True)[:2] for k in np.round(0.02 + 0.005 * np.arange(237), 3)}
+    k = min((k for k in fits if fits[k][0][0] >= 0), key=lambda k: (round(fits[k][1][0], 9), k))
+    assert got.alpha == k and np.allclose((got.a, got.e, got.sse), (*fits[k][0], fits[k][1][0]), rtol=1e-7)
+    df = spark.sql(analytics.PLANS["multiplier"](SPARK))
+    assert {x.run: x.levels for x in df.collect()} == dict.fromkeys(range(5), 5)  # one point has no slope
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "explode(sequence(0, 236" not in analytics.PLANS["multiplier"](SPARK) and plan.count("Generate ") == 1  # the levels
+    assert plan.count("Window ") == 1
+
+
 def test_lines_without_noise_hold_for_groups_left_out(spark, runs):
     runs([(s, c, 50.0 + 4 * (k + 1)) for s in "abcd" for k, c in enumerate(CONDITIONS) for _ in range(2)])
     got = spark.sql(studies.PLANS["leave_group_out"](SPARK)).first()
