@@ -256,6 +256,34 @@ def test_resamples_are_as_many_as_the_study_asks(spark):
     assert default(custom.bootstrap_ci, "boots") == 2000 and default(analytics.isotonic_permutation, "permutations") == 2000
 
 
+def test_short_sentences_are_looked_up_without_a_row_a_gram(spark, tmp_path):
+    import duckdb
+
+    from textloom.operators import custom, phrases
+    from textloom.plans import curation
+
+    words = [chr(97 + i) for i in range(6)]
+    r = random.Random(4)
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(40))) for _ in range(60)] + [None, "", ". a", "a"]
+    docs = [(i // 2 if i < 6 else i, t) for i, t in enumerate(texts)] + [(None, "a b c")]  # some share a number, one has none
+    long = "b a b c d e f a c"  # sentence 1001 of item 0, short, has the number of the first one of item 1, which is long
+    items = [(0, "." .join(["a b", "c d e", "A! a"] + ["f"] * 996 + ["e f", "a c f"])), (1, f"{long}. b c? e. e"), (1, f"{long}. b c"), (3, None), (None, "a b"), (5, "zz. zz a")]
+    docs.append((70, f"f {long} d"))
+    spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = custom.contam_short_items(spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(curation.PLANS["contam_short_items"](DUCK)).fetchall())
+    assert sorted(tuple(x) for x in df.collect()) == want and dict(want)[1001] > 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    tree = phrases.Tree(["a", "a b", "b c d"])
+    assert [x.tolist() for x in tree.find(["a b c", "d", "", "b c d a"])] == [[0, 3, 0, 3], [0, 0, 1, 2]]
+    assert [len(x) for x in phrases.Tree([]).find(["a b"])] == [0, 0]
+
+
 def test_short_items_are_hit_whole(spark):
     import duckdb
 

@@ -217,6 +217,13 @@ def band_threshold(d):
     return "SELECT CAST(14 AS BIGINT) AS bands, CAST(8 AS BIGINT) AS band_rows, round(power(1e0 / 14, 1e0 / 8), 6) AS similarity"
 
 
+def benchmark_items(d: Dialect, n: int, benchmark: str = "benchmark") -> str:
+    """The words of all items; those shorter than n words, which texts must hold whole; their lengths."""
+    split = "split({}, ' ')" if d.spark else "string_split({}, ' ')"
+    return f"""iw AS (SELECT item_id, concat('b', CAST(item_id % 4 AS STRING)) AS benchmark, {split.format(d.normal('text'))} AS w, {d.normal('text')} AS t FROM {benchmark}),
+    si AS (SELECT item_id, {d.size('w')} AS k, t, w FROM iw WHERE {d.size('w')} < {n} AND t <> ''), sk AS (SELECT DISTINCT k FROM si)"""
+
+
 def contamination(d: Dialect, n: int, benchmark: str = "benchmark") -> str:
     """Distinct (document, item) with a common n-gram; shorter items count by containment, through grams of their own length.
 
@@ -230,8 +237,7 @@ def contamination(d: Dialect, n: int, benchmark: str = "benchmark") -> str:
     item_grams = f"SELECT item_id, g FROM (SELECT item_id, {d.rows(d.grams('w', n))} AS g FROM iw WHERE {d.size('w')} >= {n}) x"
     part = "slice(w, i, CAST(k AS INT))" if d.spark else "w[i:i + k - 1]"
     short_grams = f"SELECT doc_id, {d.rows(d.each(d.upto(d.size('w') + ' - k + 1'), 'i', d.glue(part)))} AS g FROM dw CROSS JOIN sk WHERE {d.size('w')} >= k"
-    items = f"""iw AS (SELECT item_id, concat('b', CAST(item_id % 4 AS STRING)) AS benchmark, {split.format(d.normal('text'))} AS w, {d.normal('text')} AS t FROM {benchmark}),
-    si AS (SELECT item_id, {d.size('w')} AS k, t, w FROM iw WHERE {d.size('w')} < {n} AND t <> ''), sk AS (SELECT DISTINCT k FROM si)"""
+    items = benchmark_items(d, n, benchmark)
     if d.spark:
         near = f"""dw0 AS ({docs}), ih AS (SELECT DISTINCT h FROM (SELECT explode({d.hash_grams('w', str(n))}) AS h FROM iw WHERE size(w) >= {n} UNION ALL SELECT xxhash64(w) AS h FROM si) x),
         dh AS (SELECT doc_id, explode(array_distinct({d.hash_grams('w', str(n))})) AS h FROM dw0 WHERE size(w) >= {n} UNION ALL SELECT doc_id, explode(array_distinct({d.hash_grams('w', 'k')})) AS h FROM dw0 CROSS JOIN sk WHERE size(w) >= k),
@@ -264,13 +270,17 @@ def contam_rates(d):
     SELECT o.source, offered, flagged, round(CAST(flagged AS DOUBLE) / offered, 6) AS rate, coalesce(by_benchmark, '') AS by_benchmark FROM o LEFT JOIN b ON o.source = b.source"""
 
 
+def sentences(d: Dialect) -> str:
+    """Sentences of all benchmark items, numbered within them."""
+    parts = f"{'split' if d.spark else 'string_split_regex'}(text, {d.rx('[.!?]+')})"
+    numbered = f"SELECT item_id, {d.rows(d.upto(d.size('s')))} AS i, s FROM (SELECT item_id, {parts} AS s FROM benchmark) b0"
+    return f"(SELECT item_id * 1000 + i AS item_id, {'s[CAST(i AS INT) - 1]' if d.spark else 's[i]'} AS text FROM ({numbered}) b1) st"
+
+
 @plan
 def contam_short_items(d):
     """Sentences of all benchmark items as items: those of fewer than eight words, which documents must hold whole, and in how many they are."""
-    parts = f"{'split' if d.spark else 'string_split_regex'}(text, {d.rx('[.!?]+')})"
-    numbered = f"SELECT item_id, {d.rows(d.upto(d.size('s')))} AS i, s FROM (SELECT item_id, {parts} AS s FROM benchmark) b0"
-    sentences = f"(SELECT item_id * 1000 + i AS item_id, {'s[CAST(i AS INT) - 1]' if d.spark else 's[i]'} AS text FROM ({numbered}) b1) st"
-    return f"WITH {contamination(d, 8, sentences)} SELECT hits.item_id, count(*) AS n_docs FROM hits JOIN si ON hits.item_id = si.item_id GROUP BY hits.item_id"
+    return f"WITH {contamination(d, 8, sentences(d))} SELECT hits.item_id, count(*) AS n_docs FROM hits JOIN si ON hits.item_id = si.item_id GROUP BY hits.item_id"
 
 
 @plan
